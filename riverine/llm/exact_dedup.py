@@ -37,20 +37,19 @@ class DigestIndex:
 
         Of the result, `is_new` says whether a group was appended; a known group carries the keep_id of the index.
         """
-        if self.exists():
-            index = self.read().hint("merge")
-            new = groups.join(index.select("digest"), "digest", "left_anti").withColumn("is_new", F.lit(True))
-            known = groups.select("digest", "group_size").join(index.select("digest", "keep_id"), "digest").withColumn("is_new", F.lit(False))
-            groups = new.unionByName(known)
-        else:
-            groups = groups.withColumn("is_new", F.lit(True))
-        resolved = written(groups, "digest-groups")
-        (
-            resolved.where("is_new").drop("is_new").repartition(self.buckets, "digest")
-            .write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet").saveAsTable(self.table)
-        )
+        if not self.exists():
+            self._append(groups.limit(0))
+        index = self.read().hint("merge")
+        new = groups.join(index.select("digest"), "digest", "left_anti").withColumn("is_new", F.lit(True))
+        known = groups.select("digest", "group_size").join(index.select("digest", "keep_id"), "digest").withColumn("is_new", F.lit(False))
+        resolved = written(new.unionByName(known), "digest-groups")
+        self._append(resolved.where("is_new").drop("is_new"))
         return resolved
 
+    def _append(self, groups: DataFrame) -> None:
+        by_bucket = groups.repartition(self.buckets, "digest")
+        by_bucket.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet").saveAsTable(self.table)
+
 
 def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.

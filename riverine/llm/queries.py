@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riverine.llm.line_dedup import line_dedup
 
@@ -30,7 +36,31 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op5_exact_dedup)}
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverine.llm.importance import importance_resample
+
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverine.llm.langid import language_id
+
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverine.llm.bpe import bpe_round_trip
+
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverine.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op5_exact_dedup, op6_quality_classifier, op8_language_id, op9_bpe, op10_packing)}
 
 #: Words as the contracts have them, and lower-casing of A-Z only.
 _SPACE = r"[\x20\x09-\x0D]+"
