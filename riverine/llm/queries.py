@@ -29,6 +29,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverine.llm.warc import warc_round_trip
+
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riverine.llm.exact_dedup import DigestIndex, exact_dedup
 
@@ -60,11 +66,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op5_exact_dedup, op6_quality_classifier, op8_language_id, op9_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_warc, op5_exact_dedup, op6_quality_classifier, op8_language_id, op9_bpe, op10_packing)}
 
 #: Words as the contracts have them, and lower-casing of A-Z only.
 _SPACE = r"[\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(x, {1 + 5 * i}, 5) AS BIGINT) >> {s}) & 31) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0)
+)
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
@@ -97,6 +106,13 @@ ORACLE_SQL = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND host_rate <= 0.5 AS kept, round(host_rate, 6) AS host_rate
         FROM j JOIN v ON j.host IS NOT DISTINCT FROM v.host""",
+    "op4_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+        h AS (SELECT page_id, octet_length(encode(t)) AS n, sha1(t) AS x FROM p),
+        g AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first_id FROM h)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id > first_id THEN first_id END AS refers_to FROM g""",
     "op5_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
