@@ -48,6 +48,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverine.llm.repeat_spans import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riverine.llm.langid import language_id
 
@@ -66,7 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_warc, op5_exact_dedup, op6_quality_classifier, op8_language_id, op9_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_warc, op5_exact_dedup, op6_quality_classifier, op7_substring_dedup, op8_language_id, op9_bpe, op10_packing)}
 
 #: Words as the contracts have them, and lower-casing of A-Z only.
 _SPACE = r"[\x20\x09-\x0D]+"
