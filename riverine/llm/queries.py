@@ -23,6 +23,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverine.llm.ngram_join import ngram_join
+
+    return ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riverine.llm.quality_rules import quality_rules
 
@@ -72,7 +78,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality_rules, op4_warc, op5_exact_dedup, op6_quality_classifier, op7_substring_dedup, op8_language_id, op9_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_quality_rules, op4_warc, op5_exact_dedup, op6_quality_classifier, op7_substring_dedup, op8_language_id, op9_bpe, op10_packing)}
 
 #: Words as the contracts have them, and lower-casing of A-Z only.
 _SPACE = r"[\x20\x09-\x0D]+"
