@@ -1,8 +1,66 @@
-"""Pipeline over documents."""
+"""A training corpus from documents: quality, exact and near duplicates, repeated passages, packing."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riverine.llm.exact_dedup import DigestIndex, exact_dedup, normalised_digest
+from riverine.llm.importance import importance_resample
+from riverine.llm.ngram_join import ngram_join
+from riverine.llm.packing import pack
+from riverine.llm.queries import tokenizer_path
+from riverine.llm.repeat_spans import remove_repeats
+from riverine.llm.shared import without, written
+
+#: SQL cannot express the stages' models, pieces and packing; tests/llm/test_pipeline.py has brute force.
 ORACLE_SQL = None
-STAGES = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling against labelled good documents keeps."""
+    judged = importance_resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return without(docs, judged.where("NOT kept"), doc_id=docs["doc_id"]).select(COLUMNS)
+
+
+def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document of the largest id."""
+    found = exact_dedup(docs, DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}"))
+    return without(docs, found.where("NOT kept"), doc_id=docs["doc_id"], text_sha256=normalised_digest(docs["text"])).select(COLUMNS)
+
+
+def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that n-gram links connect, the one of the smallest id."""
+    found = ngram_join(docs)
+    return without(docs, found.where("component_id <> doc_id"), doc_id=docs["doc_id"]).select(COLUMNS)
+
+
+def substring_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the word spans that a document of a smaller id has."""
+    cut = remove_repeats(docs, keep=["lang", "source"], with_text=True)
+    return cut.withColumn("text", F.col("kept_sha256")).withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_deduplication),
+    ("ngram_jaccard_join", near_deduplication),
+    ("substring_dedup", substring_deduplication),
+    ("best_fit_packing", packing),
+]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -151,8 +151,9 @@ def _branching_windows(hit: DataFrame, k: int) -> DataFrame:
     return hit.mapInArrow(run, "window bigint, doc_id bigint")
 
 
-def _cut(hit: DataFrame, k: int, keep: list[str], with_text: bool) -> DataFrame:
-    """The columns in keep, n_words, n_removed and kept_sha256 (or the kept words, with_text) of every row."""
+def _cut(hit: DataFrame, k: int, with_text: bool) -> DataFrame:
+    """doc_id, carried, n_words, n_removed and kept_sha256 (or the kept words, with_text) of every row."""
+    keep = ["doc_id", "carried"]
     listed = "whole" in hit.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +176,8 @@ def _cut(hit: DataFrame, k: int, keep: list[str], with_text: bool) -> DataFrame:
             out, ends = joined(b, w, kept)
             total = np.concatenate([[0], np.cumsum(kept)])[w.first]
             texts = [out[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-            last = pa.array([x.decode() for x in texts], pa.string()) if with_text else pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())
+            same = (np.diff(total) == w.counts).tolist()
+            last = pa.array([t if s else x.decode() for t, s, x in zip(batch.column("text").to_pylist(), same, texts, strict=True)], pa.string()) if with_text else pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(w.counts), pa.array(w.counts - np.diff(total)), last], [*keep, "n_words", "n_removed", "kept_sha256"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hit.schema if f.name in keep)
@@ -204,11 +206,11 @@ def remove_repeats(docs: DataFrame, k: int = 13, keep: list[str] | None = None,
     Words are runs of bytes other than ASCII white space, unchanged. Every word goes that is covered by a window of k
     words whose sequence also starts in a document of a smaller doc_id; windows are judged on the input. Texts of
     fewer than k words keep everything; null counts as empty. Rows that share a doc_id are one document to each other:
-    they don't remove each other's words. Rows without an id are no source and lose nothing. With_text returns the kept
-    words, joined by one space, in place of their digest, and `keep` names columns to carry along besides doc_id.
+    they don't remove each other's words. Rows without an id are no source and lose nothing. With_text returns texts in
+    place of digests: the kept words joined by one space, or the text as it is if it loses nothing. `keep` names columns
+    to carry along besides doc_id, of any names.
     An empty table gives no rows. Pieces are compared by 96 bits, windows by 64.
     """
-    keep = ["doc_id", *(keep or [])]
     plain = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = _sources(plain, k)
     matched = _piece_documents(plain, k).join(found, ["key", "check"]).where("doc_id > low OR branching")
@@ -217,7 +219,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, keep: list[str] | None = None,
         "piece-lists",
     ).withColumnRenamed("doc_id", "__id")
     ids = small_or_not(lists.select("__id"))
-    wanted = docs.select(*keep, "text")
+    wanted = docs.select("doc_id", "text", F.struct(*(keep or ["doc_id"])).alias("carried"))
     hit = wanted.join(ids, wanted["doc_id"] == F.col("__id"), "left_semi")
     rest = wanted.join(ids, wanted["doc_id"] == F.col("__id"), "left_anti")
     listed = hit.join(lists, hit["doc_id"] == F.col("__id"))
@@ -225,5 +227,6 @@ def remove_repeats(docs: DataFrame, k: int = 13, keep: list[str] | None = None,
     single = _branching_windows(apart, k)
     repeated = single.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     later = single.join(repeated, "window").where("doc_id > low").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("window").alias("single"))
-    full = listed.join(written(later, "window-lists"), F.col("doc_id") == F.col("__doc"), "left").select(*keep, "text", "whole", "single")
-    return _cut(full, k, keep, with_text).unionByName(_cut(rest, k, keep, with_text))
+    full = listed.join(written(later, "window-lists"), F.col("doc_id") == F.col("__doc"), "left").select("doc_id", "text", "carried", "whole", "single")
+    cut = _cut(full, k, with_text).unionByName(_cut(rest, k, with_text))
+    return cut.select("doc_id", *[F.col(f"carried.`{c}`") for c in keep or []], "n_words", "n_removed", "kept_sha256")

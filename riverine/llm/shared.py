@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of keys up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
-#: Estimated bytes of one broadcast row of a long key.
-ROW_BYTES = 32
+#: Bytes of a broadcast row of keys, at most.
+ROW_BYTES = 128
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,7 +48,8 @@ def small_or_not(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() * ROW_BYTES <= BROADCAST_BYTES else keys
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
-    """Rows of docs whose key isn't in dropped; rows without a key stay."""
-    gone = written(dropped.select(F.col(dropped.columns[0]).alias("__gone")).where("__gone is not null").distinct(), "gone")
-    return docs.join(small_or_not(gone), docs[key] == F.col("__gone"), "left_anti")
+def without(docs: DataFrame, dropped: DataFrame, **keys: F.Column) -> DataFrame:
+    """Rows of docs that no row of dropped matches; keys: what each column of dropped is compared with. Nulls match nothing."""
+    gone = written(dropped.select(*[F.col(k).alias(f"__{k}") for k in keys]).dropna().distinct(), "gone")
+    match = [col == F.col(f"__{k}") for k, col in keys.items()]
+    return docs.join(small_or_not(gone), match, "left_anti")
