@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverine.llm.shared import new_path, written
+from riverine.llm.shared import new_path, small_or_not, written
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -37,7 +37,9 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: st
     """
     html = F.coalesce(pages["html"], F.lit(""))
     rows = pages.select("page_id", F.regexp_replace("url", r"[\r\n]", "").alias("url"), html.alias("payload"), base32_sha1(html).alias("digest"))
-    firsts = rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy(F.col("digest").alias("__digest")).agg(F.min("page_id").alias("first_id"))
+    # payloads travel to their digest's group only if the repeated digests are too many to broadcast
+    groups = rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy(F.col("digest").alias("__digest")).agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    firsts = small_or_not(written(groups.where("n > 1").drop("n"), "repeated-payloads"))
     known = rows.join(firsts, F.col("digest") == F.col("__digest"), "left").withColumn("revisit", F.coalesce(F.col("page_id") > F.col("first_id"), F.lit(False)))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     urn = lambda col: F.concat(F.lit("<urn:page:"), col.cast("string"), F.lit(":"), F.col("digest"), F.lit(">"))
