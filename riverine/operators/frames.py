@@ -81,9 +81,9 @@ def decoded(bytes_: DataFrame) -> DataFrame:
 
 
 def flow_blocks(frames: DataFrame, k: int = 16) -> DataFrame:
-    """Means of depth and fluxes over k x k blocks; blocks at the edge have fewer cells."""
+    """Cells and means of depth and fluxes of k x k blocks; blocks at the edge have fewer cells."""
     block = lambda c: F.floor(F.col(c) / k).alias(f"b{c}")
-    return frames.groupBy("region", "frame", block("r"), block("c")).agg(*[F.avg(x).alias(x) for x in ("h", "qe", "qs")])
+    return frames.groupBy("region", "frame", block("r"), block("c")).agg(F.count(F.lit(1)).alias("cells"), *[F.avg(x).alias(x) for x in ("h", "qe", "qs")])
 
 
 def largest_speed(blocks: DataFrame, wet: float = 0.02) -> DataFrame:

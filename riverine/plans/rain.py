@@ -6,23 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverine.operators import calibration, radar, rain
-from riverine.plans.testdata import ctes, frame
+from riverine.plans.testdata import collection, frame
 
 KEYS = ["station", "day"]
-QUERIES, ORACLE_SQL = {}, {}
-
-
-def query(sql: str | None, *adapters: str):
-    """Registers the decorated function under its name, with its SQL over the adapters."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = (ctes(*adapters) + (", " if sql.lstrip().startswith("+") else " ") if adapters else "") + sql.lstrip().removeprefix("+")
-        return f
-
-    return add
-
+QUERIES, ORACLE_SQL, query = collection()
 
 # pieces of SQL that several oracles share
 _HYETO = "hy AS (SELECT station, day, CAST((hour - 1) * 3600 AS DOUBLE) AS t_s, coalesce(mm, 0.0) AS mm_h FROM gauge UNION ALL SELECT DISTINCT station, day, 86400.0, 0.0 FROM gauge)"
@@ -59,9 +46,9 @@ def jon9_rate_at(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""+ {_SEG} SELECT rt.event_id, round(coalesce(sum(CASE WHEN s.lo IS NULL THEN 0.0 WHEN s.hi <= rt.t_s THEN (s.r0 + s.r1) / 2 * (s.hi - s.lo) / 3600
-       WHEN s.lo < rt.t_s THEN (s.r0 + rt.rate) / 2 * (rt.t_s - s.lo) / 3600 ELSE 0.0 END), 0.0), 6) AS fallen_mm FROM rt LEFT JOIN seg s ON s.station = rt.station AND s.day = rt.day GROUP BY rt.event_id""", "series", "moments")
+       WHEN s.lo < rt.t_s THEN (s.r0 + rt.rate) / 2 * (rt.t_s - s.lo) / 3600 ELSE 0.0 END), 0.0), 3) AS fallen_mm FROM rt LEFT JOIN seg s ON s.station = rt.station AND s.day = rt.day GROUP BY rt.event_id""", "series", "moments")
 def win3_accumulated(spark: SparkSession, sf: str) -> DataFrame:
-    return rain.rate_at(frame(spark, sf, "moments"), frame(spark, sf, "series"), KEYS).select("event_id", F.round("fallen_mm", 6).alias("fallen_mm"))
+    return rain.rate_at(frame(spark, sf, "moments"), frame(spark, sf, "series"), KEYS).select("event_id", F.round("fallen_mm", 3).alias("fallen_mm"))
 
 
 _WINDOW = "aw AS (SELECT station, day, greatest(min(t_s), min(CASE WHEN mm_h > 1 THEN t_s END) - 3600) AS start_s, least(max(t_s), max(CASE WHEN mm_h > 1 THEN t_s END) + 10800) AS end_s FROM series GROUP BY station, day HAVING count(CASE WHEN mm_h > 1 THEN 1 END) > 0)"

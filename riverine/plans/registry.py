@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riverine.plans import rain
+from riverine.plans import extent, places, rain, streams, terrain
 
-QUERIES = {**rain.QUERIES}
-ORACLE_SQL = {**rain.ORACLE_SQL}
+QUERIES = {**rain.QUERIES, **terrain.QUERIES, **extent.QUERIES, **places.QUERIES, **streams.QUERIES}
+ORACLE_SQL = {**rain.ORACLE_SQL, **terrain.ORACLE_SQL, **extent.ORACLE_SQL, **places.ORACLE_SQL, **streams.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

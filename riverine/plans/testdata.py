@@ -7,6 +7,7 @@ to an oracle.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -116,3 +117,24 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if re.search(rf"\b{base}\b", text):
             spark.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(base)
     return spark.sql(f"{text} SELECT * FROM {name}")
+
+
+def collection() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str], Callable]:
+    """Queries and SQL by name, and a decorator that adds a function with its SQL.
+
+    SQL that begins with + goes on after the adapters' common table expressions with a comma, else it follows them.
+    """
+    queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    oracles: dict[str, str] = {}
+
+    def query(sql: str | None, *adapters: str) -> Callable:
+        def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+            queries[f.__name__] = f
+            if sql is not None:
+                more = sql.lstrip().startswith("+") and " AS (" in sql.split("SELECT")[0]
+                oracles[f.__name__] = (ctes(*adapters) + (", " if more else " ") if adapters else "") + sql.lstrip().removeprefix("+")
+            return f
+
+        return add
+
+    return queries, oracles, query
