@@ -12,9 +12,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverine.llm.bpe import WordIds
-from riverine.llm.shared import written
-from riverine.llm.textblocks import block, slices
+from riverine.llm.bpe import SLICE, WordIds
+from riverine.llm.shared import small_batches, written
+from riverine.llm.textblocks import slices
 
 #: Pieces a packing task takes. Each task leaves about one sequence part-filled, of some thousands.
 PIECES_PER_TASK = 20_000
@@ -74,8 +74,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordIds(path)
-        for batch in (part for whole in batches for part in slices(whole, "text")):
-            ids, ends = encode(block(batch.column("text")))
+        for batch in (part for whole in batches for part in slices(whole, "text", SLICE)):
+            ids, ends = encode(batch.column("text"))
             rows: list[tuple[int, int, int, int, int]] = []
             for i, (s, e) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
                 own = np.append(ids[s:e], end_id).astype("<u4")
@@ -100,6 +100,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_c
     as empty: its piece is the end id alone. Ties in length go by row order; repeated rows are packed each; an empty
     table gives no rows; other columns aren't read.
     """
+    small_batches(docs.sparkSession)
     pieces = written(token_pieces(docs, path, capacity, end_id, id_col, text_col), "pieces")
     tasks = max(1, round(pieces.count() / PIECES_PER_TASK))
 

@@ -5,6 +5,7 @@ All functions work on whole blocks of texts laid end to end, so there is no Pyth
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: ASCII white space: space and \x09-\x0D.
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 WORD = ~SPACE
@@ -56,14 +57,23 @@ def block(column: pa.Array, lower: bool = False) -> Block:
     return Block(data, offsets - offsets[0])
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch by rows into slices of about BLOCK_BYTES of the text column."""
+def slices(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch by rows into slices of about `size` bytes of the text column."""
     sizes = np.frombuffer(batch.column(column).fill_null("").cast(pa.large_string()).buffers()[1], "<i8")[: batch.num_rows + 1] if batch.num_rows else np.zeros(1)
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + BLOCK_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + size, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
+
+
+def release() -> None:
+    """Hands freed memory back to the system, which a worker that lives on would keep beside the JVM's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 @dataclass
