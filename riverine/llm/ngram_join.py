@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riverine.llm.components import components
-from riverine.llm.shared import small_or_not, written
+from riverine.llm.shared import small_batches, small_or_not, written
 from riverine.llm.textblocks import Block, block, hashes, mix, slices, windows, words
 
 #: Hash bins of the order of grams: one count each, whatever the corpus.
@@ -187,6 +187,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     Equal sets stand for one another. In each gram's block all documents are first compared with one, the document
     with the largest share of grams that others have as well, then only pairs that are still in different components.
     """
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     known = plain.where("doc_id IS NOT NULL")
     profiles = written(_profiles(plain, k), "profiles")
@@ -198,12 +199,14 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     chosen = known.join(small_or_not(others), known["doc_id"] == F.col("__gone"), "left_anti")
 
     postings = _prefixes(chosen, k, percent, crowded_bins(plain, k))
-    shared = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("gram")
+    # aggregates that large tables are joined with are written first: then each join deals out both of its sides
+    # itself, and Spark can split the rows of a frequent gram
+    shared = written(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("gram"), "shared-grams")
     blocks = written(postings.join(shared, "gram"), "blocks")
     common = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
-    sized = sets.select("doc_id", "n").distinct().join(common, "doc_id").select("doc_id", "n", (F.col("c") / F.col("n")).alias("share"))
+    sized = written(sets.select("doc_id", "n").distinct().join(common, "doc_id").select("doc_id", "n", "c", (F.col("c") / F.col("n")).alias("share")), "sized")
     entries = written(blocks.join(sized, "doc_id"), "entries")
-    leaders = entries.groupBy("gram").agg(F.max(F.struct("share", (-F.col("doc_id")).alias("lead"))).alias("m")).select("gram", (-F.col("m.lead")).alias("lead"))
+    leaders = written(entries.groupBy("gram").agg(F.max(F.struct("share", (-F.col("doc_id")).alias("lead"))).alias("m")).select("gram", (-F.col("m.lead")).alias("lead")), "leaders")
     stars = entries.select("gram", "doc_id").join(leaders, "gram").where("lead <> doc_id").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct()
     first = written(_by_overlap(written(_by_signature(stars, sets, percent), "star-pairs"), known, k, percent), "star-links")
 
@@ -211,12 +214,18 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
         _union(found).select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
     near = components(links(first))
-    placed = entries.join(near, F.col("doc_id") == F.col("node"), "left").select("gram", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
-    open_grams = placed.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("gram")
+    placed = entries.join(near, F.col("doc_id") == F.col("node"), "left").select("gram", "doc_id", "n", "c", F.coalesce("component", "doc_id").alias("comp"))
+    open_grams = written(placed.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("gram"), "open-grams")
     unsettled = written(placed.join(open_grams, "gram", "left_semi"), "unsettled")
     left, right = unsettled.alias("l"), unsettled.alias("r")
-    fits = F.expr(f"l.doc_id < r.doc_id AND l.comp <> r.comp AND 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)")
-    rest = left.join(right, (F.col("l.gram") == F.col("r.gram")) & fits).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
+    # The prefix that ends first has all its shared grams within the other's, and linked sets miss at most n - t of
+    # each other's grams: so the counts of shared prefix grams, of either document and of the pair, have a bound.
+    total = f"ceil({percent} * (l.n + r.n) / {100.0 + percent})"
+    spare = lambda x: f"({total} - ceil({percent} * {x}.n / 100.0) + 1)"
+    least = f"least({spare('l')}, {spare('r')})"
+    fits = F.expr(f"l.doc_id < r.doc_id AND l.comp <> r.comp AND 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) AND least(l.c, r.c) >= {least}")
+    met = left.join(right, (F.col("l.gram") == F.col("r.gram")) & fits).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"), F.expr(least).alias("least"))
+    rest = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("least").alias("least")).where("c >= least").select("a", "b")
     second = written(_by_overlap(written(_by_signature(rest, sets, percent), "rest-pairs"), known, k, percent), "rest-links")
     final = components(links(first, second))
     return profiles.join(final, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -29,6 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Keeps Arrow batches of whole texts at a few MB, on both sides of the pipe to a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/riverine/{name}-{uuid.uuid4().hex}"
 
