@@ -129,4 +129,22 @@ ORACLE_SQL = {
         WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON d.t = g.t""",
+    "op2_ngram_join": rf"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array({_LOWER}, '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+        g AS (SELECT DISTINCT rid, doc_id, array_to_string(w[i : i + 4], ' ') AS k FROM (SELECT rid, doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+        p AS (SELECT a.rid AS x, b.rid AS y, any_value(a.doc_id) AS u, any_value(b.doc_id) AS v, count(*) AS met FROM g a JOIN g b ON a.k = b.k AND a.rid < b.rid GROUP BY a.rid, b.rid),
+        l AS (SELECT u, v FROM p JOIN n m ON m.rid = x JOIN n o ON o.rid = y WHERE 100 * met >= 75 * (m.n + o.n - met)),
+        e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+        c AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT c.node, e.v FROM c JOIN e ON e.u = c.seen),
+        r AS (SELECT node, min(seen) AS component_id FROM c GROUP BY node)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id FROM d LEFT JOIN n ON n.rid = d.rid LEFT JOIN r ON r.node = d.doc_id""",
+    "op7_substring_dedup": rf"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+        win AS (SELECT rid, doc_id, i, array_to_string(w[i : i + 12], ' ') AS k FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) > 12)),
+        f AS (SELECT k, min(doc_id) AS low FROM win GROUP BY k),
+        gone AS (SELECT DISTINCT rid, i + j AS p FROM win JOIN f ON f.k = win.k, (SELECT unnest(range(0, 13)) AS j) WHERE low < doc_id),
+        pos AS (SELECT rid, p, w[p] AS word FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+        kept AS (SELECT pos.rid, count(*) AS n, string_agg(word, ' ' ORDER BY pos.p) AS t FROM pos LEFT JOIN gone ON gone.rid = pos.rid AND gone.p = pos.p WHERE gone.rid IS NULL GROUP BY pos.rid)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.rid = d.rid""",
 }
