@@ -200,7 +200,7 @@ for _name in ("grf5_accumulation", "grf8_longest_path", "grf6_streams", "sca18_s
 @query("""+ v AS (SELECT r, c FROM cells WHERE elev IS NULL), rc AS (SELECT r, c FROM v WHERE r = 0 OR c = 0 OR r = (SELECT max(r) FROM cells) OR c = (SELECT max(c) FROM cells)
       UNION SELECT v.r, v.c FROM rc JOIN v ON abs(v.r - rc.r) + abs(v.c - rc.c) = 1) SELECT cells.r, cells.c, rc.r IS NOT NULL AS sea FROM cells LEFT JOIN rc ON rc.r = cells.r AND rc.c = cells.c""", "cells")
 def grf1_sea(spark: SparkSession, sf: str) -> DataFrame:
-    return voids.classified(frame(spark, sf, "cells"), tile=16).select("r", "c", "sea")
+    return voids.classified(frame(spark, sf, "cells"), tile=64).select("r", "c", "sea")
 
 
 ORACLE_SQL["grf1_sea"] = _RECURSIVE(ORACLE_SQL["grf1_sea"])
@@ -208,14 +208,14 @@ ORACLE_SQL["grf1_sea"] = _RECURSIVE(ORACLE_SQL["grf1_sea"])
 
 @query(None)
 def grf2_filled_holes(spark: SparkSession, sf: str) -> DataFrame:
-    return voids.filled_holes(voids.classified(frame(spark, sf, "cells"), tile=16), tile=16).withColumn("elev", F.round("elev", 6))
+    return voids.filled_holes(voids.classified(frame(spark, sf, "cells"), tile=64), tile=64).withColumn("elev", F.round("elev", 6))
 
 
 @query(None)
 def grf3_filled_depressions(spark: SparkSession, sf: str) -> DataFrame:
-    return voids.filled_depressions(_elevations(spark, sf), tile=16)
+    return voids.filled_depressions(_elevations(spark, sf), tile=64)
 
 
 @query(None)
 def grf9_channels(spark: SparkSession, sf: str) -> DataFrame:
-    return drainage.channels(voids.filled_depressions(_elevations(spark, sf), tile=16), DX, 20)
+    return drainage.channels(voids.filled_depressions(_elevations(spark, sf), tile=64), DX, 20)
