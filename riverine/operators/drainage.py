@@ -16,12 +16,13 @@ DIAGONAL = 1.4142135623730951
 
 def scratch(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     """Writes a round's rows to the folder in spark.checkpoint.dir and reads them again, so that lineage ends there."""
+    import re
     import tempfile
     import uuid
 
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="riverine-")
         spark.conf.set("spark.checkpoint.dir", folder)
