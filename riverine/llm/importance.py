@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverine.llm.shared import written
+from riverine.llm.shared import small_batches, written
 from riverine.llm.textblocks import Block, Words, block, hashes, segments, slices
 
 #: 0: white space, 1: letters, digits and all bytes beyond ASCII, 2: other marks.
@@ -77,7 +77,7 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
         for batch in (part for whole in batches for part in slices(whole, "text")):
             b = block(batch.column("text"), lower=True)
             bucket, text = features(b, len(shared.value))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.bincount(text, shared.value[bucket], len(b)))], ["doc_id", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.bincount(text, shared.value[bucket], len(b)).astype(np.float64))], ["doc_id", "log_weight"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, log_weight double")
@@ -130,6 +130,7 @@ def importance_resample(
     rows share their fate, and rows that tie with the k-th are kept as well. An empty table gives no rows; other
     columns aren't read. Labels of unknown ids do nothing.
     """
+    small_batches(docs.sparkSession)
     labelled = labelled_sample(labels, max_labels)
     plain = docs.select("doc_id", "text")
     noise = F.expr(f"-ln(-ln((shiftrightunsigned(xxhash64(doc_id, {seed}), 11) + 0.5D) / 9007199254740992D))")

@@ -192,7 +192,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     known = plain.where("doc_id IS NOT NULL")
     profiles = written(_profiles(plain, k), "profiles")
     sets = profiles.where("n > 0 AND doc_id IS NOT NULL")
-    groups = sets.groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("rep"))
+    groups = written(sets.groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("rep")), "set-groups")
     equal = written(sets.join(groups, ["fp", "fp2", "n"]).select("doc_id", "rep"), "equal-sets")
     reps = equal.select("rep").distinct()
     others = written(sets.select("doc_id").join(reps, F.col("doc_id") == F.col("rep"), "left_anti").select(F.col("doc_id").alias("__gone")).distinct(), "others")

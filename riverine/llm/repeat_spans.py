@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riverine.llm.shared import small_or_not, written
+from riverine.llm.shared import small_batches, small_or_not, written
 from riverine.llm.textblocks import Block, Words, block, hashes, mix, slices, windows, words
 
 #: Words of a minimizer; a piece has at most k - GRAM + 1 windows unless a gram repeats.
 GRAM = 5
 #: Rows that a task gathers before it combines equal pieces.
-COMBINE = 1 << 21
+COMBINE = 1 << 19
 
 
 @dataclass
@@ -211,6 +211,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, keep: list[str] | None = None,
     to carry along besides doc_id, of any names.
     An empty table gives no rows. Pieces are compared by 96 bits, windows by 64.
     """
+    small_batches(docs.sparkSession)
     plain = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = _sources(plain, k)
     matched = _piece_documents(plain, k).join(found, ["key", "check"]).where("doc_id > low OR branching")
@@ -225,7 +226,8 @@ def remove_repeats(docs: DataFrame, k: int = 13, keep: list[str] | None = None,
     listed = hit.join(lists, hit["doc_id"] == F.col("__id"))
     apart = listed.where("size(apart) > 0").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "apart")
     single = _branching_windows(apart, k)
-    repeated = single.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    # written, so that the join below deals out both of its sides itself and Spark can split a frequent window
+    repeated = written(single.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high"), "repeated-windows")
     later = single.join(repeated, "window").where("doc_id > low").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("window").alias("single"))
     full = listed.join(written(later, "window-lists"), F.col("doc_id") == F.col("__doc"), "left").select("doc_id", "text", "carried", "whole", "single")
     cut = _cut(full, k, with_text).unionByName(_cut(rest, k, with_text))
