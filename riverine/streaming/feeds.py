@@ -21,13 +21,16 @@ def slotted(messages: DataFrame, ts: str = "ts", minutes: int = 5, reach: int =
     return messages.withColumn("slot", F.timestamp_seconds(slot)).where(F.abs(seconds - slot) <= 60 * reach)
 
 
-def radar_slots(messages: DataFrame, key: str = "pixel", retention: str = "8 days", slot: str = "5 minutes") -> DataFrame:
+def radar_slots(messages: DataFrame, key: str = "pixel", retention: str = "8 days", minutes: int = 5) -> DataFrame:
     """Mean rate by slot and pixel of messages (ts, key, mm_h): what is older than the retention is dropped, and so are repeats.
 
-    Append mode: a slot is final once the watermark has passed it.
+    Windows lie around the slots, so a window's slot is that of `slotted`. In append mode a slot comes once the
+    watermark has passed it; a finite input wants complete mode, which has the last slots too.
     """
     fresh = messages.withWatermark("ts", retention).dropDuplicatesWithinWatermark([key, "ts"])
-    return fresh.groupBy(F.window("ts", slot), key).agg(F.avg("mm_h").alias("mm_h"), F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("slot"), key, "mm_h", "n")
+    window = F.window("ts", f"{minutes} minutes", f"{minutes} minutes", f"{(minutes + 1) // 2} minutes")
+    means = fresh.groupBy(window, key).agg(F.avg("mm_h").alias("mm_h"), F.count(F.lit(1)).alias("n"))
+    return means.select((F.col("window.start") + F.make_interval(mins=F.lit(minutes // 2))).alias("slot"), key, "mm_h", "n")
 
 
 def running_depth(frames: DataFrame) -> DataFrame:

@@ -44,3 +44,10 @@ def test_late_slots_are_kept_whole(spark):
     got = registry.QUERIES["str1_radar_slots"](spark, SF)
     events = spark.read.parquet(f"{SF}/events.parquet").count()
     assert 0 < got.agg({"n": "sum"}).first()[0] <= events
+
+
+def test_radar_slots_are_all_there_and_nearest(spark, tables):
+    nearest = "to_timestamp(300 * floor((epoch(date_trunc('minute', ts)) + 150) / 300))::TIMESTAMP"
+    want = tables.sql(f"SELECT epoch({nearest})::BIGINT, user_id, avg(value), count(*) FROM (SELECT DISTINCT ON (user_id, ts) * FROM events) GROUP BY 1, 2").fetchall()
+    got = registry.QUERIES["str1_radar_slots"](spark, SF).selectExpr("unix_timestamp(slot)", "pixel", "mm_h", "n").collect()
+    assert plain(map(tuple, got)) == plain(want)
