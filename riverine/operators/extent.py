@@ -64,7 +64,11 @@ def footprint_fractions(cells: DataFrame, ids: DataFrame, keys: list[str], by: l
 
 
 def footprint_correlation(fractions: DataFrame, pixels: DataFrame, by: list[str]) -> DataFrame:
-    return fractions.join(pixels.select(*by, "pixel", "value"), [*by, "pixel"]).groupBy(*by).agg(F.corr("fraction", "value").alias("r"), F.count(F.lit(1)).alias("n"))
+    """r and n by group; r is NaN where a side is constant, for which Spark's corr divides by zero."""
+    both = fractions.join(pixels.select(*by, "pixel", "value"), [*by, "pixel"])
+    x, y = F.when(F.col("value").isNotNull(), F.col("fraction")), F.when(F.col("fraction").isNotNull(), F.col("value"))
+    sums = both.groupBy(*by).agg(F.covar_pop("fraction", "value").alias("__cov"), (F.stddev_pop(x) * F.stddev_pop(y)).alias("__dev"), F.count(F.lit(1)).alias("n"))
+    return sums.select(*by, F.when(F.col("__dev") > 0, F.col("__cov") / F.col("__dev")).when(F.col("__dev") == 0, float("nan")).alias("r"), "n")
 
 
 def new_water(after: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:

@@ -51,3 +51,13 @@ def test_radar_slots_are_all_there_and_nearest(spark, tables):
     want = tables.sql(f"SELECT epoch({nearest})::BIGINT, user_id, avg(value), count(*) FROM (SELECT DISTINCT ON (user_id, ts) * FROM events) GROUP BY 1, 2").fetchall()
     got = registry.QUERIES["str1_radar_slots"](spark, SF).selectExpr("unix_timestamp(slot)", "pixel", "mm_h", "n").collect()
     assert plain(map(tuple, got)) == plain(want)
+
+
+@pytest.mark.parametrize("name", ["jon22_overlay", "agg10_confusion", "agg11_scores", "agg12_sweep", "agg13_footprint_fractions", "agg14_footprint_correlation", "set3_agreement"])
+def test_model_side_is_the_whole_run(spark, tables, name):
+    cut, whole = registry.ORACLE_SQL[name], registry.ORACLE_SQL[name].replace("WHERE frame < 3 ", "")
+    df = registry.QUERIES[name](spark, SF)
+    columns = ", ".join(df.columns)
+    got = plain(map(tuple, df.collect()))
+    assert got == plain(tables.sql(f"SELECT {columns} FROM ({whole})").fetchall())
+    assert whole == cut or got != plain(tables.sql(f"SELECT {columns} FROM ({cut})").fetchall())
