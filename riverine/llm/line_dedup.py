@@ -10,12 +10,12 @@ LINE_KEY = "named_struct('a', xxhash64({0}), 'b', xxhash64({0}, 1))"
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_pct: int = 10, min_pages: int = 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_pct: int = 10
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_dropped and the text without boilerplate lines.
 
-    A line (split at newlines, compared as it is) is boilerplate on a host of min_pages pages or more if over
-    max_pct per cent of the host's pages contain it; blank lines never are. A host can have at most
+    A line (split at newlines, compared as it is) is boilerplate on a host, however small, if over max_pct per cent of
+    the host's pages contain it, and two at least; blank lines never are. A host can have at most
     100 / max_pct times as many such lines as its average page has, so they travel as one array a host. A null text
     has 0 lines and stays null; pages without a host form one host; repeated rows count as pages of their own; an
     empty table gives no rows; other columns aren't read.
@@ -25,7 +25,7 @@ def line_dedup(
     keys = pages.selectExpr("host", "explode(array_distinct(transform(filter(split(text, '\\n'), l -> trim(l) <> ''), l -> " + LINE_KEY.format("l") + "))) AS k")
     counts = keys.groupBy("host", "k").agg(F.count(F.lit(1)).alias("n"))
     boiler = (
-        counts.where("n > 1").alias("c").join(totals.where(F.col("pages") >= min_pages).alias("t"), F.expr("c.host <=> t.host"))
+        counts.where("n > 1").alias("c").join(totals.alias("t"), F.expr("c.host <=> t.host"))
         .where(F.expr(f"100 * n > {max_pct} * pages")).groupBy(F.col("c.host").alias("__host")).agg(F.collect_list("k").alias("boiler"))
     )
     split = pages.join(boiler, F.col("host").eqNullSafe(F.col("__host")), "left").selectExpr("doc_id", "text IS NULL AS none", "split(coalesce(text, ''), '\\n') AS lines", "boiler")

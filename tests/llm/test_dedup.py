@@ -88,6 +88,12 @@ def test_lines(spark):
     assert line_dedup(df).count() == len(rows)
 
 
+def test_lines_of_small_hosts(spark):
+    rows = [(i, "B", f"menu\nbody {i}") for i in range(5)] + [(10, "C", "menu\none"), (11, "C", "menu\ntwo"), (20, "D", "menu\nmenu\nalone")]
+    out = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert out == {i: (1, f"body {i}") for i in range(5)} | {10: (1, "one"), 11: (1, "two"), 20: (0, "menu\nmenu\nalone")}
+
+
 def test_components_of_a_chain(spark):
     order = list(range(60))
     random.Random(1).shuffle(order)
