@@ -93,45 +93,81 @@ def _record(data: bytes, at: int) -> tuple[dict, int] | str:
     }, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[list[dict], int] | str:
-    """The records of the gzip member at `at` and where it ends, or what is wrong with it."""
-    z = zlib.decompressobj(31)
+def _readable(data: bytes, at: int, enough: int | None = None) -> tuple[bytes, int]:
+    """What the gzip member at `at` gives before it fails, or its first bytes if `enough` are asked for, and where reading stood."""
+    z, out = zlib.decompressobj(31), bytearray()
+    while at < len(data) and not z.eof:
+        part, before = data[at : at + 4096], z.copy()
+        try:
+            more = z.decompress(part)
+        except zlib.error:
+            more = None
+        if more is not None and (enough is None or len(out) + len(more) < enough):
+            out += more
+            at += len(part)
+            continue
+        for x in part:
+            try:
+                out += before.decompress(bytes([x]))
+            except zlib.error:
+                return bytes(out), at
+            at += 1
+            if enough is not None and len(out) >= enough:
+                break
+        return bytes(out), at
+    return bytes(out), at
+
+
+def _member(data: bytes, at: int) -> tuple[list[dict], int, str | None]:
+    """Records and inner gaps of the gzip member at `at`, where it ends, and what is wrong with the compressed data, if anything.
+
+    A member that is cut off or corrupt gives what precedes the damage, and ends where its last whole record does.
+    """
+    z, wrong = zlib.decompressobj(31), None
     try:
         whole = z.decompress(data[at:]) + z.flush()
+        end = len(data) - len(z.unused_data)
+        if not z.eof:
+            wrong = "gzip: member is cut off"
     except zlib.error as e:
-        return f"gzip: {e}"
-    if not z.eof:
-        return "gzip: member is cut off"
-    records, to = [], 0
-    while to < len(whole):
-        got = _record(whole, to)
-        if isinstance(got, str):
-            return f"in gzip member: {got}"
-        records.append(got[0])
-        to = got[1]
-    return records, len(data) - len(z.unused_data)
-
-
-def salvage(data: bytes) -> Iterator[dict]:
+        wrong = f"gzip: {e}"
+        whole, end = _readable(data, at)
+    inside = list(salvage(whole, members=False))
+    if wrong:
+        while inside and inside[-1]["reason"]:
+            inside.pop()  # up to the damage
+        if inside:
+            end = _readable(data, at, inside[-1]["end"])[1]
+    return [r | {"offset": at, "end": end} | ({"reason": f"in gzip member, bytes {r['offset']} to {r['end']}: {r['reason']}"} if r["reason"] else {}) for r in inside], end, wrong
+
+
+def salvage(data: bytes, members: bool = True) -> Iterator[dict]:
     """Records and gaps of an archive in order: dicts with offset, end, and either reason (a gap) or the record's fields.
 
     Where a check fails, the reader looks for the next gzip member or version line at which a whole record passes
-    all checks; the bytes up to there, or to the end, are one gap.
+    all checks; the bytes up to there, or to the end, are one gap. A member's bytes are read in the same way, those
+    before its damage included; what is in a member has the member's offset and end, or the end of its last whole
+    record if it is damaged behind that. Without `members` the archive is plain.
     """
     at, gap, why = 0, -1, ""
     while at < len(data):
-        got = _member(data, at) if data.startswith(b"\x1f\x8b\x08", at) else _record(data, at)
-        if not isinstance(got, str):
+        if members and data.startswith(b"\x1f\x8b\x08", at):
+            rows, end, wrong = _member(data, at)
+        else:
+            got = _record(data, at)
+            rows, end, wrong = ([], at, got) if isinstance(got, str) else ([got[0] | {"offset": at, "end": got[1], "reason": None}], got[1], None)
+        if rows or not wrong:
             if gap >= 0:
                 yield {"offset": gap, "end": at, "reason": why}
                 gap = -1
-            for r in got[0] if isinstance(got[0], list) else [got[0]]:
-                yield r | {"offset": at, "end": got[1], "reason": None}
-            at = got[1]
-            continue
+            yield from rows
+            at = end
+            if not wrong:
+                continue
         if gap < 0:
-            gap, why = at, got
-        found = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
+            gap, why = at, wrong
+        start = at if rows else at + 1
+        found = [x for x in (data.find(b"\x1f\x8b\x08", start) if members else -1, data.find(b"WARC/1.", start)) if x >= 0]
         at = min(found, default=len(data))
     if gap >= 0:
         yield {"offset": gap, "end": len(data), "reason": why}

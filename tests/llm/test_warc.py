@@ -5,7 +5,9 @@ import gzip
 import hashlib
 import os
 
-from riverine.llm.warc import read_warc, salvage, warc_round_trip, write_warc
+import pytest
+
+from riverine.llm.warc import _readable, read_warc, salvage, warc_round_trip, write_warc
 
 
 def digest(text):
@@ -74,3 +76,26 @@ def test_gzip_members(spark, tmp_path):
     gaps = [r for r in rows if r.reason]
     assert len(gaps) == 1 and gaps[0].reason.startswith("gzip") and gaps[0].end - gaps[0].offset == len(members[1]) and gaps[0].record_id is None
     assert {bytes(r.payload) for r in rows if r.reason is None} <= {f"<p>{i}</p>".encode() for i in range(6)}
+
+
+@pytest.mark.parametrize("level", [0, 9])
+def test_damage_within_a_gzip_member(spark, tmp_path, level):
+    data = archive(spark, tmp_path)
+    at = [r["offset"] for r in salvage(data)]
+    ids = [r["record_id"] for r in salvage(data)]
+    reasons = lambda rows: [r["reason"] for r in rows if r["reason"]]
+    read = lambda rows: [r["record_id"] for r in rows if not r["reason"]]
+    hurt = bytearray(data)
+    hurt[at[3] - 6] ^= 1  # a byte of the third payload
+    got = list(salvage(gzip.compress(bytes(hurt), level)))
+    assert read(got) == ids[:2] + ids[3:] and reasons(got) == [f"in gzip member, bytes {at[2]} to {at[3]}: block digest differs"]
+    last = gzip.compress(data[at[5] :], level)
+    member = gzip.compress(data[: at[5]], level)
+    _, cut = _readable(member, 0, at[3] + 40)  # within the fourth record
+    for behind in (b"", last):
+        got = list(salvage(member[:cut] + behind))
+        # at level 0 the cut block reads on into the next member
+        assert read(got) == ids[:3] + ids[5:] * bool(behind) and len(reasons(got)) == (1 if level or not behind else 2) and reasons(got)[-1].startswith("gzip")
+    got = list(salvage(member[:-8] + b"\0" * 8 + last))  # a wrong checksum
+    assert read(got) == ids and len(reasons(got)) == 1 and reasons(got)[0].startswith("gzip")
+    assert [r["end"] for r in got][-3:] == [r["offset"] for r in got][-2:] + [len(member + last)]
