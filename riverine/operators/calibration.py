@@ -66,13 +66,15 @@ def calibrated(targets: DataFrame, model: DataFrame, observed: DataFrame) -> Dat
     return resample(targets, scaled, ["day", "hour"]).unionByName(uniform.crossJoin(targets.select("point")).select("day", "hour", "point", "mm_h"))
 
 
-def sample_bilinear(targets: DataFrame, raster: DataFrame) -> DataFrame:
-    """point and value at targets (point, y, x) of a raster (iy, ix, y, x, value) on a regular grid; NULL outside or beside a missing value."""
+def sample_bilinear(targets: DataFrame, raster: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, point and value at targets (point, y, x) of every raster (keys, iy, ix, y, x, value) on one regular grid; NULL outside or beside a missing value."""
+    keys = keys or []
     box = raster.agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
     inside = targets.join(F.broadcast(box), F.expr("y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1")).select(*targets.columns)
-    grid = raster.select("iy", "ix", F.col("y").alias("lat"), F.col("x").alias("lon"), F.col("value"))
+    grid = raster.select(*keys, "iy", "ix", F.col("y").alias("lat"), F.col("x").alias("lon"), F.col("value"))
     placed = brackets(brackets(inside, grid, "iy", "lat", "y"), grid, "ix", "lon", "x")
     parts = [F.struct(F.col(f"iy_{a}").alias("iy"), F.col(f"ix_{b}").alias("ix"), ((F.col("iy_w") if a == "hi" else 1 - F.col("iy_w")) * (F.col("ix_w") if b == "hi" else 1 - F.col("ix_w"))).alias("w")) for a in ("lo", "hi") for b in ("lo", "hi")]
     corners = placed.select("point", F.explode(F.array(*parts)).alias("k")).select("point", "k.*").where("w > 0")
-    found = corners.join(grid.select("iy", "ix", "value"), ["iy", "ix"]).groupBy("point").agg(F.when(F.count("value") == F.count(F.lit(1)), F.sum(F.col("w") * F.col("value"))).alias("value"))
-    return targets.join(found, "point", "left")
+    found = corners.join(grid.select(*keys, "iy", "ix", "value"), ["iy", "ix"]).groupBy(*keys, "point").agg(F.when(F.count("value") == F.count(F.lit(1)), F.sum(F.col("w") * F.col("value"))).alias("value"))
+    asked = raster.select(*keys).distinct().crossJoin(targets) if keys else targets
+    return asked.join(found, [*keys, "point"], "left")

@@ -95,18 +95,19 @@ def channels(cells: DataFrame, dx: float, threshold: float = 200.0) -> DataFrame
     )
 
 
-def lagged_rates(channel: DataFrame, times: DataFrame, series: DataFrame) -> DataFrame:
-    """r, c, t_s, rate: a quarter, a half and a quarter of the rates at 0.5, 1 and 1.5 lags before t. times: t_s; series: t_s, mm_h."""
+def lagged_rates(channel: DataFrame, times: DataFrame, series: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, r, c, t_s, rate: a quarter, a half and a quarter of the rates at 0.5, 1 and 1.5 lags before t. times: keys, t_s; series: keys, t_s, mm_h."""
     from riverine.operators.rain import rate_at
 
+    keys = keys or []
     taps = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for w, k in ((0.25, 0.5), (0.5, 1.0), (0.25, 1.5))])
-    asked = channel.select("r", "c", "lag_s").crossJoin(F.broadcast(times)).select("r", "c", "t_s", F.explode(taps).alias("tap"), "lag_s")
-    at = asked.select("r", "c", "t_s", F.col("tap.w").alias("w"), (F.col("t_s") - F.col("tap.k") * F.col("lag_s")).alias("__at"), F.lit(0).alias("__one"))
-    found = rate_at(at, series.select(F.lit(0).alias("__one"), "t_s", "mm_h"), ["__one"], "__at")
-    return found.groupBy("r", "c", "t_s").agg(F.sum(F.col("w") * F.col("rate")).alias("rate"))
+    asked = channel.select("r", "c", "lag_s").crossJoin(F.broadcast(times)).select(*keys, "r", "c", "t_s", F.explode(taps).alias("tap"), "lag_s")
+    at = asked.select(*keys, "r", "c", "t_s", F.col("tap.w").alias("w"), (F.col("t_s") - F.col("tap.k") * F.col("lag_s")).alias("__at"), F.lit(0).alias("__one"))
+    found = rate_at(at, series.select(*keys, F.lit(0).alias("__one"), "t_s", "mm_h"), [*keys, "__one"], "__at")
+    return found.groupBy(*keys, "r", "c", "t_s").agg(F.sum(F.col("w") * F.col("rate")).alias("rate"))
 
 
-def overflow(channel: DataFrame, rates: DataFrame) -> DataFrame:
-    """r, c, t_s and the depth that leaves the channel."""
+def overflow(channel: DataFrame, rates: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, r, c, t_s and the depth that leaves the channel."""
     got = rates.join(channel, ["r", "c"])
-    return got.select("r", "c", "t_s", overflow_depth(F.col("rate"), F.col("area_m2"), F.col("width_m"), F.col("slope"), F.col("depth_m")).alias("excess_m"))
+    return got.select(*(keys or []), "r", "c", "t_s", overflow_depth(F.col("rate"), F.col("area_m2"), F.col("width_m"), F.col("slope"), F.col("depth_m")).alias("excess_m"))

@@ -221,8 +221,11 @@ ORACLE_SQL["jon20_change"] = ORACLE_SQL["jon20_change"].replace("round(10 * log1
 
 @query(f"+ {_F} SELECT DISTINCT region, r, c FROM fr WHERE frame = 2 AND h >= 0.1 EXCEPT SELECT region, r, c FROM fr WHERE frame = 1 AND h >= 0.1", "frames")
 def set2_new_water(spark: SparkSession, sf: str) -> DataFrame:
-    wet = _frames(spark, sf).where("h >= 0.1")
-    return extent.new_water(wet.where("frame = 2"), wet.where("frame = 1"), CELL)
+    """New water of every frame that follows another of its region; the SQL holds frame 2 only."""
+    f = _frames(spark, sf)
+    follows = f.select("region", (F.col("frame") + 1).alias("frame")).distinct()
+    wet = f.where("h >= 0.1")
+    return extent.new_water(wet.join(follows, ["region", "frame"]), wet.withColumn("frame", F.col("frame") + 1), ["frame", *CELL])
 
 
 @query(f"+ {_MX}, {_NEAR} SELECT region, r, c FROM mx WHERE h_max >= 0.1 INTERSECT SELECT region, r, c FROM ne WHERE value >= 0.5", "frames", "pixels")

@@ -218,10 +218,11 @@ def jon4_calibrated(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""+ {_AXES} SELECT tg.point, round(v.value, 6) AS value FROM tg LEFT JOIN (SELECT br.point, {_BILINEAR.format(v='m')} AS value FROM br CROSS JOIN (SELECT min(day) AS day, 8 AS hour FROM model) k {_corners('model')}) v
     ON v.point = tg.point AND tg.lat BETWEEN (SELECT min(lat) FROM model) AND (SELECT max(lat) FROM model) AND tg.lon BETWEEN (SELECT min(lon) FROM model) AND (SELECT max(lon) FROM model)""", "model")
 def jon6_sample_bilinear(spark: SparkSession, sf: str) -> DataFrame:
+    """Every raster of the model; the SQL holds hour 8 of the first day only."""
     model = frame(spark, sf, "model")
-    raster = model.join(F.broadcast(model.agg(F.min("day").alias("day"))), "day").where("hour = 8").select("iy", "ix", F.col("lat").alias("y"), F.col("lon").alias("x"), F.col("mm_h").alias("value"))
+    raster = model.select("day", "hour", "iy", "ix", F.col("lat").alias("y"), F.col("lon").alias("x"), F.col("mm_h").alias("value"))
     targets = _targets(spark, sf).select("point", F.col("lat").alias("y"), F.col("lon").alias("x"))
-    return calibration.sample_bilinear(targets, raster).select("point", F.round("value", 6).alias("value"))
+    return calibration.sample_bilinear(targets, raster, ["day", "hour"]).select("day", "hour", "point", F.round("value", 6).alias("value"))
 
 
 # radar: meshes from suppliers, pixels from events

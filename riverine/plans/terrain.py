@@ -184,13 +184,11 @@ _SERIES = "se AS (SELECT t_s, sum(mm_h) AS mm_h FROM series WHERE day = (SELECT
     SELECT lr.r, lr.c, CAST(t AS DOUBLE) AS t_s, round(rate, 4) AS rate, round(greatest(pow(0.65 * (rate / 1000.0 / 3600.0) * area_m2 * 0.035 / greatest(width_m * sqrt(slope), 1e-9), 0.6) - depth_m, 0.0), 5) AS excess_m
     FROM lr JOIN ch ON ch.r = lr.r AND ch.c = lr.c""", "cells", "series")
 def grf10_overflow(spark: SparkSession, sf: str) -> DataFrame:
-    """WIN8 and GRF10: lagged rates and what they make channels overflow by."""
+    """WIN8 and GRF10: lagged rates and what they make channels overflow by, at every time of every day's series; the SQL holds two times of the first day."""
     channel = drainage.channels(_elevations(spark, sf), DX, 6)
-    series = frame(spark, sf, "series")
-    series = series.join(F.broadcast(series.agg(F.min("day").alias("day"))), "day").groupBy("t_s").agg(F.sum("mm_h").alias("mm_h"))
-    times = series.where("t_s = 0").select(F.explode(F.array(F.lit(20000.0), F.lit(50000.0))).alias("t_s"))
-    rates = drainage.lagged_rates(channel, times, series)
-    return drainage.overflow(channel, rates).join(rates, ["r", "c", "t_s"]).select("r", "c", "t_s", F.round("rate", 4).alias("rate"), F.round("excess_m", 5).alias("excess_m"))
+    series = frame(spark, sf, "series").groupBy("day", "t_s").agg(F.sum("mm_h").alias("mm_h"))
+    rates = drainage.lagged_rates(channel, series.select("day", "t_s"), series, ["day"])
+    return drainage.overflow(channel, rates, ["day"]).join(rates, ["day", "r", "c", "t_s"]).select("day", "r", "c", "t_s", F.round("rate", 4).alias("rate"), F.round("excess_m", 5).alias("excess_m"))
 
 
 for _name in ("grf5_accumulation", "grf8_longest_path", "grf6_streams", "sca18_stream_intensity", "grf9_channels_unfilled", "grf10_overflow"):
