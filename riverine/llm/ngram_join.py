@@ -56,8 +56,13 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
             text, h = gram_sets(b, k)
             n = np.bincount(text, minlength=len(b))
             first = np.cumsum(n) - n
-            ends = np.minimum(first, max(len(h) - 1, 0))
-            total = lambda x: np.where(n > 0, np.add.reduceat(x, ends), np.uint64(0)) if len(x) else np.zeros(len(b), np.uint64)
+
+            def total(x: np.ndarray, n: np.ndarray = n, first: np.ndarray = first) -> np.ndarray:
+                out = np.zeros(len(n), np.uint64)
+                if len(x):
+                    out[n > 0] = np.add.reduceat(x, first[n > 0])  # empty texts have no grams between these
+                return out
+
             bits = np.where(n > 0, 1 << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64), 0)
             at = np.cumsum(bits) - bits
             marks = np.zeros(int(bits.sum()), bool)

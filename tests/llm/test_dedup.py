@@ -9,7 +9,7 @@ from brute import exact, near, repeats
 from riverine.llm.components import components
 from riverine.llm.exact_dedup import DigestIndex, exact_dedup
 from riverine.llm.line_dedup import line_dedup
-from riverine.llm.ngram_join import ngram_join
+from riverine.llm.ngram_join import _profiles, ngram_join
 from riverine.llm.repeat_spans import remove_repeats
 
 ODD = [(None, "a b c d e f"), (None, None), (5, None), (6, ""), (7, " x\t y "), (8, "X y"), (9, "x y z"), (3, "a B c d e f"), (4, "a b c d E f g"), (11, "\n"), (12, "É x"), (13, "é x")]
@@ -88,6 +88,13 @@ def test_lines(spark):
     assert line_dedup(df).count() == len(rows)
 
 
+def test_fingerprints_before_empty_texts(spark):
+    texts = ["a b c d e f g h i j", "k l m n o p q r s t"]
+    prints = lambda rows: {r.doc_id: (r.n, r.fp, r.fp2) for r in _profiles(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1), 5).collect()}
+    plain, followed = prints(texts), prints([*texts, None, ""])
+    assert {i: followed[i] for i in plain} == plain and followed[2] == followed[3]
+
+
 def test_lines_of_small_hosts(spark):
     rows = [(i, "B", f"menu\nbody {i}") for i in range(5)] + [(10, "C", "menu\none"), (11, "C", "menu\ntwo"), (20, "D", "menu\nmenu\nalone")]
     out = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
