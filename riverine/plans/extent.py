@@ -131,7 +131,7 @@ def sca17_clock(spark: SparkSession, sf: str) -> DataFrame:
 # satellite pixels on a 20 x 30 grid
 _NEAR = """ne AS (SELECT region, CAST(round_even(y, 0) AS BIGINT) AS r, CAST(round_even(x, 0) AS BIGINT) AS c, arg_max(value, pixel) AS value, max(pixel) AS pixel FROM pixels
     WHERE value IS NOT NULL AND round_even(x, 0) BETWEEN 0 AND 29 AND round_even(y, 0) BETWEEN 0 AND 19 GROUP BY 1, 2, 3)"""
-_MX = f"{_F}, mx AS (SELECT region, r, c, max(h) AS h_max FROM fr WHERE frame < 3 GROUP BY region, r, c)"
+_MX = f"{_F}, mx AS (SELECT region, r, c, max(h) AS h_max FROM fr GROUP BY region, r, c)"
 _BOTH = f"{_MX}, {_NEAR}, bo AS (SELECT coalesce(mx.region, ne.region) AS region, coalesce(mx.r, ne.r) AS r, coalesce(mx.c, ne.c) AS c, coalesce(h_max >= 0.1, false) AS m, coalesce(value >= 0.5, false) AS s, value FROM mx FULL JOIN ne ON ne.region = mx.region AND ne.r = mx.r AND ne.c = mx.c)"
 _CONF = "co AS (SELECT region, count(*) FILTER (m AND s) AS tp, count(*) FILTER (m AND NOT s) AS fp, count(*) FILTER (NOT m AND s) AS fn, count(*) FILTER (NOT m AND NOT s) AS tn, count(*) FILTER (m) AS model_cells, count(*) FILTER (s) AS sat_cells FROM bo GROUP BY region)"
 _SCORE = "round(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 6) AS precision, round(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 6) AS recall, round(CASE WHEN tp > 0 THEN 2 * CAST(tp AS DOUBLE) / (2 * tp + fp + fn) END, 6) AS f1"
@@ -219,9 +219,9 @@ def jon20_change(spark: SparkSession, sf: str) -> DataFrame:
 ORACLE_SQL["jon20_change"] = ORACLE_SQL["jon20_change"].replace("round(10 * log10(greatest(pre, 1e-9)), 6) AS pre_db", "round(CASE WHEN pre IS NOT NULL THEN 10 * log10(greatest(pre, 1e-9)) END, 6) AS pre_db")
 
 
-@query(f"+ {_F} SELECT DISTINCT region, r, c FROM fr WHERE frame = 2 AND h >= 0.1 EXCEPT SELECT region, r, c FROM fr WHERE frame = 1 AND h >= 0.1", "frames")
+@query(f"+ {_F} SELECT DISTINCT frame, region, r, c FROM fr WHERE (region, frame - 1) IN (SELECT (region, frame) FROM fr) AND h >= 0.1 EXCEPT SELECT frame + 1, region, r, c FROM fr WHERE h >= 0.1", "frames")
 def set2_new_water(spark: SparkSession, sf: str) -> DataFrame:
-    """New water of every frame that follows another of its region; the SQL holds frame 2 only."""
+    """New water of every frame that follows another of its region."""
     f = _frames(spark, sf)
     follows = f.select("region", (F.col("frame") + 1).alias("frame")).distinct()
     wet = f.where("h >= 0.1")

@@ -215,10 +215,11 @@ def jon4_calibrated(spark: SparkSession, sf: str) -> DataFrame:
     return calibration.calibrated(targets, gauge_lon, _observed(spark, sf)).withColumn("mm_h", F.round("mm_h", 5))
 
 
-@query(f"""+ {_AXES} SELECT tg.point, round(v.value, 6) AS value FROM tg LEFT JOIN (SELECT br.point, {_BILINEAR.format(v='m')} AS value FROM br CROSS JOIN (SELECT min(day) AS day, 8 AS hour FROM model) k {_corners('model')}) v
-    ON v.point = tg.point AND tg.lat BETWEEN (SELECT min(lat) FROM model) AND (SELECT max(lat) FROM model) AND tg.lon BETWEEN (SELECT min(lon) FROM model) AND (SELECT max(lon) FROM model)""", "model")
+@query(f"""+ {_AXES}, ks AS (SELECT DISTINCT day, hour FROM model) SELECT ks.day, ks.hour, tg.point, round(v.value, 6) AS value
+    FROM ks CROSS JOIN tg LEFT JOIN (SELECT k.day, k.hour, br.point, {_BILINEAR.format(v='m')} AS value FROM br CROSS JOIN ks k {_corners('model')}) v
+    ON v.day = ks.day AND v.hour = ks.hour AND v.point = tg.point AND tg.lat BETWEEN (SELECT min(lat) FROM model) AND (SELECT max(lat) FROM model) AND tg.lon BETWEEN (SELECT min(lon) FROM model) AND (SELECT max(lon) FROM model)""", "model")
 def jon6_sample_bilinear(spark: SparkSession, sf: str) -> DataFrame:
-    """Every raster of the model; the SQL holds hour 8 of the first day only."""
+    """Every raster of the model."""
     model = frame(spark, sf, "model")
     raster = model.select("day", "hour", "iy", "ix", F.col("lat").alias("y"), F.col("lon").alias("x"), F.col("mm_h").alias("value"))
     targets = _targets(spark, sf).select("point", F.col("lat").alias("y"), F.col("lon").alias("x"))

@@ -47,11 +47,13 @@ def str5_sliding_totals(spark: SparkSession, sf: str) -> DataFrame:
     return run_stream(spark, feeds.sliding_totals(messages), "complete").withColumn("mm", F.round("mm", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query(None)
+@query("""SELECT CAST(to_timestamp(300 * floor((epoch(date_trunc('minute', ts)) + 150) / 300)) AT TIME ZONE 'UTC' AS TIMESTAMP) AS slot, user_id AS pixel, round(avg(value), 6) AS mm_h, count(*) AS n
+    FROM (SELECT DISTINCT ON (user_id, ts) * FROM events) GROUP BY 1, 2""")
 def str1_radar_slots(spark: SparkSession, sf: str) -> DataFrame:
     """STR1 and STR2: the table is finite, so all of its slots come, those that the 8-day watermark hasn't passed included."""
     messages = feeds.slotted(_events(spark, sf).select("ts", F.col("user_id").alias("pixel"), F.col("value").alias("mm_h")))
-    return run_stream(spark, feeds.radar_slots(messages.drop("slot")), "complete")
+    got = run_stream(spark, feeds.radar_slots(messages.drop("slot")), "complete")
+    return got.select(F.col("slot").cast("timestamp_ntz").alias("slot"), "pixel", F.round("mm_h", 6).alias("mm_h"), "n")
 
 
 @query("SELECT CAST(month(l_shipdate) AS BIGINT) AS region, CAST(floor((l_partkey % 600) / CAST(30 AS DOUBLE)) AS BIGINT) AS r, CAST(l_partkey % 30 AS BIGINT) AS c, max(l_quantity / 100) AS h_max, count(*) AS frames FROM lineitem GROUP BY 1, 2, 3")
@@ -64,7 +66,7 @@ def str3_running_depth(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def str4_zone_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The zone means as a stream through transformWithState; equal to str4_zone_storage (tests/test_streams.py)."""
+    """The zone means as a stream through transformWithState; equal to str4_zone_storage (tests/test_registry.py)."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     z = frame(spark, sf, "zones")
     means = zones.zone_means(_frames(spark, sf), z, DX).join(F.broadcast(z.select("zone", "floor_depth_m", "threshold_m", "coupling_s")), "zone")

@@ -176,15 +176,15 @@ def grf9_channels_unfilled(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("r", "c", "area_m2", *[F.round(x, 6).alias(x) for x in ("slope", "width_m", "depth_m")], F.round("lag_s", 3).alias("lag_s"))
 
 
-_SERIES = "se AS (SELECT t_s, sum(mm_h) AS mm_h FROM series WHERE day = (SELECT min(day) FROM series) GROUP BY t_s), sg AS (SELECT lag(t_s) OVER (ORDER BY t_s) AS lo, t_s AS hi, lag(mm_h) OVER (ORDER BY t_s) AS r0, mm_h AS r1 FROM se)"
+_SERIES = "se AS (SELECT day, t_s, sum(mm_h) AS mm_h FROM series GROUP BY day, t_s), sg AS (SELECT day, lag(t_s) OVER w AS lo, t_s AS hi, lag(mm_h) OVER w AS r0, mm_h AS r1 FROM se WINDOW w AS (PARTITION BY day ORDER BY t_s))"
 
 
-@query(f"""+ {_CHANNEL}, {_SERIES}, ta AS (SELECT r, c, t, w, t - k * lag_s AS q FROM ch, (VALUES (0.25, 0.5), (0.5, 1.0), (0.25, 1.5)) v(w, k), (VALUES (20000.0), (50000.0)) u(t)),
-    lr AS (SELECT r, c, t, sum(w * CASE WHEN hi IS NULL THEN 0.0 WHEN lo IS NULL THEN r1 ELSE r0 + (r1 - r0) * (q - lo) / (hi - lo) END) AS rate FROM ta LEFT JOIN sg ON q <= hi AND q > coalesce(lo, -1e300) GROUP BY r, c, t)
-    SELECT lr.r, lr.c, CAST(t AS DOUBLE) AS t_s, round(rate, 4) AS rate, round(greatest(pow(0.65 * (rate / 1000.0 / 3600.0) * area_m2 * 0.035 / greatest(width_m * sqrt(slope), 1e-9), 0.6) - depth_m, 0.0), 5) AS excess_m
+@query(f"""+ {_CHANNEL}, {_SERIES}, ta AS (SELECT day, r, c, t, w, t - k * lag_s AS q FROM ch, (VALUES (0.25, 0.5), (0.5, 1.0), (0.25, 1.5)) v(w, k), (SELECT DISTINCT day, t_s AS t FROM series) u),
+    lr AS (SELECT ta.day AS day, r, c, t, sum(w * CASE WHEN hi IS NULL THEN 0.0 WHEN lo IS NULL THEN r1 ELSE r0 + (r1 - r0) * (q - lo) / (hi - lo) END) AS rate FROM ta LEFT JOIN sg ON sg.day = ta.day AND q <= hi AND q > coalesce(lo, -1e300) GROUP BY ta.day, r, c, t)
+    SELECT lr.day, lr.r, lr.c, CAST(t AS DOUBLE) AS t_s, round(rate, 4) AS rate, round(greatest(pow(0.65 * (rate / 1000.0 / 3600.0) * area_m2 * 0.035 / greatest(width_m * sqrt(slope), 1e-9), 0.6) - depth_m, 0.0), 5) AS excess_m
     FROM lr JOIN ch ON ch.r = lr.r AND ch.c = lr.c""", "cells", "series")
 def grf10_overflow(spark: SparkSession, sf: str) -> DataFrame:
-    """WIN8 and GRF10: lagged rates and what they make channels overflow by, at every time of every day's series; the SQL holds two times of the first day."""
+    """WIN8 and GRF10: lagged rates and what they make channels overflow by, at every time of every day's series."""
     channel = drainage.channels(_elevations(spark, sf), DX, 6)
     series = frame(spark, sf, "series").groupBy("day", "t_s").agg(F.sum("mm_h").alias("mm_h"))
     rates = drainage.lagged_rates(channel, series.select("day", "t_s"), series, ["day"])
@@ -198,7 +198,7 @@ for _name in ("grf5_accumulation", "grf8_longest_path", "grf6_streams", "sca18_s
 @query("""+ v AS (SELECT r, c FROM cells WHERE elev IS NULL), rc AS (SELECT r, c FROM v WHERE r = 0 OR c = 0 OR r = (SELECT max(r) FROM cells) OR c = (SELECT max(c) FROM cells)
       UNION SELECT v.r, v.c FROM rc JOIN v ON abs(v.r - rc.r) + abs(v.c - rc.c) = 1) SELECT cells.r, cells.c, rc.r IS NOT NULL AS sea FROM cells LEFT JOIN rc ON rc.r = cells.r AND rc.c = cells.c""", "cells")
 def grf1_sea(spark: SparkSession, sf: str) -> DataFrame:
-    return voids.classified(frame(spark, sf, "cells"), tile=64).select("r", "c", "sea")
+    return voids.classified(frame(spark, sf, "cells"), tile=16).select("r", "c", "sea")
 
 
 ORACLE_SQL["grf1_sea"] = _RECURSIVE(ORACLE_SQL["grf1_sea"])
@@ -206,14 +206,14 @@ ORACLE_SQL["grf1_sea"] = _RECURSIVE(ORACLE_SQL["grf1_sea"])
 
 @query(None)
 def grf2_filled_holes(spark: SparkSession, sf: str) -> DataFrame:
-    return voids.filled_holes(voids.classified(frame(spark, sf, "cells"), tile=64), tile=64).withColumn("elev", F.round("elev", 6))
+    return voids.filled_holes(voids.classified(frame(spark, sf, "cells"), tile=16), tile=16).withColumn("elev", F.round("elev", 6))
 
 
 @query(None)
 def grf3_filled_depressions(spark: SparkSession, sf: str) -> DataFrame:
-    return voids.filled_depressions(_elevations(spark, sf), tile=64)
+    return voids.filled_depressions(_elevations(spark, sf), tile=16)
 
 
 @query(None)
 def grf9_channels(spark: SparkSession, sf: str) -> DataFrame:
-    return drainage.channels(voids.filled_depressions(_elevations(spark, sf), tile=64), DX, 20)
+    return drainage.channels(voids.filled_depressions(_elevations(spark, sf), tile=16), DX, 20)
