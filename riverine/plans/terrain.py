@@ -166,7 +166,7 @@ def sca18_stream_intensity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CHANNEL = f"""{_ROUTE}, hd AS (SELECT up.r, up.c, max(up.head) AS head FROM up JOIN ro ON ro.r = up.r AND ro.c = up.c AND abs(up.path - ro.path_m) < 1e-6 GROUP BY up.r, up.c),
-    ch AS (SELECT ro.r, ro.c, CAST(acc * 25 AS DOUBLE) AS area_m2, greatest(coalesce(slope, 1e-4), 1e-4) AS slope, 2.5 * pow(acc * 25.0 / 1e6, 0.5) AS width_m, 0.3 * pow(acc * 25.0 / 1e6, 0.4) AS depth_m,
+    ch AS MATERIALIZED (SELECT ro.r, ro.c, CAST(acc * 25 AS DOUBLE) AS area_m2, greatest(coalesce(slope, 1e-4), 1e-4) AS slope, 2.5 * pow(acc * 25.0 / 1e6, 0.5) AS width_m, 0.3 * pow(acc * 25.0 / 1e6, 0.4) AS depth_m,
       path_m / least(greatest(1.5 * sqrt(greatest((head - z) / greatest(path_m, 1e-6), 1e-6) / 0.01), 0.3), 3.0) AS lag_s FROM ro JOIN fl ON fl.r = ro.r AND fl.c = ro.c JOIN hd ON hd.r = ro.r AND hd.c = ro.c WHERE acc >= 6)"""
 
 
