@@ -58,7 +58,7 @@ def test_repeats(spark, seed):
 def test_repeats_with_text(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     rows = [(1, f"a {passage}\n b"), (2, f"c {passage} d"), (3, "one  two"), (4, None)]
-    out = {r.doc_id: (r.kept_sha256, r.low, r.apart) for r in remove_repeats(frame(spark, rows), keep=["low", "apart"], with_text=True).collect()}
+    out = {r.doc_id: (r.kept, r.low, r.apart) for r in remove_repeats(frame(spark, rows), keep=["low", "apart"], text_name="kept").collect()}
     assert out == {1: (f"a {passage}\n b", "y", 3), 2: ("c d", "y", 3), 3: ("one  two", "y", 3), 4: (None, "y", 3)}
 
 
