@@ -40,8 +40,8 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the word spans that a document of a smaller id has."""
-    cut = remove_repeats(docs, keep=["lang", "source"], with_text=True)
-    return cut.withColumn("text", F.col("kept_sha256")).withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
+    cut = remove_repeats(docs, keep=["lang", "source"], text_name="text")
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
