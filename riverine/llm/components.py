@@ -11,13 +11,13 @@ from riverine.llm.shared import written
 def _large_star(edges: DataFrame) -> DataFrame:
     """Joins every larger neighbour of a node to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")  # written, so that Spark can split a hub in the join
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Joins a node and its smaller neighbours to the smallest of them; edges have u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
@@ -35,4 +35,4 @@ def components(links: DataFrame) -> DataFrame:
         if found == state or not found[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = found
-        edges = written(_small_star(_large_star(edges).where("u > v").distinct()).distinct(), "links")
+        edges = written(_small_star(written(_large_star(edges).where("u > v").distinct(), "stars")).distinct(), "links")

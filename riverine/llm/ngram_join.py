@@ -1,10 +1,13 @@
 """Documents whose sets of word n-grams have a Jaccard similarity of at least a bound, and their components.
 
-The sparse product of the document-by-gram incidence matrix with its transpose is worked in blocks of one gram. Only
-the part of a row that size bounds ask for takes part: two sets of similarity s share one of the first
-|A| - ceil(s |A|) + 1 grams of A and of B in any order of all grams. The order is by hash, grams of crowded hash
-bins last. Counts of grams then discard pairs: by sizes, by signatures that bound the overlap from above, and by the
-exact overlap.
+The product of the sparse document-by-gram incidence matrix with its transpose is worked in blocks.
+
+1. Which entries to work: of each row, only the part that size bounds ask for. Two sets of similarity s share one of
+   the first |A| - ceil(s |A|) + 1 grams of A and of B in any order of all grams (here by hash, grams of crowded hash
+   bins last). Sizes, counts of shared prefix grams and signatures, which bound the overlap from above, discard pairs.
+2. The entries: the matrix is cut into blocks of columns. Block by block, the product adds to a pair's overlap count;
+   a pair goes as soon as the count and what is left of either row cannot reach the least overlap for their sizes.
+   What is left after the last block has its exact count, which decides.
 """
 
 from __future__ import annotations
@@ -12,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ from riverine.llm.textblocks import Block, block, hashes, mix, slices, windows,
 
 #: Hash bins of the order of grams: one count each, whatever the corpus.
 BINS = 1 << 18
-#: Counts in a row that a task hands on.
-CHUNK = 1 << 12
+#: Blocks of columns (a power of two): a gram's block is in the highest bits of its hash.
+BLOCKS = 4
 
 
 def gram_sets(b: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +84,7 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
 def crowded_bins(docs: DataFrame, k: int) -> np.ndarray:
     """By hash bin, whether it holds far more gram occurrences than chance gives it: then it has a frequent gram.
 
-    Counts are over all texts. A task hands on one count a bin, and the driver one bit a bin.
+    Counts are over all texts. A task hands on one count a bin, and the driver gets one.
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,20 +94,12 @@ def crowded_bins(docs: DataFrame, k: int) -> np.ndarray:
             w = words(b)
             h, whole = windows(hashes(b, w), w.first, k)
             total += np.bincount((h[whole] % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-        chunks = total.reshape(-1, CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(chunks))), pa.array([c.tobytes() for c in chunks], pa.binary())], ["chunk", "counts"])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bin", "n"])
 
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(CHUNK, np.int64)
-        for c in part["counts"]:
-            total += np.frombuffer(c, np.int64)
-        return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "counts": [total.tobytes()]})
-
-    schema = "chunk bigint, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).groupBy("chunk").applyInPandas(add, schema).toPandas()  # BINS / CHUNK rows
+    rows = docs.select("text").mapInArrow(count, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # at most BINS rows
     counts = np.zeros(BINS)
-    for chunk, c in zip(rows["chunk"], rows["counts"], strict=True):
-        counts[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(c, np.int64)
+    counts[rows["bin"].to_numpy(np.int64)] = rows["n"]
     usual = np.median(counts)
     return counts > usual + 8 * np.sqrt(usual) + 8
 
@@ -159,24 +153,69 @@ def _folded(bits: int, wide: int, narrow: int) -> int:
     return bits
 
 
-def _by_overlap(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose exact overlap suffices; pairs is a written table."""
+def _incidence(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, a fingerprint and the size of its set, and the sorted gram hashes of every block: a row of the incidence matrix."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = np.uint64(0xA24BAED4963EE407)
-        for batch in (part for whole in batches for part in slices(whole, "ta")):
-            (ra, ha), (rb, hb) = (gram_sets(block(batch.column(c), lower=True), k) for c in ("ta", "tb"))
-            n = batch.num_rows
-            shared = np.isin(mix(ha + ra.astype(np.uint64) * salt), mix(hb + rb.astype(np.uint64) * salt))
-            both = np.bincount(ra[shared], minlength=n)
-            either = np.bincount(ra, minlength=n) + np.bincount(rb, minlength=n) - both
-            linked = pa.array((100 * both >= percent * either) & (both > 0))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(linked), batch.column("b").filter(linked)], ["a", "b"])
+        shift = np.uint64(64 - (BLOCKS - 1).bit_length())
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            text, h = gram_sets(block(batch.column("text"), lower=True), k)
+            n = np.bincount(text, minlength=batch.num_rows)
+            prints = np.add.reduceat(np.append(mix(h), np.uint64(0)), np.cumsum(n) - n)
+            columns = []
+            for j in range(BLOCKS):
+                inside = (h >> shift) == np.uint64(j)
+                ends = np.concatenate([[0], np.cumsum(8 * np.bincount(text[inside], minlength=batch.num_rows))]).astype("<i4")
+                columns.append(pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(h[inside].tobytes())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64)), pa.array(n), *columns], ["doc_id", "fp", "n", *(f"g{j}" for j in range(BLOCKS))])
+
+    return docs.mapInArrow(run, "doc_id bigint, fp bigint, n bigint, " + ", ".join(f"g{j} binary" for j in range(BLOCKS)))
+
 
+def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes in a binary column, and the row that each belongs to."""
+    sizes = np.diff(np.frombuffer(column.cast(pa.large_binary()).buffers()[1], "<i8")[column.offset : column.offset + len(column) + 1]) // 8 if len(column) else np.zeros(0, np.int64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64), np.repeat(np.arange(len(column)), sizes)
+
+
+def overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """By row, how many hashes stand in both columns; a row's hashes are distinct."""
+    (ha, ra), (hb, rb) = _grams(a), _grams(b)
+    h, row = np.concatenate([ha, hb]), np.concatenate([ra, rb])
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    twice = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+    return np.bincount(row[1:][twice], minlength=len(a))
+
+
+def _product(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of pairs, a written table, whose accumulated overlap suffices.
+
+    Documents that share an id have a row of the matrix each, and a pair of ids links by any of its rows.
+    """
     ids = written(pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct(), "pair-ids")
-    texts = docs.join(small_or_not(ids), docs["doc_id"] == F.col("__id"), "left_semi")
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    rows = written(_incidence(docs.join(small_or_not(ids), docs["doc_id"] == F.col("__id"), "left_semi"), k), "incidence")
+    carried = ["a", "b", "fa", "fb", "na", "nb", "met", "seen_a", "seen_b"]
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "ga")):
+            na, nb, met, seen_a, seen_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb", "met", "seen_a", "seen_b"))
+            ga, gb = batch.column("ga"), batch.column("gb")
+            met = met + overlaps(ga, gb)
+            seen_a, seen_b = (seen + np.array([len(g) // 8 for g in col.to_pylist()], np.int64) for seen, col in ((seen_a, ga), (seen_b, gb)))
+            open_ = pa.array(met + np.minimum(na - seen_a, nb - seen_b) >= least_overlap(na, nb, percent))
+            columns = [*(batch.column(c) for c in carried[:6]), pa.array(met), pa.array(seen_a), pa.array(seen_b)]
+            yield pa.RecordBatch.from_arrays([c.filter(open_) for c in columns], carried)
+
+    state = pairs
+    for j in range(BLOCKS):
+        side = lambda x, j=j: rows.select(F.col("doc_id").alias(x), F.col("fp").alias(f"f{x}"), F.col("n").alias(f"n{x}"), F.col(f"g{j}").alias(f"g{x}"))
+        if j:
+            met = state.join(side("a").drop("na"), ["a", "fa"]).join(side("b").drop("nb"), ["b", "fb"])
+        else:
+            met = state.join(side("a"), "a").join(side("b"), "b").selectExpr("*", "0L AS met", "0L AS seen_a", "0L AS seen_b")
+        state = written(met.select(*carried, "ga", "gb").mapInArrow(add, ", ".join(f"{c} bigint" for c in carried)), "overlaps")
+    return state.select("a", "b").distinct()
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -213,11 +252,12 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     entries = written(blocks.join(sized, "doc_id"), "entries")
     leaders = written(entries.groupBy("gram").agg(F.max(F.struct("share", (-F.col("doc_id")).alias("lead"))).alias("m")).select("gram", (-F.col("m.lead")).alias("lead")), "leaders")
     stars = entries.select("gram", "doc_id").join(leaders, "gram").where("lead <> doc_id").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct()
-    first = written(_by_overlap(written(_by_signature(stars, sets, percent), "star-pairs"), known, k, percent), "star-links")
+    first = written(_product(written(_by_signature(stars, sets, percent), "star-pairs"), known, k, percent), "star-links")
 
-    links = lambda *found: equal.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).unionByName(
-        _union(found).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    )
+    # a set's copies hang on its representative, and take no part but for documents of several texts
+    several = equal.groupBy(F.col("doc_id").alias("u")).agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("u")
+    hinges = written(equal.join(several, F.col("doc_id") == F.col("u"), "left_semi").selectExpr("doc_id AS u", "rep AS v"), "hinges")
+    links = lambda *found: hinges.unionByName(_union(found).select(F.col("a").alias("u"), F.col("b").alias("v")))
     near = components(links(first))
     placed = entries.join(near, F.col("doc_id") == F.col("node"), "left").select("gram", "doc_id", "n", "c", F.coalesce("component", "doc_id").alias("comp"))
     open_grams = written(placed.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("gram"), "open-grams")
@@ -231,9 +271,11 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     fits = F.expr(f"l.doc_id < r.doc_id AND l.comp <> r.comp AND 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) AND least(l.c, r.c) >= {least}")
     met = left.join(right, (F.col("l.gram") == F.col("r.gram")) & fits).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"), F.expr(least).alias("least"))
     rest = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("least").alias("least")).where("c >= least").select("a", "b")
-    second = written(_by_overlap(written(_by_signature(rest, sets, percent), "rest-pairs"), known, k, percent), "rest-links")
+    second = written(_product(written(_by_signature(rest, sets, percent), "rest-pairs"), known, k, percent), "rest-links")
     final = components(links(first, second))
-    return profiles.join(final, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    of_copies = equal.join(final, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("__id"), F.coalesce("component", "rep").alias("component"))
+    placed = written(of_copies.groupBy("__id").agg(F.min("component").alias("component")), "components")
+    return profiles.join(placed, F.col("doc_id") == F.col("__id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def _union(tables: tuple[DataFrame, ...]) -> DataFrame:

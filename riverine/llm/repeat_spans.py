@@ -176,7 +176,7 @@ def _fields(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
 
 
 def _with_nodes(docs: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """key, source, start, count, enters and leaves: edges with the nodes that they lead from and to, read at their source coordinates."""
+    """key, source, start, count, enters and leaves: edges where they first stand in their source, and the nodes that they lead from and to."""
     names = ["key", "source", "start", "count", "enters", "leaves"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,19 +185,21 @@ def _with_nodes(docs: DataFrame, edges: DataFrame, k: int) -> DataFrame:
             w = words(b)
             p, h = pieces(b, w, k)
             nodes, _ = windows(hashes(b, w), w.first, k - 1)
-            digest = np.zeros(len(h), np.int64)
-            digest[w.first[p.text] + p.start] = p.digest
-            key, start, count, text = _fields(batch.column("edges"), "key", "start", "count")
-            fits = start + count + k - 1 <= w.counts[text]
-            key, start, count, text = key[fits], start[fits], count[fits], text[fits]
-            at = w.first[text] + start
-            same = (h[at] == key) | (digest[at] == key)  # rows that share the id may have another text
-            key, start, count, text, at = key[same], start[same], count[same], text[same], at[same]
-            yield from _batches(names, [key, batch.column("doc_id").take(pa.array(text)), start.astype(np.int32), count.astype(np.int32), nodes[at].view(np.int64), nodes[at + count].view(np.int64)])
-
-    lists = written(edges.groupBy("source").agg(F.collect_list(F.struct("key", "start", "count")).alias("edges")), "edge-lists")
+            text = np.repeat(np.arange(len(b)), w.counts)[: len(h)]
+            key, at = np.concatenate([p.digest, h]), np.concatenate([w.first[p.text] + p.start, np.arange(len(h))])
+            count, text = np.concatenate([p.count, np.ones(len(h), np.int64)]), np.concatenate([p.text, text])
+            chosen = np.flatnonzero(_among(key, text, batch.column("keys")))
+            chosen = chosen[at[chosen] + k <= w.first[text[chosen] + 1]]
+            chosen = chosen[np.lexsort((at[chosen], key[chosen], text[chosen]))]
+            first = np.ones(len(chosen), bool)
+            first[1:] = (key[chosen][1:] != key[chosen][:-1]) | (text[chosen][1:] != text[chosen][:-1])
+            key, at, count, text = (x[chosen[first]] for x in (key, at, count, text))
+            start = (at - w.first[text]).astype(np.int32)
+            yield from _batches(names, [key, batch.column("doc_id").take(pa.array(text)), start, count.astype(np.int32), nodes[at].view(np.int64), nodes[at + count].view(np.int64)])
+
+    lists = written(edges.groupBy("source").agg(F.collect_list("key").alias("keys")), "edge-lists")
     found = _by_document(docs, lists, "source").mapInArrow(run, "key bigint, source bigint, start int, count int, enters bigint, leaves bigint")
-    once = found.repartition("source").groupBy("source", "key").agg(*[F.min(c).alias(c) for c in ("start", "count", "enters", "leaves")])
+    once = found.repartition("source").groupBy("source", "key").agg(*[F.min(c).alias(c) for c in ("start", "count", "enters", "leaves")])  # rows may share an id
     return written(once, "graph-edges")
 
 
@@ -213,8 +215,11 @@ def _paths(edges: DataFrame) -> DataFrame:
     before = lambda c: F.lag(c).over(along)
     follows = F.col("node").isNotNull() & (before(F.col("start") + F.col("count")) == F.col("start")) & (before("leaves") == F.col("enters"))
     marked = edges.join(inner, F.col("enters") == F.col("node"), "left").withColumn("first", ~F.coalesce(follows, F.lit(False)))
-    runs = written(marked.withColumn("run", F.last(F.when(F.col("first"), F.col("start")), ignorenulls=True).over(along)).select("key", "source", "start", "count", "enters", "leaves", "run", "first"), "runs")
-    whole = runs.groupBy("source", "run").agg(F.sum("count").alias("n"), F.min(F.when(F.col("first"), F.col("enters"))).alias("enters"), F.max_by("leaves", "start").alias("leaves"))
+    ending = F.coalesce(F.lead("first").over(along), F.lit(True))
+    run = F.last(F.when(F.col("first"), F.col("start")), ignorenulls=True).over(along)
+    ended = marked.select("key", "source", "start", "count", F.when(F.col("first"), F.col("enters")).alias("enters"), F.when(ending, F.col("leaves")).alias("leaves"), run.alias("run"))
+    runs = written(ended, "runs")
+    whole = runs.groupBy("source", "run").agg(F.sum("count").alias("n"), F.min("enters").alias("enters"), F.min("leaves").alias("leaves"))
     islands = written(whole, "run-ends")
     over = islands.join(inner, F.col("leaves") == F.col("node")).select(F.col("source").alias("up_source"), F.col("run").alias("up_run"), F.col("n").alias("up_n"), F.col("node").alias("meets"))
     linked = islands.join(over, (F.col("enters") == F.col("meets")) & ((F.col("up_source") != F.col("source")) | (F.col("up_run") != F.col("run"))), "left")
@@ -267,8 +272,7 @@ def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
     shared = _shared_minimizers(plain, k)
     lists = _minimizers(plain, k).join(shared, "m").groupBy("doc_id").agg(F.collect_set(F.expr("IF(branching, NULL, m)")).alias("plain"), F.collect_set(F.expr("IF(branching, m, NULL)")).alias("branching"))
     places = written(_places(_by_document(plain, written(lists, "minimizer-lists"), "doc_id"), k), "places")
-    seen = places.groupBy("key").agg(F.min("doc_id").alias("source"), F.min_by("start", "doc_id").alias("start"), F.min("count").alias("count"), F.max("doc_id").alias("last"))
-    edges = written(seen.where("source < last").drop("last"), "edges")
+    edges = places.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
     paths = _paths(_with_nodes(plain, edges, k))
     met = places.join(paths, "key").where("doc_id > source").selectExpr("*", "start - at AS diagonal", "start - source_start AS shift")
     line = ["doc_id", "version", "path_source", "path_start", "diagonal", "source", "shift"]  # by source too: a short document may be the source of an edge amid another's

@@ -58,8 +58,12 @@ def block(column: pa.Array, lower: bool = False) -> Block:
 
 
 def slices(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch by rows into slices of about `size` bytes of the text column."""
-    sizes = np.frombuffer(batch.column(column).fill_null("").cast(pa.large_string()).buffers()[1], "<i8")[: batch.num_rows + 1] if batch.num_rows else np.zeros(1)
+    """Cuts a batch by rows into slices of about `size` bytes of a text or binary column."""
+    sizes = np.zeros(1)
+    if batch.num_rows:
+        texts = batch.column(column)
+        plain = texts.fill_null(b"").cast(pa.large_binary()) if pa.types.is_binary(texts.type) else texts.fill_null("").cast(pa.large_string())
+        sizes = np.frombuffer(plain.buffers()[1], "<i8")[: batch.num_rows + 1]
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + size, "right")) - 1)
