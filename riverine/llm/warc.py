@@ -16,8 +16,10 @@ from riverine.llm.shared import new_path, small_or_not, written
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
-#: Records of one archive file, so that a reading task holds a few MB.
-RECORDS_PER_FILE = 2000
+#: Records of one archive file, so that a reading task holds some MB; pages beyond LARGE bytes go to files of FILE_BYTES at most.
+RECORDS_PER_FILE, LARGE, FILE_BYTES = 2000, 256 << 10, 512 << 20
+#: Compressed bytes read at once.
+CHUNK = 1 << 16
 
 
 def base32_sha1(col: Column) -> Column:
@@ -53,7 +55,11 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: st
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), line("WARC-Block-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("block")))),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", F.octet_length("block").cast("string")), F.lit("\r\n"), F.col("block"),
     )
-    block.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    most = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    size = F.octet_length("payload")
+    for part, records in ((block.where(size <= LARGE), RECORDS_PER_FILE), (block.where(size > LARGE), max(1, FILE_BYTES // (most + 4096)))):
+        if records == RECORDS_PER_FILE or most > LARGE:
+            part.select(record.alias("value")).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", records).text(path)
 
 
 def _digest(data: bytes) -> str:
@@ -123,10 +129,13 @@ def _member(data: bytes, at: int) -> tuple[list[dict], int, str | None]:
 
     A member that is cut off or corrupt gives what precedes the damage, and ends where its last whole record does.
     """
-    z, wrong = zlib.decompressobj(31), None
+    z, wrong, parts, end, view = zlib.decompressobj(31), None, [], at, memoryview(data)
     try:
-        whole = z.decompress(data[at:]) + z.flush()
-        end = len(data) - len(z.unused_data)
+        while end < len(data) and not z.eof:
+            parts.append(z.decompress(view[end : end + CHUNK]))
+            end = min(end + CHUNK, len(data))
+        whole = b"".join(parts)
+        end -= len(z.unused_data)
         if not z.eof:
             wrong = "gzip: member is cut off"
     except zlib.error as e:
@@ -195,18 +204,31 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, FIELDS)
 
 
+def read_or_quarantine(spark: SparkSession, path: str, quarantine: str, payloads: bool = True) -> tuple[DataFrame, int]:
+    """The records of the archives below path, and how many gaps there are; the gaps (file, offset, end, reason) are appended to the Parquet table `quarantine`."""
+    found = written(read_warc(spark, path, payloads), "warc-records")
+    gaps = found.where("reason IS NOT NULL").select("file", "offset", "end", "reason")
+    n = gaps.count()
+    if n:
+        gaps.write.mode("append").parquet(quarantine)
+    return found.where("reason IS NULL").drop("reason"), n
+
+
 def warc_round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Writes archives and reads them back, one row per row of pages: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A revisit takes the size from the response it refers to. Equal rows of one page_id are responses alike; pages
-    without an id read back with a null id; an empty table gives no rows; other columns aren't written.
+    without an id read back with a null id; an empty table gives no rows; other columns aren't written. Damage in the
+    archives is an error: its gaps are in a quarantine table beside them.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_warc(pages.select("page_id", "url", "html"), path, min_revisit_bytes)
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]+):', 1) AS bigint)")
-    read = read_warc(spark, path, payloads=False).where("reason IS NULL")
-    records = written(read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "record_id", "refers_to_id", number("refers_to_id").alias("refers_to")), "records")
+    read, gaps = read_or_quarantine(spark, path, f"{path}-quarantine", payloads=False)
+    if gaps:
+        raise ValueError(f"{gaps} damaged stretches in archives just written, see {path}-quarantine")
+    records = (read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "record_id", "refers_to_id", number("refers_to_id").alias("refers_to")))
     responses = records.where("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("record_id").alias("__id")).agg(F.max("payload_bytes").alias("__bytes"))
     return records.join(responses, F.col("refers_to_id") == F.col("__id"), "left").select(
         "page_id", F.coalesce("payload_bytes", "__bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"
