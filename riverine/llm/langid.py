@@ -33,14 +33,13 @@ class LanguageFilter:
         share = [np.mean((self.planes[i // 64] >> np.uint64(i % 64)) & np.uint64(1)) for i in range(len(self.languages))]
         return np.minimum(np.array(share) ** self.probes, 0.999)
 
-    def positions(self, grams: np.ndarray) -> list[np.ndarray]:
+    def positions(self, grams: np.ndarray, size: int) -> list[np.ndarray]:
         h = mix(grams.astype(np.uint64) + np.uint64(1))
-        size = np.uint64(len(self.planes[0]))
-        return [((h >> np.uint64(16 * k)) % size).astype(np.int64) for k in range(self.probes)]
+        return [((h >> np.uint64(16 * k)) % np.uint64(size)).astype(np.int64) for k in range(self.probes)]
 
     def masks(self, grams: np.ndarray) -> list[np.ndarray]:
         """Of every gram, the languages that contain it: one AND over the probes answers for 64 languages at once."""
-        at = self.positions(grams)
+        at = self.positions(grams, len(self.planes[0]))
         found = []
         for plane in self.planes:
             mask = plane[at[0]]
@@ -64,41 +63,46 @@ def padded(column: pa.Array) -> pa.Array:
 
 
 def training_sample(docs: DataFrame, max_docs: int) -> DataFrame:
-    """At most max_docs (doc_id, text, lang) of each language, those of the smallest hashes of doc_id."""
+    """At most max_docs (lang, text) of each language, those of the smallest hashes of doc_id.
+
+    Counts by language and range of hashes leave little more than max_docs candidates to put in order.
+    """
+    bucket = F.shiftrightunsigned(F.xxhash64("doc_id"), 48)  # 2 ** 16 ranges
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", bucket.alias("bucket"))
+    counts = written(labelled.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n")), "hash-ranges")
+    lower = F.sum("n").over(Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    reach = counts.withColumn("lower", F.coalesce(lower, F.lit(0))).where(F.col("lower") < max_docs).groupBy(F.col("lang").alias("__lang")).agg(F.max("bucket").alias("most"))
+    near = labelled.join(reach, (F.col("lang") == F.col("__lang")) & (F.col("bucket") <= F.col("most")))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang").withColumn("__n", F.row_number().over(by_hash)).where(F.col("__n") <= max_docs)
+    ids = near.withColumn("__n", F.row_number().over(by_hash)).where(F.col("__n") <= max_docs)
     # the number of ids is bounded by max_docs and the number of languages
     chosen = written(ids.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct(), "language-sample")
-    return docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
+    return docs.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
 
 
-def fit(train: DataFrame, max_docs: int = 500, max_grams: int = 8192, min_count: int = 3, size: int = 1 << 20, probes: int = 2) -> LanguageFilter:
+def fit(train: DataFrame, max_docs: int = 500, size: int = 1 << 20, probes: int = 2) -> LanguageFilter:
     """Learns a filter from train (doc_id, text, lang); rows without a language don't count.
 
-    The sample is bounded by max_docs of each language, the filter by `size` positions of 8 bytes for every 64
-    languages; each language puts in its max_grams commonest grams of min_count occurrences or more in the sample.
+    The sample of labelled rows is bounded by max_docs of each language; all of its grams go in. The filter has `size`
+    positions of 8 bytes for every 64 languages, so at most that many bits a language reach the driver.
     """
+    languages_of = train.where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes = {r["lang"]: r["n"] for r in languages_of}
+    languages = sorted(sizes)
+    model = LanguageFilter(languages, [np.zeros(size, np.uint64) for _ in range(max(1, -(-len(languages) // 64)))], probes, max(languages, key=lambda x: (sizes[x], x), default="und"))
+    shape = LanguageFilter([], [np.zeros(1, np.uint64)], probes, "")
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text")):
             g, ends = grams(block(padded(batch.column("text"))))
             langs = batch.column("lang").dictionary_encode()
-            code = np.repeat(langs.indices.to_numpy().astype(np.uint64), np.diff(ends))
-            key, n = np.unique((code << np.uint64(32)) | g, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [langs.dictionary.take(pa.array((key >> np.uint64(32)).astype(np.int64))), pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)],
-                ["lang", "gram", "n"],
-            )
-
-    counts = training_sample(train, max_docs).mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    commonest = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    rows = counts.withColumn("r", F.row_number().over(commonest)).where(F.col("r") <= max_grams).select("lang", "gram").toPandas()  # bounded by max_grams
-    sizes = {r["lang"]: r["n"] for r in train.where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages = sorted(sizes)
-    model = LanguageFilter(languages, [np.zeros(size, np.uint64) for _ in range(max(1, -(-len(languages) // 64)))], probes, max(languages, key=lambda x: (sizes[x], x), default="und"))
+            code = np.repeat(langs.indices.to_numpy().astype(np.int64), np.diff(ends))
+            key = np.unique(np.concatenate([code * size + at for at in shape.positions(g, size)]))
+            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(key // size)), pa.array(key % size)], ["lang", "position"])
+
+    rows = training_sample(train, max_docs).mapInArrow(bits, "lang string, position bigint").distinct().toPandas()
     for i, lang in enumerate(languages):
-        for at in model.positions(rows["gram"][rows["lang"] == lang].to_numpy(np.uint64)):
-            model.planes[i // 64][at] |= np.uint64(1 << (i % 64))
+        model.planes[i // 64][rows["position"][rows["lang"] == lang].to_numpy(np.int64)] |= np.uint64(1 << (i % 64))
     return model
 
 
