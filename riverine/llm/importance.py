@@ -27,14 +27,11 @@ def tokens(b: Block) -> Words:
 
 
 def features(b: Block, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all unigrams and bigrams of the block, and the text that each belongs to.
-
-    Bigrams of a token with itself share one bucket, so that stuttering texts stand out whatever they repeat.
-    """
+    """Buckets of all unigrams and bigrams of the block, and the text that each belongs to."""
     w = tokens(b)
     h = hashes(b, w)
     text = np.repeat(np.arange(len(b)), w.counts)
-    pair = np.where(h[:-1] == h[1:], np.uint64(0), h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+    pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
     same = text[:-1] == text[1:]
     return np.concatenate([h % np.uint64(buckets), pair[same] % np.uint64(buckets)]).astype(np.int64), np.concatenate([text, text[:-1][same]])
 
@@ -70,17 +67,18 @@ def fit(docs: DataFrame, labelled: DataFrame, buckets: int = 10_000, smoothing:
 
 
 def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """doc_id and log_weight: the sum of log ratios over all features of the whole text; 0 without features."""
+    """docs (doc_id, text and, if there is one, carried) with log_weight in place of the text: the sum of log ratios over all features of the whole text; 0 without features."""
+    names = [c for c in docs.columns if c != "text"]
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text")):
             b = block(batch.column("text"), lower=True)
             bucket, text = features(b, len(shared.value))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.bincount(text, shared.value[bucket], len(b)).astype(np.float64))], ["doc_id", "log_weight"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.bincount(text, shared.value[bucket], len(b)).astype(np.float64))], [*names, "log_weight"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, log_weight double")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.mapInArrow(run, f"{kinds}, log_weight double")
 
 
 def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096, at_most: int = 20_000) -> float:
@@ -118,7 +116,8 @@ def threshold(scored: DataFrame, labelled: DataFrame, lose: float) -> float:
 
 
 def importance_resample(
-    docs: DataFrame, labels: DataFrame, buckets: int = 10_000, max_labels: int = 20_000, lose: float = 0.002, k: int | None = None, temperature: float = 0.1, seed: int = 17
+    docs: DataFrame, labels: DataFrame, buckets: int = 10_000, max_labels: int = 20_000, lose: float = 0.002, k: int | None = None, temperature: float = 1.0, seed: int = 17,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, log_weight, gumbel_key, kept.
 
@@ -127,15 +126,17 @@ def importance_resample(
     largest log weight / temperature plus Gumbel noise are kept. Without a k, it is the number of documents above the
     weight that best parts labels 1 and 0, of which at most a share `lose` of label 1 may fall short; without both
     labels, everything is kept. Null or empty texts have weight 0; the noise is a function of doc_id, so repeated
-    rows share their fate, and rows that tie with the k-th are kept as well. An empty table gives no rows; other
-    columns aren't read. Labels of unknown ids do nothing.
+    rows share their fate, and rows that tie with the k-th are kept as well. An empty table gives no rows. `keep` names
+    further columns to return, not those of the result; others aren't read. Labels of unknown ids do nothing.
     """
     small_batches(docs.sparkSession)
     labelled = labelled_sample(labels, max_labels)
     plain = docs.select("doc_id", "text")
     noise = F.expr(f"-ln(-ln((shiftrightunsigned(xxhash64(doc_id, {seed}), 11) + 0.5D) / 9007199254740992D))")
-    scored = written(weights(plain, fit(plain, labelled, buckets)).withColumn("gumbel_key", F.col("log_weight") / temperature + noise), "weights")
+    carried = docs.select("doc_id", "text", F.struct(*keep).alias("carried")) if keep else plain
+    scored = written(weights(carried, fit(plain, labelled, buckets)).withColumn("gumbel_key", F.col("log_weight") / temperature + noise), "weights")
     if k is None:
         k = scored.where(F.col("log_weight") >= threshold(scored, labelled, lose)).count()
     least = kth_largest(scored, "gumbel_key", k) if k else float("inf")
-    return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(least) if least is not None else F.lit(True))
+    kept = F.col("gumbel_key") >= F.lit(least) if least is not None else F.lit(True)
+    return scored.select("doc_id", "log_weight", "gumbel_key", kept.alias("kept"), *[F.col(f"carried.`{c}`") for c in keep or []])
