@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,8 +175,11 @@ def _incidence(docs: DataFrame, k: int) -> DataFrame:
 
 def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes in a binary column, and the row that each belongs to."""
-    sizes = np.diff(np.frombuffer(column.cast(pa.large_binary()).buffers()[1], "<i8")[column.offset : column.offset + len(column) + 1]) // 8 if len(column) else np.zeros(0, np.int64)
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64), np.repeat(np.arange(len(column)), sizes)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64), np.repeat(np.arange(len(column)), _sizes(column))
+
+
+def _sizes(column: pa.Array) -> np.ndarray:
+    return pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 8
 
 
 def overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -202,7 +206,7 @@ def _product(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             na, nb, met, seen_a, seen_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb", "met", "seen_a", "seen_b"))
             ga, gb = batch.column("ga"), batch.column("gb")
             met = met + overlaps(ga, gb)
-            seen_a, seen_b = (seen + np.array([len(g) // 8 for g in col.to_pylist()], np.int64) for seen, col in ((seen_a, ga), (seen_b, gb)))
+            seen_a, seen_b = seen_a + _sizes(ga), seen_b + _sizes(gb)
             open_ = pa.array(met + np.minimum(na - seen_a, nb - seen_b) >= least_overlap(na, nb, percent))
             columns = [*(batch.column(c) for c in carried[:6]), pa.array(met), pa.array(seen_a), pa.array(seen_b)]
             yield pa.RecordBatch.from_arrays([c.filter(open_) for c in columns], carried)
