@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,8 +42,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riverine.llm.exact_dedup import DigestIndex, exact_dedup
 
-    # each run starts an index of its own; a pipeline names a table and keeps it
-    return exact_dedup(_table(spark, sf_dir, "documents"), DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}"))
+    index = DigestIndex.temporary(spark)  # each run judges the table alone; a pipeline can name an index and keep it
+    judged = exact_dedup(_table(spark, sf_dir, "documents"), index)
+    index.drop()
+    return judged
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,9 +91,9 @@ ORACLE_SQL = {
     "op1_line_dedup": r"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, text, string_split(text, chr(10)) AS lines FROM documents),
         t AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
-        k AS (SELECT DISTINCT rid, host, line FROM (SELECT rid, host, unnest(lines) AS line FROM d) WHERE trim(line) <> ''),
+        k AS (SELECT DISTINCT rid, host, line FROM (SELECT rid, host, unnest(lines) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
         b AS (SELECT k.host, list(line) AS boiler FROM (SELECT host, line, count(*) AS n FROM k GROUP BY host, line) k
-              JOIN t ON k.host IS NOT DISTINCT FROM t.host WHERE pages >= 20 AND 100 * n > 10 * pages GROUP BY k.host),
+              JOIN t ON k.host IS NOT DISTINCT FROM t.host WHERE n > 1 AND 100 * n > 10 * pages GROUP BY k.host),
         r AS (SELECT d.*, CASE WHEN boiler IS NULL THEN lines ELSE list_filter(lines, lambda l: NOT list_contains(boiler, l)) END AS rest
               FROM d LEFT JOIN b ON d.host IS NOT DISTINCT FROM b.host)
         SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(rest), 0) AS BIGINT) AS n_dropped,

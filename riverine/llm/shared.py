@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -18,20 +19,22 @@ ROW_BYTES = 128
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset, a temporary folder serves on a single machine; a cluster has to name one.
+    Where it is unset, a folder of this process serves on a single machine; a cluster has to name one. Settings of the
+    session stay as they are.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="riverine-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"file://{tempfile.gettempdir()}/riverine-{os.getpid()}"
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keeps Arrow batches of whole texts at a few MB, on both sides of the pipe to a Python worker."""
+    """Keeps Arrow batches of whole texts at a few MB, on both sides of the pipe to a Python worker.
+
+    Spark reads the setting when a plan runs, after the operator has returned, so it stays lowered for the session.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
@@ -57,7 +60,7 @@ def small_or_not(keys: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, dropped: DataFrame, **keys: F.Column) -> DataFrame:
-    """Rows of docs that no row of dropped matches; keys: what each column of dropped is compared with. Nulls match nothing."""
-    gone = written(dropped.select(*[F.col(k).alias(f"__{k}") for k in keys]).dropna().distinct(), "gone")
-    match = [col == F.col(f"__{k}") for k, col in keys.items()]
+    """Rows of docs that no row of dropped matches; keys: what each column of dropped is compared with. Null matches null."""
+    gone = written(dropped.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct(), "gone")
+    match = [col.eqNullSafe(F.col(f"__{k}")) for k, col in keys.items()]
     return docs.join(small_or_not(gone), match, "left_anti")

@@ -3,14 +3,17 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from brute import exact, near, repeats
 
 from riverine.llm.components import components
 from riverine.llm.exact_dedup import DigestIndex, exact_dedup
+from riverine.llm import line_dedup as line_module
 from riverine.llm.line_dedup import line_dedup
-from riverine.llm.ngram_join import _profiles, ngram_join
-from riverine.llm.repeat_spans import remove_repeats
+from riverine.llm.ngram_join import _profiles, ngram_join, overlaps
+from riverine.llm.repeat_spans import remove_repeats, repeated_spans
 
 ODD = [(None, "a b c d e f"), (None, None), (5, None), (6, ""), (7, " x\t y "), (8, "X y"), (9, "x y z"), (3, "a B c d e f"), (4, "a b c d E f g"), (11, "\n"), (12, "É x"), (13, "é x")]
 
@@ -69,9 +72,15 @@ def test_exact_and_index(spark):
     assert first == sorted(exact(rows), key=repr)
     later = exact_dedup(frame(spark, [(200000, "X Y"), (200001, " X\t y "), (200002, "new"), (200003, "NEW")]), index).collect()
     assert sorted((r.doc_id, r.keep_id, r.kept) for r in later) == [(200000, 8, False), (200001, 7, False), (200002, 200003, False), (200003, 200003, True)]
+    assert got(exact_dedup(frame(spark, rows), index)) == first  # a batch that runs again gets the verdicts it had
     table = index.read()
     assert table.count() == table.select("digest").distinct().count() == len({r[4] for r in first}) + 1
-    spark.sql("DROP TABLE digests_of_test")
+    assert got(exact_dedup(frame(spark, []), index)) == []
+    index.drop()
+    assert not index.exists()
+    long = spark.createDataFrame([(1, "Ab " * 300_000), (2, "aB " * 300_000)], "doc_id long, text string")
+    assert sorted((r.keep_id, r.kept) for r in exact_dedup(long, index).collect()) == [(2, False), (2, True)]
+    index.drop()
 
 
 @pytest.mark.parametrize("operator", [ngram_join, remove_repeats, line_dedup])
@@ -84,10 +93,35 @@ def test_lines(spark):
     rows = [(i, "A", f"menu\nbody {i}\n\n") for i in range(30)] + [(100 + i, "B", f"menu\nbody {i}") for i in range(5)] + [(200, None, None), (201, "A", ""), (202, "A", "menu\nmenu\nlast"), (202, "A", "menu\nmenu\nlast")]
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, source string, text string, pages int, boiler string")
     out = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup(df).collect()}
-    assert out[3] == (4, 1, "body 3\n\n") and out[100] == (2, 0, "menu\nbody 0") and out[200] == (0, 0, None) and out[201] == (1, 0, "") and out[202] == (3, 2, "last")
+    assert out[3] == (4, 1, "body 3\n\n") and out[100] == (2, 1, "body 0") and out[200] == (0, 0, None) and out[201] == (1, 0, "") and out[202] == (3, 2, "last")
     assert line_dedup(df).count() == len(rows)
 
 
+def test_lines_of_white_space_stay(spark, monkeypatch):
+    rows = [(i, "A", f"\r\n \x0b\r\nmenu\r\n{i}\r\n") for i in range(5)] + [(9, "A", "one " * 200_000 + "\nmenu\r")]
+    want = {i: f"\r\n \x0b\r\n{i}\r\n" for i in range(5)} | {9: ("one " * 200_000)}
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for limit in (line_module.BROADCAST_BYTES, -1):  # broadcast, and dealt out in parts
+        monkeypatch.setattr(line_module, "BROADCAST_BYTES", limit)
+        assert {r.doc_id: r.text for r in line_dedup(df).collect()} == want
+        assert line_dedup(df.limit(0)).collect() == []
+
+
+def test_overlaps():
+    rng = random.Random(1)
+    left, right = ([sorted(rng.sample(range(40), rng.randint(0, 30))) for _ in range(50)] for _ in range(2))
+    packed = lambda rows: pa.array([np.array(r, np.uint64).tobytes() for r in rows], pa.binary())
+    assert overlaps(packed(left), packed(right)).tolist() == [len(set(a) & set(b)) for a, b in zip(left, right, strict=True)]
+    assert overlaps(packed(left).slice(7, 5), packed(right).slice(7, 5)).tolist() == [len(set(a) & set(b)) for a, b in zip(left[7:12], right[7:12], strict=True)]
+
+
+def test_spans_have_source_coordinates(spark):
+    shared = [f"p{i}" for i in range(60)]
+    rows = [(1, "a b " + " ".join(shared) + " c"), (2, "d " + " ".join(shared[:40]) + " e f"), (3, " ".join(shared[20:]) + " g"), (4, " ".join(shared[5:18]))]
+    out = {r.doc_id: (r.start, r.n_words, r.source, r.source_start) for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {2: (1, 40, 1, 2), 3: (0, 40, 1, 22), 4: (0, 13, 1, 7)}
+
+
 def test_fingerprints_before_empty_texts(spark):
     texts = ["a b c d e f g h i j", "k l m n o p q r s t"]
     prints = lambda rows: {r.doc_id: (r.n, r.fp, r.fp2) for r in _profiles(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1), 5).collect()}

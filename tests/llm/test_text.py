@@ -1,11 +1,15 @@
 """Words, hashes, quality rules, classifiers and language identification."""
 
+import math
 import re
-from collections import Counter
+import struct
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -72,7 +76,7 @@ def test_weights(spark):
 
     def counts(text):
         t = [bucket(x) for x in plain_features(text)]
-        pairs = [0 if a == b else (a * 0x9E3779B97F4A7C15 + b) % 2**64 for a, b in zip(t, t[1:], strict=False)]
+        pairs = [(a * 0x9E3779B97F4A7C15 + b) % 2**64 for a, b in zip(t, t[1:], strict=False)]
         return Counter(x % buckets for x in t + pairs)
 
     each = {i: counts(t) for i, t in rows}
@@ -104,6 +108,24 @@ def test_importance_edges(spark):
     assert importance_resample(docs.limit(0), none).count() == 0
     top = importance_resample(docs, none, k=2).where("kept").count()
     assert top >= 2
+    long = spark.createDataFrame([(1, "word " * 200_000, "x"), (2, "a b", "y")], "doc_id long, text string, source string")
+    assert [r.source for r in importance_resample(long, none, keep=["source"]).orderBy("doc_id").collect()] == ["x", "y"]
+
+
+@pytest.mark.parametrize("temperature", [1.0, 50.0])
+def test_gumbel_top_k(spark, temperature):
+    """The k largest of log weight / temperature plus noise, the noise worked out from the id here."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(300)
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    out = importance_resample(docs, labels, k=120, temperature=temperature, seed=5).collect()
+    keys = {}
+    for r in out:
+        h = xxhash.xxh64(struct.pack("<i", 5), xxhash.xxh64(struct.pack("<q", r.doc_id), 42).intdigest()).intdigest()
+        keys[r.doc_id] = r.log_weight / temperature - math.log(-math.log(((h >> 11) + 0.5) / 2**53))
+        assert abs(keys[r.doc_id] - r.gumbel_key) < 1e-6
+    assert {r.doc_id for r in out if r.kept} == set(sorted(keys, key=keys.get, reverse=True)[:120])
+    plain = set(sorted(keys, key=lambda i: next(r.log_weight for r in out if r.doc_id == i), reverse=True)[:120])
+    assert temperature < 2 or plain != {r.doc_id for r in out if r.kept}  # a sample, not a cut
 
 
 @pytest.mark.parametrize("k", [1, 7, 500, 1999, 2000])
@@ -127,6 +149,29 @@ def test_language(spark):
     assert alone.collect() == []
 
 
+def test_language_against_plain_sets(spark):
+    """With so many positions that no false positive is left, the votes are those of plain sets of grams."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    tied = spark.createDataFrame([(-5, "qqqqzzzz", None), (-6, "ab", None), (-7, "x" * 300_000, None)], docs.schema)
+    rows = docs.union(tied).collect()
+    grams_of = lambda t: [x[i : i + 4] for x in [f" {t.lower()} ".encode()] for i in range(len(x) - 3)]
+    known, sizes = defaultdict(set), Counter()
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None:
+            sizes[r.lang] += 1
+            known[r.lang].update(grams_of(r.text or ""))
+    langs = sorted(sizes)
+    for r in language_id(docs.union(tied), size=1 << 24).collect():
+        text = next(x.text for x in rows if x.doc_id == r.doc_id)
+        if not text or not re.search(r"[^\W\d_]", text):
+            assert r.lang_pred == "und" and r.score == 0
+            continue
+        votes = [sum(g in known[x] for g in grams_of(text)) for x in langs]
+        want = langs[votes.index(max(votes))] if max(votes) else max(langs, key=lambda x: (sizes[x], x))
+        assert r.lang_pred == want or sorted(votes)[-1] - sorted(votes)[-2] <= 1, (r, votes)
+        assert abs(r.score - (max(votes) / sum(votes) if sum(votes) else 0)) < 0.01
+
+
 def test_bloom_false_positives(spark):
     docs = spark.createDataFrame([(i, "abcdefgh ijklmnop " * 5, f"l{i % 70:02d}") for i in range(280)], "doc_id long, text string, lang string")
     model = fit(docs, size=1 << 12)

@@ -7,7 +7,8 @@ import os
 
 import pytest
 
-from riverine.llm.warc import _readable, read_warc, salvage, warc_round_trip, write_warc
+from riverine.llm import warc
+from riverine.llm.warc import _readable, read_or_quarantine, read_warc, salvage, warc_round_trip, write_warc
 
 
 def digest(text):
@@ -99,3 +100,25 @@ def test_damage_within_a_gzip_member(spark, tmp_path, level):
     got = list(salvage(member[:-8] + b"\0" * 8 + last))  # a wrong checksum
     assert read(got) == ids and len(reasons(got)) == 1 and reasons(got)[0].startswith("gzip")
     assert [r["end"] for r in got][-3:] == [r["offset"] for r in got][-2:] + [len(member + last)]
+
+
+def test_gaps_are_quarantined(spark, tmp_path):
+    data = archive(spark, tmp_path)
+    at = [r["offset"] for r in salvage(data)]
+    hurt = bytearray(data)
+    hurt[at[3] - 6] ^= 1
+    (tmp_path / "hurt").mkdir()
+    (tmp_path / "hurt" / "a.warc").write_bytes(bytes(hurt))
+    records, gaps = read_or_quarantine(spark, f"file://{tmp_path}/hurt", f"file://{tmp_path}/gaps")
+    assert records.count() == 5 and gaps == 1
+    assert [(r.offset, r.end, r.reason) for r in spark.read.parquet(f"file://{tmp_path}/gaps").collect()] == [(at[2], at[3], "block digest differs")]
+
+
+def test_large_pages_get_small_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE", 1000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rows = [(i, "u", "y" * (3000 if i % 2 else 10) + str(i)) for i in range(20)]
+    write_warc(frame(spark, rows).coalesce(1), f"file://{tmp_path}/w")
+    sizes = [(tmp_path / "w" / n).stat().st_size for n in os.listdir(tmp_path / "w") if n.startswith("part")]
+    assert max(sizes) <= 20_000 and len(sizes) >= 4
+    assert sorted(map(tuple, warc_round_trip(frame(spark, rows)).collect()), key=repr) == expected(rows)
