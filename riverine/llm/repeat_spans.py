@@ -262,9 +262,9 @@ def _source_words(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
-    """Spans of docs (doc_id, text) that repeat a document of a smaller id: doc_id, start, n_words, source, source_start, path_source, path_start, digest.
+    """Spans of docs (doc_id, text) that repeat a document of a smaller id: doc_id, starts, n_words, source, source_start, path_source, path_start, digest.
 
-    A span is `n_words` words from word `start` on, all windows of which lie in a row on one compacted path, and which
+    A span is `n_words` words from each word of `starts` on, all windows of which lie in a row on one compacted path, and which
     stand in document `source`, the smallest that has them, from word `source_start` on; digest is the SHA-256 of the
     words there. Rows without an id take no part.
     """
@@ -281,7 +281,9 @@ def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
     parted = met.withColumn("begins", F.when(F.coalesce(reached < F.col("start"), F.lit(True)), F.col("start")))
     stretch = parted.withColumn("stretch", F.last("begins", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*line, "stretch")
     spans = stretch.agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("count")) - F.min("start") + k - 1).cast("bigint").alias("n_words"), F.min("source_start").alias("source_start"))
-    kept = written(spans.select("doc_id", "start", "n_words", "source", "source_start", "path_source", "path_start").distinct(), "spans")
+    # a stuttering text has the same source words at many places: one row, however many
+    once = spans.groupBy("doc_id", "n_words", "source", "source_start", "path_source", "path_start").agg(F.collect_set("start").alias("starts"))
+    kept = written(once, "spans")
     return kept.join(written(_source_words(plain, kept), "source-words"), ["source", "source_start", "n_words"])
 
 
@@ -297,10 +299,12 @@ def _cut(docs: DataFrame, text_name: str | None) -> DataFrame:
             edges = np.zeros(len(w.starts) + 1, np.int64)
             if listed:
                 spans = batch.column("spans")
-                start, n, text = _fields(spans, "start", "n_words")
+                n, text = _fields(spans, "n_words")
+                start, of = _listed(spans.flatten().field("starts"))
+                n, text = n[of], text[of]
                 fits = start + n <= w.counts[text]
-                stated = spans.flatten().field("digest").filter(pa.array(fits)).to_pylist()
-                start, n, text = start[fits], n[fits], text[fits]
+                start, n, text, of = start[fits], n[fits], text[fits], of[fits]
+                stated = spans.flatten().field("digest").take(pa.array(of)).to_pylist()
                 same = np.array([x == y for x, y in zip(_digests(b, w, text, start, n), stated, strict=True)], bool)
                 np.add.at(edges, (w.first[text] + start)[same], 1)
                 np.add.at(edges, (w.first[text] + start + n)[same], -1)
@@ -350,7 +354,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, keep: list[str] | None = None,
     """
     small_batches(docs.sparkSession)
     spans = repeated_spans(docs, k)
-    lists = written(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words", "digest")).alias("spans")), "span-lists").withColumnRenamed("doc_id", "__id")
+    lists = written(spans.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "n_words", "digest")).alias("spans")), "span-lists").withColumnRenamed("doc_id", "__id")
     ids = small_or_not(lists.select("__id"))
     wanted = docs.select("doc_id", "text", F.struct(*(keep or ["doc_id"])).alias("carried"))
     on = wanted["doc_id"] == F.col("__id")

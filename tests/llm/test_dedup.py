@@ -118,8 +118,8 @@ def test_overlaps():
 def test_spans_have_source_coordinates(spark):
     shared = [f"p{i}" for i in range(60)]
     rows = [(1, "a b " + " ".join(shared) + " c"), (2, "d " + " ".join(shared[:40]) + " e f"), (3, " ".join(shared[20:]) + " g"), (4, " ".join(shared[5:18]))]
-    out = {r.doc_id: (r.start, r.n_words, r.source, r.source_start) for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out == {2: (1, 40, 1, 2), 3: (0, 40, 1, 22), 4: (0, 13, 1, 7)}
+    out = {r.doc_id: (r.starts, r.n_words, r.source, r.source_start) for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {2: ([1], 40, 1, 2), 3: ([0], 40, 1, 22), 4: ([0], 13, 1, 7)}
 
 
 def test_fingerprints_before_empty_texts(spark):
