@@ -96,9 +96,9 @@ def frame_series(rain: DataFrame, keys: list[str], step_s: int) -> DataFrame:
 
 
 def spatial_summary(series: DataFrame, keys: list[str], step_s: int) -> DataFrame:
-    """Total (one decimal) and peak of a domain-mean series. Sums run over hundredths."""
+    """Total (one decimal, half to even) and peak of a domain-mean series. Sums run over hundredths."""
     hundredths = F.sum(F.round(F.col("mm_h") * 100).cast("bigint"))
-    return series.groupBy(*keys).agg(F.round(hundredths * step_s / 3600.0 / 100.0, 1).alias("total_mm"), F.max("mm_h").alias("peak_mmh"))
+    return series.groupBy(*keys).agg(F.bround(hundredths * step_s / 3600.0 / 100.0, 1).alias("total_mm"), F.max("mm_h").alias("peak_mmh"))
 
 
 def quantised(rain: DataFrame) -> DataFrame:
@@ -112,8 +112,11 @@ def scenario_file(kind: Column, day: Column, block: Column) -> Column:
 
 
 def short_number(col: Column) -> Column:
-    """Six significant digits without trailing zeros, for values of 0 to 99999.9."""
-    return F.regexp_replace(F.format_string("%.1f", F.round(col, 1)), r"\.0$", "")
+    """Six significant digits without trailing zeros, for values of 0 and of 0.1 to 999999."""
+    rounded = F.bround(col, 0)
+    for digits in range(1, 7):  # below 100000 one decimal, below 10000 two, and so on
+        rounded = F.when(col < 10 ** (6 - digits), F.bround(col, digits)).otherwise(rounded)
+    return F.regexp_replace(F.format_string("%.6f", rounded), r"\.?0+$", "")
 
 
 def scenario_documents(series: DataFrame, summary: DataFrame, keys: list[str], kind: Column, day: Column, block: Column) -> DataFrame:

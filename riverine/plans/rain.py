@@ -96,7 +96,7 @@ def agg2_frame_series(spark: SparkSession, sf: str) -> DataFrame:
     return rain.frame_series(_model_rain(spark, sf), ["day"], 3600)
 
 
-@query(f"+ {_MODEL_RAIN}, {_MEANS} SELECT day, round(CAST(sum(CAST(round(mm_h * 100) AS BIGINT)) AS DOUBLE) * 3600 / 3600.0 / 100, 1) AS total_mm, max(mm_h) AS peak_mmh FROM fz GROUP BY day", "model")
+@query(f"+ {_MODEL_RAIN}, {_MEANS} SELECT day, round_even(CAST(sum(CAST(round(mm_h * 100) AS BIGINT)) AS DOUBLE) * 3600 / 3600.0 / 100, 1) AS total_mm, max(mm_h) AS peak_mmh FROM fz GROUP BY day", "model")
 def agg3_spatial_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rain.spatial_summary(rain.frame_series(_model_rain(spark, sf), ["day"], 3600), ["day"], 3600)
 
@@ -111,7 +111,7 @@ def _scenarios(spark: SparkSession, sf: str) -> DataFrame:
     return summary.select(rain.scenario_file(kind, F.col("day"), F.col("station").cast("string")).alias("file"), kind.alias("kind"), F.col("day").alias("date"), F.concat(F.lit("S"), F.col("station").cast("string")).alias("station"), "total_mm", "peak_mmh")
 
 
-_G = "regexp_replace(printf('%.1f', {0}), '\\.0$', '')"
+_G = "printf('%g', {0})"
 
 
 @query(f"""+ {_SUMMARY}, {_SCENARIOS}, l AS (SELECT * FROM (VALUES ('observed-rain', 'AMeDAS実測', NULL), ('xrain', 'XRAINレーダー', '名古屋'), ('msm', 'MSM較正', '名古屋')) v(kind, label, place))

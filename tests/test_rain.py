@@ -85,20 +85,20 @@ def model(spark, hours):
 
 
 def test_factors(spark):
-    m = model(spark, {1: [[2.0]], 2: [[0.0]], 3: [[0.0]], 4: [[0.5]], 5: [[0.5]]})
-    observed = spark.createDataFrame([(DAY, 1, 10.0), (DAY, 2, 0.0), (DAY, 3, 5.0), (DAY, 4, None), (DAY, 5, 100.0)], "day date, hour int, mm double")
+    m = model(spark, {1: [[8.0]], 2: [[6.0]], 3: [[0.09]], 4: [[7.0]], 5: [[0.2]], 6: [[0.1]]})
+    observed = spark.createDataFrame([(DAY, 1, 6.0), (DAY, 2, -1.0), (DAY, 3, 12.0), (DAY, 4, None), (DAY, 5, 80.0), (DAY, 6, 0.3)], "day date, hour int, mm double")
     got = dict(rows(calibration.hourly_factors(m, observed), "hour", "factor"))
-    assert got == {1: 5.0, 2: 0.0, 3: 1.0, 4: 0.0, 5: 150.0}
+    assert {h: round(f, 9) for h, f in got.items()} == {1: 0.75, 2: 0.0, 3: 1.0, 4: 0.0, 5: 150.0, 6: 3.0}
 
 
 def test_bilinear(spark):
-    m = model(spark, {1: [[1.0, 3.0], [5.0, 7.0]]})
-    points = spark.createDataFrame([(1, 35.175, 136.925), (2, 35.0, 138.0), (3, 36.0, 136.0)], "point int, lat double, lon double")
-    got = {r.point: round(r.mm_h, 9) for r in calibration.resample(points, m, ["day", "hour"]).collect()}
-    assert got == {1: 4.0, 2: 3.0, 3: 5.0}
+    m = model(spark, {1: [[2.0, 8.0, 20.0], [6.0, 16.0, 0.0]]})
+    points = spark.createDataFrame([(1, 35.1625, 136.9125), (2, 35.0, 138.0), (3, 36.0, 136.0), (4, 35.175, 136.975)], "point int, lat double, lon double")
+    got = {r.point: round(r.mm_h, 6) for r in calibration.resample(points, m, ["day", "hour"]).collect()}
+    assert got == {1: 4.75, 2: 20.0, 3: 6.0, 4: 11.0}
     raster = m.select("iy", "ix", F.col("lat").alias("y"), F.col("lon").alias("x"), F.col("mm_h").alias("value"))
-    got = {r.point: r.value and round(r.value, 9) for r in calibration.sample_bilinear(points.select("point", F.col("lat").alias("y"), F.col("lon").alias("x")), raster).collect()}
-    assert got == {1: 4.0, 2: None, 3: None}
+    got = {r.point: r.value and round(r.value, 6) for r in calibration.sample_bilinear(points.select("point", F.col("lat").alias("y"), F.col("lon").alias("x")), raster).collect()}
+    assert got == {1: 4.75, 2: None, 3: None, 4: 11.0}
 
 
 def test_model_grids(spark):
@@ -136,3 +136,25 @@ def test_index_and_upsert(spark):
     assert got[1] == ("b.json", "N 2024-09-08", "最大 97.5 mm/h・合計 219.5 mm (AMeDAS実測)") and got[2][1] == "2024-09-08"
     old, new = (spark.createDataFrame(x, "dir string, name string") for x in ([("r1", "x"), ("r2", "y")], [("r1", "z")]))
     assert rows(rain.upsert(old, new, "dir")) == [("r1", "z"), ("r2", "y")]
+
+
+def test_short_numbers(spark):
+    values = [0.0, 0.5, 12.34, 97.5, 100.0, 123.456789, 999999.4, 1200.0, 54321.98]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", rain.short_number(F.col("v")).alias("t")).collect()
+    assert {r.v: r.t for r in got} == {v: f"{v:g}" for v in values}
+
+
+def test_messages_older_than_the_watermark_are_dropped(spark, tmp_path):
+    """STR2: a message more than 8 days behind the newest of the batches before the last one doesn't count."""
+    from riverine.streaming import feeds
+
+    at = lambda d, m=0: dt.datetime(2024, 9, d, 0, m)
+    batches = [[(at(1), 1, 4.0)], [(at(20), 1, 6.0)], [(at(20, 30), 1, 6.0)], [(at(2), 1, 8.0), (at(13), 1, 2.0)], [(at(29), 1, 1.0)], [(at(29, 30), 1, 1.0)]]
+    schema = "ts timestamp, pixel int, mm_h double"
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/{n}")
+    rows_in = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"file://{tmp_path}/in/*")
+    made = feeds.radar_slots(rows_in).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state").outputMode("append")
+    made.trigger(availableNow=True).start().awaitTermination()
+    days = {r.slot.day for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert 1 in days and 13 in days and 2 not in days
