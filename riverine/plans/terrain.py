@@ -181,14 +181,14 @@ _SERIES = "se AS (SELECT day, t_s, sum(mm_h) AS mm_h FROM series GROUP BY day, t
 
 @query(f"""+ {_CHANNEL}, {_SERIES}, ta AS (SELECT day, r, c, t, w, t - k * lag_s AS q FROM ch, (VALUES (0.25, 0.5), (0.5, 1.0), (0.25, 1.5)) v(w, k), (SELECT DISTINCT day, t_s AS t FROM series) u),
     lr AS (SELECT ta.day AS day, r, c, t, sum(w * CASE WHEN hi IS NULL THEN 0.0 WHEN lo IS NULL THEN r1 ELSE r0 + (r1 - r0) * (q - lo) / (hi - lo) END) AS rate FROM ta LEFT JOIN sg ON sg.day = ta.day AND q <= hi AND q > coalesce(lo, -1e300) GROUP BY ta.day, r, c, t)
-    SELECT lr.day, lr.r, lr.c, CAST(t AS DOUBLE) AS t_s, round(rate, 4) AS rate, round(greatest(pow(0.65 * (rate / 1000.0 / 3600.0) * area_m2 * 0.035 / greatest(width_m * sqrt(slope), 1e-9), 0.6) - depth_m, 0.0), 5) AS excess_m
+    SELECT lr.day, lr.r, lr.c, CAST(t AS DOUBLE) AS t_s, round(rate, 9) AS rate, round(greatest(pow(0.65 * (rate / 1000.0 / 3600.0) * area_m2 * 0.035 / greatest(width_m * sqrt(slope), 1e-9), 0.6) - depth_m, 0.0), 5) AS excess_m
     FROM lr JOIN ch ON ch.r = lr.r AND ch.c = lr.c""", "cells", "series")
 def grf10_overflow(spark: SparkSession, sf: str) -> DataFrame:
     """WIN8 and GRF10: lagged rates and what they make channels overflow by, at every time of every day's series."""
     channel = drainage.channels(_elevations(spark, sf), DX, 6)
     series = frame(spark, sf, "series").groupBy("day", "t_s").agg(F.sum("mm_h").alias("mm_h"))
     rates = drainage.lagged_rates(channel, series.select("day", "t_s"), series, ["day"])
-    return drainage.overflow(channel, rates, ["day"]).join(rates, ["day", "r", "c", "t_s"]).select("day", "r", "c", "t_s", F.round("rate", 4).alias("rate"), F.round("excess_m", 5).alias("excess_m"))
+    return drainage.overflow(channel, rates, ["day"]).join(rates, ["day", "r", "c", "t_s"]).select("day", "r", "c", "t_s", F.round("rate", 9).alias("rate"), F.round("excess_m", 5).alias("excess_m"))
 
 
 for _name in ("grf5_accumulation", "grf8_longest_path", "grf6_streams", "sca18_stream_intensity", "grf9_channels_unfilled", "grf10_overflow"):
