@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riverine.operators.drainage import counted
+
 #: The gauge's place, the step of the model's grid and the largest factor.
 GAUGE_LAT, GAUGE_LON = 35.17, 136.90
 GRID_STEP = 0.05
@@ -44,37 +46,58 @@ def brackets(targets: DataFrame, axis: DataFrame, idx: str, place: str, value: s
     return joined.select(*targets.columns, F.col("__i").alias(f"{idx}_lo"), F.coalesce("__j", "__i").alias(f"{idx}_hi"), weight.alias(f"{idx}_w"))
 
 
+def packed(grid: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, iy_lo, ix_lo and the values at the four corners of a model cell: v_ll, v_lh, v_hl, v_hh (y first), NULL without one.
+
+    The last place of an axis is its own upper one. Only the grid is exchanged, which is small beside its targets.
+    """
+    spread = grid.select(*keys, "iy", "ix", F.col(value).alias("__v"))
+    for idx, place in (("iy", "lat"), ("ix", "lon")):
+        axis = grid.select(F.col(idx).alias("i"), F.col(place).alias("p")).distinct().select("i", F.coalesce(F.lead("i").over(Window.orderBy("p")), "i").alias("j"))
+        sides = axis.select(F.col("i").alias(idx), F.col("i").alias(f"{idx}_lo"), F.lit("l").alias(f"{idx}_side")).unionByName(axis.select(F.col("j").alias(idx), F.col("i").alias(f"{idx}_lo"), F.lit("h").alias(f"{idx}_side")))
+        spread = spread.join(F.broadcast(sides), idx)
+    corner = lambda a, b: F.max(F.when((F.col("iy_side") == a) & (F.col("ix_side") == b), F.col("__v"))).alias(f"v_{a}{b}")
+    return spread.groupBy(*keys, "iy_lo", "ix_lo").agg(*[corner(a, b) for a in "lh" for b in "lh"])
+
+
+def _weighed(missing: float | None) -> Column:
+    """The bilinear mean of packed corners; corners without weight don't count, missing ones count as `missing`."""
+    total = None
+    for a in "lh":
+        for b in "lh":
+            share = (F.col("iy_w") if a == "h" else 1 - F.col("iy_w")) * (F.col("ix_w") if b == "h" else 1 - F.col("ix_w"))
+            part = F.when(share > 0, share * F.coalesce(F.col(f"v_{a}{b}"), F.lit(missing))).otherwise(F.lit(0.0))
+            total = part if total is None else total + part
+    return total
+
+
 def resample(targets: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
     """keys, point and mm_h of every target (point, lat, lon) for every key: bilinear, flat outside, never negative.
 
-    Brackets of a target are found once, then its four corners come by equi-joins on keys and grid index.
+    Brackets of a target are found once. Model cells carry their four corners and are broadcast if their counted rows
+    are few, so that targets are neither exchanged nor grouped.
     """
     placed = brackets(brackets(targets, model, "iy", "lat", "lat"), model, "ix", "lon", "lon")
-    corner = F.explode(F.array(*[
-        F.struct(F.col(f"iy_{a}").alias("iy"), F.col(f"ix_{b}").alias("ix"), ((F.col("iy_w") if a == "hi" else 1 - F.col("iy_w")) * (F.col("ix_w") if b == "hi" else 1 - F.col("ix_w"))).alias("w"))
-        for a in ("lo", "hi") for b in ("lo", "hi")
-    ])).alias("corner")
-    corners = placed.select("point", corner).select("point", "corner.*").where("w > 0")
-    return corners.join(model.select(*keys, "iy", "ix", "mm_h"), ["iy", "ix"]).groupBy(*keys, "point").agg(F.greatest(F.sum(F.col("w") * F.col("mm_h")), F.lit(0.0)).alias("mm_h"))
+    cells = counted(packed(model, keys, "mm_h"))
+    return placed.join(cells, ["iy_lo", "ix_lo"]).select(*keys, "point", F.greatest(_weighed(0.0), F.lit(0.0)).alias("mm_h"))
 
 
 def calibrated(targets: DataFrame, model: DataFrame, observed: DataFrame) -> DataFrame:
     """day, hour, point, mm_h: 0 where the gauge is dry, the observed rate where the model's hour is, else the scaled field resampled."""
-    factors = hourly_factors(model, observed)
+    factors = counted(hourly_factors(model, observed))
     scaled = model.join(factors.where("factor > 0 AND most >= 0.1"), ["day", "hour"]).withColumn("mm_h", F.col("mm_h") * F.col("factor"))
-    uniform = factors.where("factor = 0 OR most < 0.1").select("day", "hour", F.when(F.col("factor") == 0, F.lit(0.0)).otherwise(F.col("observed")).alias("mm_h"))
-    return resample(targets, scaled, ["day", "hour"]).unionByName(uniform.crossJoin(targets.select("point")).select("day", "hour", "point", "mm_h"))
+    uniform = counted(factors.where("factor = 0 OR most < 0.1").select("day", "hour", F.when(F.col("factor") == 0, F.lit(0.0)).otherwise(F.col("observed")).alias("mm_h")))
+    return resample(targets, scaled, ["day", "hour"]).unionByName(targets.select("point").crossJoin(uniform).select("day", "hour", "point", "mm_h"))
 
 
 def sample_bilinear(targets: DataFrame, raster: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, point and value at targets (point, y, x) of every raster (keys, iy, ix, y, x, value) on one regular grid; NULL outside or beside a missing value."""
     keys = keys or []
     box = raster.agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    inside = targets.join(F.broadcast(box), F.expr("y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1")).select(*targets.columns)
+    inside = targets.crossJoin(F.broadcast(box)).withColumn("__in", F.expr("y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1")).select("point", "y", "x", "__in")
     grid = raster.select(*keys, "iy", "ix", F.col("y").alias("lat"), F.col("x").alias("lon"), F.col("value"))
-    placed = brackets(brackets(inside, grid, "iy", "lat", "y"), grid, "ix", "lon", "x")
-    parts = [F.struct(F.col(f"iy_{a}").alias("iy"), F.col(f"ix_{b}").alias("ix"), ((F.col("iy_w") if a == "hi" else 1 - F.col("iy_w")) * (F.col("ix_w") if b == "hi" else 1 - F.col("ix_w"))).alias("w")) for a in ("lo", "hi") for b in ("lo", "hi")]
-    corners = placed.select("point", F.explode(F.array(*parts)).alias("k")).select("point", "k.*").where("w > 0")
-    found = corners.join(grid.select(*keys, "iy", "ix", "value"), ["iy", "ix"]).groupBy(*keys, "point").agg(F.when(F.count("value") == F.count(F.lit(1)), F.sum(F.col("w") * F.col("value"))).alias("value"))
-    asked = raster.select(*keys).distinct().crossJoin(targets) if keys else targets
-    return asked.join(found, [*keys, "point"], "left")
+    asked = brackets(brackets(inside, grid, "iy", "lat", "y"), grid, "ix", "lon", "x")
+    if keys:
+        asked = asked.crossJoin(counted(raster.select(*keys).distinct()))
+    cells = counted(packed(grid, keys, "value"))
+    return asked.join(cells, [*keys, "iy_lo", "ix_lo"], "left").select(*keys, "point", F.when(F.col("__in"), _weighed(None)).alias("value"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,19 +37,42 @@ def scratch(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     return write
 
 
-def directions(cells: DataFrame, dx: float) -> DataFrame:
-    """r, c, z, flag, to_r, to_c, drop: the steepest descent, the first of equals; flag 0 and NULLs at sinks and missing cells."""
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(dx * (DIAGONAL if x and y else 1.0)).alias("d")) for i, (x, y) in enumerate(NEIGHBOURS)])
-    asked = cells.where("z IS NOT NULL").select("r", "c", "z", F.explode(around).alias("n"))
-    there = cells.select(F.col("r").alias("to_r"), F.col("c").alias("to_c"), F.col("z").alias("nz"))
-    slopes = asked.select("r", "c", F.col("n.i").alias("i"), (F.col("r") + F.col("n.y")).alias("to_r"), (F.col("c") + F.col("n.x")).alias("to_c"), "z", F.col("n.d").alias("d")).join(there, ["to_r", "to_c"])
-    best = slopes.withColumn("slope", (F.col("z") - F.col("nz")) / F.col("d")).where("slope > 0").groupBy("r", "c").agg(F.max(F.struct("slope", (-F.col("i")).alias("k"), "to_r", "to_c")).alias("b"))
-    return cells.join(best, ["r", "c"], "left").select(
-        "r", "c", "z", F.coalesce(F.pow(F.lit(2.0), -F.col("b.k")), F.lit(0.0)).cast("smallint").alias("flag"), F.col("b.to_r").alias("to_r"), F.col("b.to_c").alias("to_c"), F.col("b.slope").alias("slope")
-    )
+def counted(df: DataFrame, row_bytes: int = 100, most: int = 64 << 20) -> DataFrame:
+    """Writes df and marks it for broadcast if its counted rows, at row_bytes each, stay within `most` bytes."""
+    kept = scratch(df.sparkSession)(df)
+    return F.broadcast(kept) if kept.count() * row_bytes <= most else kept
 
 
-def routed(flow: DataFrame, dx: float, rounds: int = 64) -> DataFrame:
+def directions(cells: DataFrame, dx: float, tile: int = 256) -> DataFrame:
+    """r, c, z, flag, to_r, to_c, slope: the steepest descent, the first of equals; flag 0 and NULLs at sinks and missing cells.
+
+    A tile and the cells around it are one block of an array; only cells at a tile's edge go to more than one tile.
+    """
+    reach = lambda k: F.explode(F.sequence(F.floor((F.col(k) - 1) / tile), F.floor((F.col(k) + 1) / tile)))
+    placed = cells.select(F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c"), F.col("z").cast("double").alias("z")).withColumn("tr", reach("r")).withColumn("tc", reach("c"))
+
+    def steepest(key: tuple[int, int], part: pd.DataFrame) -> pd.DataFrame:
+        y, x = (part["r"] - key[0] * tile).to_numpy(), (part["c"] - key[1] * tile).to_numpy()
+        z = np.full((tile + 2, tile + 2), np.nan)
+        z[y + 1, x + 1] = part["z"]
+        slope, toward = np.zeros((tile, tile)), np.full((tile, tile), -1)
+        for i, (east, south) in enumerate(NEIGHBOURS):
+            falls = (z[1:-1, 1:-1] - z[1 + south : 1 + south + tile, 1 + east : 1 + east + tile]) / (dx * (DIAGONAL if east and south else 1.0))
+            steeper = falls > slope
+            slope[steeper], toward[steeper] = falls[steeper], i
+        own = (y >= 0) & (y < tile) & (x >= 0) & (x < tile)
+        out = part.loc[own, ["r", "c", "z"]]
+        k, s = toward[y[own], x[own]], slope[y[own], x[own]]
+        step = np.array(NEIGHBOURS)[k]
+        flows = lambda v: pd.array(v, "Int64").copy()
+        to_r, to_c = flows(out["r"].to_numpy() + step[:, 1]), flows(out["c"].to_numpy() + step[:, 0])
+        to_r[k < 0], to_c[k < 0] = pd.NA, pd.NA
+        return out.assign(flag=np.where(k < 0, 0, 1 << np.maximum(k, 0)).astype(np.int16), to_r=to_r, to_c=to_c, slope=np.where(k < 0, np.nan, s))
+
+    return placed.groupBy("tr", "tc").applyInPandas(steepest, "r bigint, c bigint, z double, flag smallint, to_r bigint, to_c bigint, slope double")
+
+
+def routed(flow: DataFrame, dx: float) -> DataFrame:
     """r, c, acc (cells that drain through, itself included), path_m (longest upstream path) and head_z (where that begins, the higher of equals).
 
     Pointer doubling: in every round each cell hands what it has gathered to the cell that it points at, then points
@@ -57,7 +82,7 @@ def routed(flow: DataFrame, dx: float, rounds: int = 64) -> DataFrame:
     write = scratch(flow.sparkSession)
     step = dx * F.when((F.col("to_r") != F.col("r")) & (F.col("to_c") != F.col("c")), F.lit(DIAGONAL)).otherwise(F.lit(1.0))
     state = write(flow.select("r", "c", F.col("to_r").alias("jr"), F.col("to_c").alias("jc"), F.lit(1).cast("bigint").alias("acc"), F.when(F.col("to_r").isNotNull(), step).alias("dist"), F.struct(F.lit(0.0).alias("path"), F.col("z").alias("head")).alias("best")))
-    for _ in range(rounds):
+    while True:  # paths descend, so they end
         moving = state.where("jr IS NOT NULL")
         if moving.isEmpty():
             break
@@ -101,7 +126,7 @@ def lagged_rates(channel: DataFrame, times: DataFrame, series: DataFrame, keys:
 
     keys = keys or []
     taps = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for w, k in ((0.25, 0.5), (0.5, 1.0), (0.25, 1.5))])
-    asked = channel.select("r", "c", "lag_s").crossJoin(F.broadcast(times)).select(*keys, "r", "c", "t_s", F.explode(taps).alias("tap"), "lag_s")
+    asked = channel.select("r", "c", "lag_s").crossJoin(counted(times)).select(*keys, "r", "c", "t_s", F.explode(taps).alias("tap"), "lag_s")
     at = asked.select(*keys, "r", "c", "t_s", F.col("tap.w").alias("w"), (F.col("t_s") - F.col("tap.k") * F.col("lag_s")).alias("__at"), F.lit(0).alias("__one"))
     found = rate_at(at, series.select(*keys, F.lit(0).alias("__one"), "t_s", "mm_h"), [*keys, "__one"], "__at")
     return found.groupBy(*keys, "r", "c", "t_s").agg(F.sum(F.col("w") * F.col("rate")).alias("rate"))

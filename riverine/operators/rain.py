@@ -35,24 +35,29 @@ def _segments(series: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _rate(t: Column) -> Column:
-    return F.when(F.col("lo").isNull(), F.col("r1")).otherwise(F.col("r0") + (F.col("r1") - F.col("r0")) * (t - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6)))
+    return F.col("r0") + (F.col("r1") - F.col("r0")) * (t - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6))
 
 
-def rate_at(at: DataFrame, series: DataFrame, keys: list[str], t: str = "t_s") -> DataFrame:
+def rate_at(at: DataFrame, series: DataFrame, keys: list[str], t: str = "t_s", bucket_s: float = 3600.0) -> DataFrame:
     """at with rate and fallen_mm: linear between breakpoints, the first rate before the start, 0 after the end.
 
-    fallen_mm is the trapezoid sum up to t. One interval join per key: keys co-locate, the interval is a residual.
+    fallen_mm is the trapezoid sum up to t. Segments stand in every bucket of time that they touch, so that a look-up
+    meets its key and bucket only, and a long or often asked series is spread over its buckets.
     """
     parts = _segments(series.select(*keys, F.col("t_s"), "mm_h"), keys)
-    total = parts.groupBy(*keys).agg(F.max_by(F.struct(F.col("hi").alias("end"), (F.col("before") + F.coalesce((F.col("r0") + F.col("r1")) / 2 * (F.col("hi") - F.col("lo")) / 3600, F.lit(0.0))).alias("all")), "hi").alias("last"))
-    a, p = at.alias("a"), parts.alias("p")
-    on = [F.col(f"a.{k}") == F.col(f"p.{k}") for k in keys]
-    inside = (F.coalesce(F.col("p.lo"), F.lit(float("-inf"))) < F.col(f"a.{t}")) & (F.col(f"a.{t}") <= F.col("p.hi"))
-    found = a.join(p, [*on, inside], "left").select("a.*", F.col("lo"), F.col("hi"), F.col("r0"), F.col("r1"), F.col("before")).join(total, keys, "left")
-    rate = F.coalesce(_rate(F.col(t)), F.lit(0.0))
-    part = F.when(F.col("lo").isNull(), F.lit(0.0)).otherwise((F.col("r0") + _rate(F.col(t))) / 2 * F.greatest(F.col(t) - F.col("lo"), F.lit(0.0)) / 3600)
-    fallen = F.when(F.col("hi").isNull(), F.coalesce(F.col("last.all"), F.lit(0.0))).otherwise(F.greatest(F.col("before") + part, F.lit(0.0)))
-    return found.select(*at.columns, rate.alias("rate"), fallen.alias("fallen_mm"))
+    whole = F.col("before") + F.coalesce((F.col("r0") + F.col("r1")) / 2 * (F.col("hi") - F.col("lo")) / 3600, F.lit(0.0))
+    ends = parts.groupBy(*keys).agg(F.min("hi").alias("__start"), F.min_by("r1", "hi").alias("__r"), F.max("hi").alias("__end"), F.max_by(whole, "hi").alias("__all"))
+    bucket = lambda c: F.floor(F.col(c) / bucket_s)
+    pieces = parts.where("lo < hi").withColumn("__b", F.explode(F.sequence(bucket("lo"), bucket("hi"))))
+    a, p = at.withColumn("__b", bucket(t)).alias("a"), pieces.alias("p")
+    on = [F.col(f"a.{k}") == F.col(f"p.{k}") for k in [*keys, "__b"]]
+    inside = (F.col("p.lo") < F.col(f"a.{t}")) & (F.col(f"a.{t}") <= F.col("p.hi"))
+    found = a.join(p, [*on, inside], "left").select("a.*", F.col("lo"), F.col("hi"), F.col("r0"), F.col("r1"), F.col("before")).join(ends, keys, "left")
+    early, known = F.col(t) <= F.col("__start"), F.col("hi").isNotNull()
+    rate = F.when(early, F.col("__r")).when(known, _rate(F.col(t))).otherwise(F.lit(0.0))
+    part = (F.col("r0") + _rate(F.col(t))) / 2 * (F.col(t) - F.col("lo")) / 3600
+    fallen = F.when(early, F.lit(0.0)).when(known, F.greatest(F.col("before") + part, F.lit(0.0))).otherwise(F.coalesce("__all", F.lit(0.0)))
+    return found.select(*at.columns, F.coalesce(rate, F.lit(0.0)).alias("rate"), fallen.alias("fallen_mm"))
 
 
 def active_window(series: DataFrame, keys: list[str], least: float = 1.0, lead_s: float = 3600.0, tail_s: float = 10800.0) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -119,63 +117,91 @@ def filled_holes(cells: DataFrame, tile: int = 256, rounds: int = 500) -> DataFr
     return known.join(fills, ["r", "c"], "left").select("r", "c", F.coalesce("elev", "fill").alias("elev"), "sea")
 
 
-def filled_depressions(cells: DataFrame, epsilon: float = 0.001, tile: int = 256, rounds: int = 10_000) -> DataFrame:
+#: Kinds of cells in a packed tile: none, to be filled, at the border, missing at the border.
+NONE, INNER, BORDER, OPEN = range(4)
+
+
+def _sink(bed: np.ndarray, kind: np.ndarray, around: dict[int, np.ndarray], epsilon: float) -> np.ndarray:
+    """The surface of a tile, given the strips that lie around it (by number in NEIGHBOURS): whatever a sunken cell lowers is looked at next."""
+    n = len(bed)
+    wide = n + 4  # the strips around, and one row beyond them that no step leaves
+    level, ground, open_ = np.full((wide, wide), np.inf), np.full((wide, wide), np.inf), np.zeros((wide, wide), bool)
+    level[2:-2, 2:-2] = np.where(kind == BORDER, bed, np.where(kind == OPEN, 0.0, np.inf))
+    ground[2:-2, 2:-2], open_[2:-2, 2:-2] = bed, kind == INNER
+    place = {-1: slice(1, 2), 0: slice(2, n + 2), 1: slice(n + 2, n + 3)}
+    for i, strip in around.items():
+        x, y = NEIGHBOURS[i]
+        block = level[place[y], place[x]]
+        block[:] = strip.reshape(block.shape)
+    level, ground, open_ = level.ravel(), ground.ravel(), open_.ravel()
+    steps = np.array([y * wide + x for x, y in NEIGHBOURS])
+    front = np.flatnonzero(np.isfinite(level))
+    while len(front):
+        to, low = (front[:, None] + steps).ravel(), np.repeat(level[front], len(steps))
+        ok = open_[to]
+        to, low = to[ok], low[ok]
+        sunk = np.where(ground[to] > low, ground[to], low + epsilon)
+        lower = sunk < level[to]
+        np.minimum.at(level, to[lower], sunk[lower])
+        front = np.unique(to[lower])
+    return level.reshape(wide, wide)[2:-2, 2:-2]
+
+
+def filled_depressions(cells: DataFrame, epsilon: float = 0.001, tile: int = 256) -> DataFrame:
     """r, c, z of a raster (r, c, z) without sinks: the only surface with border cells as they are and, inside,
     f = z if z > m, else m + epsilon, with m the lowest f around. Missing cells at the border stay missing and act as 0
     for their neighbours; missing ones inside are raised.
 
-    Every tile floods from its border with the heights around it as they stand; tiles whose surroundings have sunk run
-    again, until none has.
+    A tile is one row with its cells in an array. It sinks from its border and from the strips that its neighbours
+    sent, and sends its own strips on; tiles that got a changed strip run again until there is none. Rounds hand on
+    strips only, as a tile's surface follows from its cells and the strips around it; surfaces come at the end.
     """
     write = scratch(cells.sparkSession)
     size = F.broadcast(cells.agg(F.max("r").alias("__r"), F.max("c").alias("__c")))
-    placed = cells.crossJoin(size).select(
-        "r", "c", F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"), "z", (F.expr("r = 0 OR c = 0 OR r = __r OR c = __c")).alias("border"), F.lit(float("inf")).alias("f")
-    )
-    schema = "r bigint, c bigint, tr bigint, tc bigint, z double, border boolean, f double, changed boolean"
-
-    def flood(part: pd.DataFrame) -> pd.DataFrame:
-        own = part[part["halo"] == 0]
-        level = {(y, x): f for y, x, f in zip(part["r"].tolist(), part["c"].tolist(), part["f"].tolist(), strict=True)}
-        inside = set(zip(own["r"].tolist(), own["c"].tolist(), strict=True))
-        bed = {(y, x): -np.inf if pd.isna(z) else z for y, x, z in zip(own["r"].tolist(), own["c"].tolist(), own["z"].tolist(), strict=True)}
-        heap: list[tuple[float, int, int]] = []
-        for y, x, z, b in zip(own["r"].tolist(), own["c"].tolist(), own["z"].tolist(), own["border"].tolist(), strict=True):
-            if b:
-                level[y, x] = 0.0 if pd.isna(z) else z
-        borders = {k for k, b in zip(zip(own["r"].tolist(), own["c"].tolist(), strict=True), own["border"].tolist(), strict=True) if b}
-        for k, f in level.items():
-            if np.isfinite(f):
-                heap.append((f, *k))
-        heapq.heapify(heap)
-        while heap:
-            f, y, x = heapq.heappop(heap)
-            if f > level[y, x]:
-                continue
-            for dx, dy in NEIGHBOURS:
-                k = (y + dy, x + dx)
-                if k not in inside or k in borders:
-                    continue
-                to = bed[k] if bed[k] > f else f + epsilon
-                if to < level[k]:
-                    level[k] = to
-                    heapq.heappush(heap, (to, *k))
-        now = np.array([level[k] for k in zip(own["r"].tolist(), own["c"].tolist(), strict=True)])
-        return own.drop(columns="halo").assign(changed=now != own["f"].to_numpy(), f=now)[["r", "c", "tr", "tc", "z", "border", "f", "changed"]]
-
-    state = write(placed.withColumn("changed", F.lit(True)))
-    first = True
-    for _ in range(rounds):
-        edge = state.where(f"r % {tile} IN (0, {tile - 1}) OR c % {tile} IN (0, {tile - 1})")
-        spread = edge.select("*", F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for x, y in NEIGHBOURS])).alias("s"))
-        halo = spread.select("r", "c", F.floor((F.col("r") + F.col("s.y")) / tile).alias("nr"), F.floor((F.col("c") + F.col("s.x")) / tile).alias("nc"), "tr", "tc", "f", "changed").where("nr <> tr OR nc <> tc").drop("tr", "tc").distinct()
-        sunk = state.select("tr", "tc").distinct() if first else halo.where("changed").select(F.col("nr").alias("tr"), F.col("nc").alias("tc")).distinct()
-        if sunk.isEmpty():
+    edge = F.expr("r = 0 OR c = 0 OR r = __r OR c = __c")
+    kind = F.when(~edge, INNER).when(F.col("z").isNull(), OPEN).otherwise(BORDER)
+    placed = cells.crossJoin(size).select(F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"), F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c"), F.col("z").cast("double").alias("z"), kind.alias("kind"))
+
+    def pack(key: tuple[int, int], part: pd.DataFrame) -> pd.DataFrame:
+        bed, kinds = np.full((tile, tile), np.inf), np.zeros((tile, tile), np.uint8)
+        y, x = (part["r"] - key[0] * tile).to_numpy(), (part["c"] - key[1] * tile).to_numpy()
+        bed[y, x], kinds[y, x] = part["z"].fillna(-np.inf), part["kind"]
+        return pd.DataFrame({"tr": [key[0]], "tc": [key[1]], "bed": [bed.tobytes()], "kind": [kinds.tobytes()]})
+
+    def surface(tiles: pd.DataFrame, mail: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
+        bed = np.frombuffer(tiles["bed"].iloc[0]).reshape(tile, tile)
+        kinds = np.frombuffer(tiles["kind"].iloc[0], np.uint8).reshape(tile, tile)
+        got = dict(zip(mail["side"].tolist(), mail["strip"], strict=True))
+        level = _sink(bed, kinds, {i: np.frombuffer(b) for i, b in got.items() if i < len(NEIGHBOURS)}, epsilon)
+        return level, kinds, {i - len(NEIGHBOURS): b for i, b in got.items() if i >= len(NEIGHBOURS)}
+
+    def send(key: tuple[int, int], tiles: pd.DataFrame, mail: pd.DataFrame) -> pd.DataFrame:
+        level, _, before = surface(tiles, mail)
+        ends = {-1: slice(0, 1), 0: slice(None), 1: slice(tile - 1, tile)}
+        out = []
+        for i, (x, y) in enumerate(NEIGHBOURS):
+            strip = level[ends[y], ends[x]]
+            # a receiver knows the strip by the side that it comes from, which is opposite in order
+            news = strip.tobytes() != before[i] if i in before else bool(np.isfinite(strip).any())
+            out.append((*key, key[0] + y, key[1] + x, len(NEIGHBOURS) - 1 - i, strip.tobytes(), news))
+        return pd.DataFrame(out, columns=["sr", "sc", "tr", "tc", "side", "strip", "changed"])
+
+    def unpack(key: tuple[int, int], tiles: pd.DataFrame, mail: pd.DataFrame) -> pd.DataFrame:
+        level, kinds, _ = surface(tiles, mail)
+        y, x = np.nonzero(kinds)
+        return pd.DataFrame({"r": y + key[0] * tile, "c": x + key[1] * tile, "z": np.where(kinds[y, x] == OPEN, np.nan, level[y, x])})
+
+    letters = "sr bigint, sc bigint, tr bigint, tc bigint, side int, strip binary, changed boolean"
+    tiles = write(placed.groupBy("tr", "tc").applyInPandas(pack, "tr bigint, tc bigint, bed binary, kind binary"))
+    mail = write(cells.sparkSession.createDataFrame([], letters))
+    due = there = tiles.select("tr", "tc")
+    while True:
+        mine = mail.join(due, ["tr", "tc"], "left_semi").select("tr", "tc", "side", "strip")
+        own = mail.drop("tr", "tc").withColumnsRenamed({"sr": "tr", "sc": "tc"}).join(due, ["tr", "tc"], "left_semi").select("tr", "tc", (2 * len(NEIGHBOURS) - 1 - F.col("side")).alias("side"), "strip")
+        sent = tiles.join(due, ["tr", "tc"], "left_semi").groupBy("tr", "tc").cogroup(mine.unionByName(own).groupBy("tr", "tc")).applyInPandas(send, letters).join(there, ["tr", "tc"], "left_semi")
+        still = mail.join(due.withColumnsRenamed({"tr": "sr", "tc": "sc"}), ["sr", "sc"], "left_anti").withColumn("changed", F.lit(False))
+        mail = write(sent.unionByName(still.select(*sent.columns)))
+        if mail.where("changed").isEmpty():
             break
-        sunk = write(sunk)
-        mine = state.join(sunk, ["tr", "tc"], "left_semi").select("r", "c", "tr", "tc", "z", "border", "f", F.lit(0).alias("halo"))
-        theirs = halo.select("r", "c", F.col("nr").alias("tr"), F.col("nc").alias("tc"), F.lit(None).cast("double").alias("z"), F.lit(False).alias("border"), "f", F.lit(1).alias("halo")).join(sunk, ["tr", "tc"], "left_semi")
-        run = mine.unionByName(theirs).groupBy("tr", "tc").applyInPandas(flood, schema)
-        still = state.join(sunk, ["tr", "tc"], "left_anti").withColumn("changed", F.lit(False))
-        state, first = write(run.unionByName(still.select(*run.columns))), False
-    return state.select("r", "c", F.when(F.col("border") & F.col("z").isNull(), F.lit(None)).otherwise(F.col("f")).alias("z"))
+        due = mail.where("changed").select("tr", "tc").distinct()
+    return tiles.groupBy("tr", "tc").cogroup(mail.select("tr", "tc", "side", "strip").groupBy("tr", "tc")).applyInPandas(unpack, "r bigint, c bigint, z double")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverine.operators import calibration, radar, rain
+from riverine.operators.drainage import scratch
 from riverine.plans.testdata import collection, frame
 
 KEYS = ["station", "day"]
@@ -203,13 +204,13 @@ def jon3_nearest_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"+ {_AXES}, k AS (SELECT DISTINCT day, hour FROM model) SELECT k.day, k.hour, br.point, round(greatest({_BILINEAR.format(v='m')}, 0.0), 6) AS mm_h FROM k CROSS JOIN br {_corners('model')}", "model")
 def jon5_resample(spark: SparkSession, sf: str) -> DataFrame:
-    return calibration.resample(_targets(spark, sf), frame(spark, sf, "model"), ["day", "hour"]).withColumn("mm_h", F.round("mm_h", 6))
+    return calibration.resample(_targets(spark, sf), scratch(spark)(frame(spark, sf, "model")), ["day", "hour"]).withColumn("mm_h", F.round("mm_h", 6))
 
 
 @query(f"""+ {_FACTORS}, {_AXES} SELECT k.day, k.hour, br.point, round(CASE WHEN k.factor = 0 THEN 0.0 WHEN k.most < 0.1 THEN k.observed ELSE greatest({_BILINEAR.format(v='m')} * k.factor, 0.0) END, 5) AS mm_h
     FROM fa k CROSS JOIN br {_corners('model')}""", "gauge", "model")
 def jon4_calibrated(spark: SparkSession, sf: str) -> DataFrame:
-    model = frame(spark, sf, "model")
+    model = scratch(spark)(frame(spark, sf, "model"))
     gauge_lon = model.withColumn("lon", F.col("lon") + (calibration.GAUGE_LON - 136.41))
     targets = _targets(spark, sf).withColumn("lon", F.col("lon") + (calibration.GAUGE_LON - 136.41))
     return calibration.calibrated(targets, gauge_lon, _observed(spark, sf)).withColumn("mm_h", F.round("mm_h", 5))
@@ -220,7 +221,7 @@ def jon4_calibrated(spark: SparkSession, sf: str) -> DataFrame:
     ON v.day = ks.day AND v.hour = ks.hour AND v.point = tg.point AND tg.lat BETWEEN (SELECT min(lat) FROM model) AND (SELECT max(lat) FROM model) AND tg.lon BETWEEN (SELECT min(lon) FROM model) AND (SELECT max(lon) FROM model)""", "model")
 def jon6_sample_bilinear(spark: SparkSession, sf: str) -> DataFrame:
     """Every raster of the model."""
-    model = frame(spark, sf, "model")
+    model = scratch(spark)(frame(spark, sf, "model"))
     raster = model.select("day", "hour", "iy", "ix", F.col("lat").alias("y"), F.col("lon").alias("x"), F.col("mm_h").alias("value"))
     targets = _targets(spark, sf).select("point", F.col("lat").alias("y"), F.col("lon").alias("x"))
     return calibration.sample_bilinear(targets, raster, ["day", "hour"]).select("day", "hour", "point", F.round("value", 6).alias("value"))
