@@ -179,7 +179,8 @@ def filled_depressions(cells: DataFrame, epsilon: float = 0.001, tile: int = 256
         level, _, before = surface(tiles, mail)
         ends = {-1: slice(0, 1), 0: slice(None), 1: slice(tile - 1, tile)}
         out = []
-        for i, (x, y) in enumerate(NEIGHBOURS):
+        for i in tiles["near"].iloc[0].tolist():
+            x, y = NEIGHBOURS[i]
             strip = level[ends[y], ends[x]]
             # a receiver knows the strip by the side that it comes from, which is opposite in order
             news = strip.tobytes() != before[i] if i in before else bool(np.isfinite(strip).any())
@@ -192,16 +193,18 @@ def filled_depressions(cells: DataFrame, epsilon: float = 0.001, tile: int = 256
         return pd.DataFrame({"r": y + key[0] * tile, "c": x + key[1] * tile, "z": np.where(kinds[y, x] == OPEN, np.nan, level[y, x])})
 
     letters = "sr bigint, sc bigint, tr bigint, tc bigint, side int, strip binary, changed boolean"
-    tiles = write(placed.groupBy("tr", "tc").applyInPandas(pack, "tr bigint, tc bigint, bed binary, kind binary"))
-    mail = write(cells.sparkSession.createDataFrame([], letters))
-    due = there = tiles.select("tr", "tc")
-    while True:
-        mine = mail.join(due, ["tr", "tc"], "left_semi").select("tr", "tc", "side", "strip")
-        own = mail.drop("tr", "tc").withColumnsRenamed({"sr": "tr", "sc": "tc"}).join(due, ["tr", "tc"], "left_semi").select("tr", "tc", (2 * len(NEIGHBOURS) - 1 - F.col("side")).alias("side"), "strip")
-        sent = tiles.join(due, ["tr", "tc"], "left_semi").groupBy("tr", "tc").cogroup(mine.unionByName(own).groupBy("tr", "tc")).applyInPandas(send, letters).join(there, ["tr", "tc"], "left_semi")
+    packed = write(placed.groupBy("tr", "tc").applyInPandas(pack, "tr bigint, tc bigint, bed binary, kind binary"))
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, (x, y) in enumerate(NEIGHBOURS)])).alias("s")
+    asked = packed.select("tr", "tc", sides).select("tr", "tc", "s.i", (F.col("tr") + F.col("s.y")).alias("nr"), (F.col("tc") + F.col("s.x")).alias("nc"))
+    there = packed.select(F.col("tr").alias("nr"), F.col("tc").alias("nc"))
+    near = asked.join(there, ["nr", "nc"]).groupBy("tr", "tc").agg(F.collect_set("i").alias("near"))  # eight at most
+    tiles = write(packed.join(near, ["tr", "tc"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<int>"))))
+    to, back = F.struct("tr", "tc", "side"), F.struct(F.col("sr").alias("tr"), F.col("sc").alias("tc"), (2 * len(NEIGHBOURS) - 1 - F.col("side")).alias("side"))
+    mail, due, first = write(cells.sparkSession.createDataFrame([], letters)), tiles.select("tr", "tc"), True
+    while first or not mail.where("changed").isEmpty():
+        due, first = due if first else mail.where("changed").select("tr", "tc"), False
+        both = mail.select(F.explode(F.array(to, back)).alias("k"), "strip").select("k.*", "strip").join(due, ["tr", "tc"], "left_semi")  # got and sent before
+        sent = tiles.join(due, ["tr", "tc"], "left_semi").groupBy("tr", "tc").cogroup(both.groupBy("tr", "tc")).applyInPandas(send, letters)
         still = mail.join(due.withColumnsRenamed({"tr": "sr", "tc": "sc"}), ["sr", "sc"], "left_anti").withColumn("changed", F.lit(False))
-        mail = write(sent.unionByName(still.select(*sent.columns)))
-        if mail.where("changed").isEmpty():
-            break
-        due = mail.where("changed").select("tr", "tc").distinct()
+        mail = write(sent.unionByName(still))
     return tiles.groupBy("tr", "tc").cogroup(mail.select("tr", "tc", "side", "strip").groupBy("tr", "tc")).applyInPandas(unpack, "r bigint, c bigint, z double")
