@@ -57,6 +57,26 @@ def pixel_to_lonlat(gx: Column, gy: Column) -> tuple[Column, Column]:
     return tile_lon(gx / TILE_PX), tile_lat(gy / TILE_PX)
 
 
+def region_bounds(left: Column, top: Column, w: Column, h: Column, tile_x0: int, tile_y0: int) -> Column:
+    """Struct xmin, ymin, xmax, ymax (EPSG:3857) and west, south, east, north (degrees) of a box in pixels from a tile's corner."""
+    x, y = tile_x0 * TILE_PX + left, tile_y0 * TILE_PX + top
+    names = [("xmin", "ymax", "west", "north"), ("xmax", "ymin", "east", "south")]
+    ends = [c.alias(n) for (gx, gy), row in zip([(x, y), (x + w, y + h)], names, strict=True) for c, n in zip([*pixel_to_mercator(gx, gy), *pixel_to_lonlat(gx, gy)], row, strict=True)]
+    return F.struct(*ends)
+
+
+def grid_size_pixels(cells: Column, dx: Column, lat: Column) -> Column:
+    """Pixels that a row of cells of dx metres spans; with region_bounds, the box of a grid given in metres."""
+    return cells * dx / metres_per_pixel(lat)
+
+
+def request_axis(least: Column, most: Column, step: float) -> Column:
+    """Array of places from one step below `least`, step by step, up to but without one step above `most`, to four decimals."""
+    start = least - step
+    n = F.ceil((most + step - start) / step)
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.round(start + i * step, 4))
+
+
 def mesh_bounds(mesh_from: Column, mesh_to: Column) -> Column:
     """Struct lat_min, lat_max, lon_min, lon_max of a radar mesh; both codes are inclusive."""
     row, col = lambda c: F.floor(c / 100), lambda c: c % 100

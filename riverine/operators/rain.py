@@ -140,6 +140,13 @@ def scenario_index(scenarios: DataFrame) -> DataFrame:
     return named.select("file", name.alias("name"), text.alias("description")).orderBy("file")
 
 
+def all_kinds(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Scenarios of all kinds as one index; a column that a kind lacks is NULL."""
+    for other in others:
+        first = first.unionByName(other, allowMissingColumns=True)
+    return first
+
+
 def upsert(entries: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """entries without the keys in new, and new."""
     return entries.join(new.select(key), key, "left_anti").unionByName(new)

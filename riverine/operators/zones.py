@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riverine.functions.geo import M_PER_DEGREE
+from riverine.operators.drainage import counted
 
 
 def cell_lonlat(r: Column, c: Column, lon: float, lat: float, dx: float) -> tuple[Column, Column]:
-    """A local grid in which a degree has one length both ways; rows run south."""
-    return lon + c * dx / M_PER_DEGREE, lat - r * dx / M_PER_DEGREE
+    """A local grid from its first cell at lon, lat, where degrees of longitude are shorter by that latitude; rows run south."""
+    return lon + c * dx / (M_PER_DEGREE * math.cos(math.radians(lat))), lat - r * dx / M_PER_DEGREE
+
+
+def in_polygons(cells: DataFrame, zones: DataFrame, lon: float, lat: float, dx: float) -> DataFrame:
+    """zone, r, c of the cells within the bounding box of each zone's polygon (array of struct lon, lat), ends included.
+
+    Boxes are broadcast if their counted rows are few.
+    """
+    x, y = cell_lonlat(F.col("r"), F.col("c"), lon, lat, dx)
+    place = lambda end, k: end(F.transform("polygon", lambda p: p[k]))
+    boxes = counted(zones.select("zone", *[place(end, k).alias(f"{k}_{n}") for k in ("lon", "lat") for end, n in ((F.array_min, "min"), (F.array_max, "max"))]))
+    placed = cells.select("r", "c", x.alias("__x"), y.alias("__y"))
+    return placed.join(boxes, F.expr("__x BETWEEN lon_min AND lon_max AND __y BETWEEN lat_min AND lat_max")).select("zone", "r", "c")
 
 
 def in_zones(cells: DataFrame, zones: DataFrame) -> DataFrame:
@@ -60,7 +75,7 @@ def storage(means: DataFrame, zones: DataFrame) -> DataFrame:
         volumes = np.array(out)
         return pd.DataFrame({"zone": part["zone"], "region": part["region"], "t_s": part["t_s"], "volume": volumes, "depth": volumes / part["area"].to_numpy()})
 
-    joined = means.join(F.broadcast(zones.select("zone", "floor_depth_m", "threshold_m", "coupling_s")), "zone")
+    joined = means.join(counted(zones.select("zone", "floor_depth_m", "threshold_m", "coupling_s")), "zone")
     return joined.groupBy("zone", "region").applyInPandas(fold, SERIES)
 
 

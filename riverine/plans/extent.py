@@ -254,12 +254,15 @@ def agg17_zone_means(spark: SparkSession, sf: str) -> DataFrame:
     return zones.zone_means(_frames(spark, sf), frame(spark, sf, "zones"), DX).withColumn("mean_h", F.round("mean_h", 6))
 
 
-@query(f"""+ {_F}, {_ZM}, sq AS (SELECT zm.*, floor_depth_m, threshold_m, coupling_s, row_number() OVER w AS n, coalesce(t_s - lag(t_s) OVER w, 0.0) AS dt FROM zm JOIN zones USING (zone) WINDOW w AS (PARTITION BY zm.zone, zm.region ORDER BY t_s)),
+_FO = f"""{_F}, {_ZM}, sq AS (SELECT zm.*, floor_depth_m, threshold_m, coupling_s, row_number() OVER w AS n, coalesce(t_s - lag(t_s) OVER w, 0.0) AS dt FROM zm JOIN zones USING (zone) WINDOW w AS (PARTITION BY zm.zone, zm.region ORDER BY t_s)),
     fo AS (SELECT zone, region, n, t_s, area, CAST(0 AS DOUBLE) AS volume FROM sq WHERE n = 1 UNION ALL
       SELECT s.zone, s.region, s.n, s.t_s, s.area, least(CASE WHEN s.mean_h > s.threshold_m THEN fo.volume + least(least((s.mean_h - s.threshold_m) / s.coupling_s * s.area * s.dt, greatest(0.0, (s.floor_depth_m - fo.volume / s.area) * s.area)), s.mean_h * s.area * 0.5)
         WHEN fo.volume / s.area > 0 AND s.mean_h < s.threshold_m THEN fo.volume - least(fo.volume / s.area / s.coupling_s * s.area * s.dt, fo.volume) ELSE fo.volume END, s.floor_depth_m * s.area)
       FROM fo JOIN sq s ON s.zone = fo.zone AND s.region = fo.region AND s.n = fo.n + 1)
-    SELECT zone, region, t_s, round(volume, 4) AS volume, round(volume / area, 6) AS depth FROM fo""", "frames", "zones")
+"""
+
+
+@query(f"""+ {_FO} SELECT zone, region, t_s, round(volume, 4) AS volume, round(volume / area, 6) AS depth FROM fo""", "frames", "zones")
 def str4_zone_storage(spark: SparkSession, sf: str) -> DataFrame:
     """The batch form of STR4."""
     z = frame(spark, sf, "zones")
@@ -278,3 +281,23 @@ def agg17_depth_map(spark: SparkSession, sf: str) -> DataFrame:
     cells = f.join(z, F.expr("r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1")).select("zone", "region", "frame", "r", "c")
     spread = cells.join(means, ["zone", "region", "frame"]).groupBy("zone", "region", "frame").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("cells"))
     return spread.withColumn("depth", F.round("depth", 6))
+
+
+@query(f"""+ {_FO}, hit AS (SELECT DISTINCT zone, region, r, c FROM fr JOIN zones ON r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1)
+    SELECT hit.region, hit.r, hit.c, fo.t_s, round(arg_max(fo.volume / fo.area, fo.zone), 6) AS depth FROM hit JOIN fo ON fo.zone = hit.zone AND fo.region = hit.region GROUP BY hit.region, hit.r, hit.c, fo.t_s""", "frames", "zones")
+def agg17_depth_cells(spark: SparkSession, sf: str) -> DataFrame:
+    z, f = frame(spark, sf, "zones"), _frames(spark, sf)
+    return zones.depth_map(zones.storage(zones.zone_means(f, z, DX), z), zones.in_zones(f, z)).withColumn("depth", F.round("depth", 6))
+
+
+ORACLE_SQL["agg17_depth_cells"] = ORACLE_SQL["agg17_depth_cells"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("""+ b AS (SELECT n_nationkey AS zone, 136.9 + n_regionkey / 3000.0 AS x0, 136.9 + n_regionkey / 3000.0 + 0.0009 AS x1, 35.17 - n_nationkey / 9000.0 - 0.0007 AS y0, 35.17 - n_nationkey / 9000.0 AS y1 FROM nation)
+    SELECT CAST(zone AS BIGINT) AS zone, r, c FROM cells JOIN b ON 136.9 + c * 5.0 / (111320.0 * cos(radians(35.17))) BETWEEN x0 AND x1 AND 35.17 - r * 5.0 / 111320.0 BETWEEN y0 AND y1""".replace("136.9", "CAST(136.9 AS DOUBLE)").replace("35.17", "CAST(35.17 AS DOUBLE)").replace("3000.0", "CAST(3000 AS DOUBLE)").replace("9000.0", "CAST(9000 AS DOUBLE)").replace("111320.0", "CAST(111320 AS DOUBLE)"), "cells")
+def jon14_in_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    x, y = 136.9 + F.col("n_regionkey") / 3000.0, 35.17 - F.col("n_nationkey") / 9000.0
+    corner = lambda a, b: F.struct(a.alias("lon"), b.alias("lat"))
+    ring = F.array(corner(x, y), corner(x + 0.0009, y), corner(x + 0.0009, y - 0.0007), corner(x, y - 0.0007))
+    wanted = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("zone"), ring.alias("polygon"))
+    return zones.in_polygons(frame(spark, sf, "cells"), wanted, 136.9, 35.17, 5.0)

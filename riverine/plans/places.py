@@ -55,6 +55,28 @@ def sca5_mercator(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "cells").select("r", "c", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
+_EM = "CAST(40075016.686 AS DOUBLE)"
+
+
+@query(f"""+ b AS (SELECT point, 28830 * 256 + CAST(point % 700 AS DOUBLE) AS x, 12945 * 256 + CAST(point % 900 AS DOUBLE) AS y, CAST(point % 50 + 40 AS DOUBLE) * 5 / ({_EM} * cos(radians(lat)) / 32768 / 256) AS w, CAST(point % 33 + 20 AS DOUBLE) * 5 / ({_EM} * cos(radians(lat)) / 32768 / 256) AS h FROM points)
+    SELECT point, round(x * ({_EM} / 8388608) - {_EM} / 2, 3) AS xmin, round({_EM} / 2 - (y + h) * ({_EM} / 8388608), 3) AS ymin, round((x + w) * ({_EM} / 8388608) - {_EM} / 2, 3) AS xmax, round({_EM} / 2 - y * ({_EM} / 8388608), 3) AS ymax,
+      round({_LON.format('x / 256')}, 6) AS west, round({_LAT.format('(y + h) / 256')}, 6) AS south, round({_LON.format('(x + w) / 256')}, 6) AS east, round({_LAT.format('y / 256')}, 6) AS north FROM b""", "points")
+def sca5_region_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes whose sides are given in cells of five metres."""
+    k, side = F.col("point"), lambda m, n: geo.grid_size_pixels((F.col("point") % m + n).cast("double"), F.lit(5.0), F.col("lat"))
+    box = geo.region_bounds((k % 700).cast("double"), (k % 900).cast("double"), side(50, 40), side(33, 20), 28830, 12945)
+    got = _points(spark, sf).select("point", box.alias("b")).select("point", "b.*")
+    return got.select("point", *[F.round(n, 3).alias(n) for n in ("xmin", "ymin", "xmax", "ymax")], *[F.round(n, 6).alias(n) for n in ("west", "south", "east", "north")])
+
+
+@query("""+ e AS (SELECT min(lat) - s AS y0, min(lon) - s AS x0, CAST(ceil((max(lat) + s - (min(lat) - s)) / s) AS BIGINT) AS ny, CAST(ceil((max(lon) + s - (min(lon) - s)) / s) AS BIGINT) AS nx, any_value(s) AS s FROM (SELECT *, CAST(0.05 AS DOUBLE) AS s FROM points) GROUP BY s)
+    SELECT round(y0 + i * s, 4) AS lat, round(x0 + j * s, 4) AS lon FROM (SELECT *, unnest(range(0, ny)) AS i FROM e), LATERAL (SELECT unnest(range(0, nx)) AS j)""", "points")
+def sca5_request_grid(spark: SparkSession, sf: str) -> DataFrame:
+    ends = _points(spark, sf).agg(*[f(k).alias(f"{k}_{n}") for k in ("lat", "lon") for f, n in ((F.min, "min"), (F.max, "max"))])
+    lat, lon = (geo.request_axis(F.col(f"{k}_min"), F.col(f"{k}_max"), 0.05) for k in ("lat", "lon"))
+    return ends.select(F.explode(lat).alias("lat"), lon.alias("axis")).select("lat", F.explode("axis").alias("lon"))
+
+
 _SCALE = "(CAST(40075016.686 AS DOUBLE) * cos(radians(CAST(35.1546 AS DOUBLE))) / 32768 / 256)"
 
 
@@ -89,8 +111,7 @@ def sca15_rectangles(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id FROM events WHERE date_diff('day', CAST(ts AS DATE), (SELECT max(CAST(ts AS DATE)) FROM events)) BETWEEN 0 AND 7")
 def sca16_recent(spark: SparkSession, sf: str) -> DataFrame:
     events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.to_date("ts").alias("day"))
-    today = F.broadcast(events.agg(F.max("day").alias("today")))
-    return events.crossJoin(today).where(F.datediff("today", "day").between(0, 7)).select("event_id")
+    return catalog.recent(events, events.agg(F.max("day").alias("today"))).select("event_id")
 
 
 @query("""+ g AS (SELECT p.point, w.ward, (w.lon - p.lon) * (w.lon - p.lon) + (w.lat - p.lat) * (w.lat - p.lat) AS d FROM points p, wards w) SELECT point, arg_min(ward, (round(d, 12), ward)) AS ward FROM g GROUP BY point""", "points", "wards")

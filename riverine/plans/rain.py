@@ -126,7 +126,7 @@ def snk7_scenario_index(spark: SparkSession, sf: str) -> DataFrame:
 def set1_all_scenarios(spark: SparkSession, sf: str) -> DataFrame:
     modelled = frame(spark, sf, "model").groupBy("day").agg((F.sum(F.round(F.col("mm_h") * 10).cast("bigint")) / 10.0).alias("total_mm"))
     modelled = modelled.select(F.concat(F.lit("day_"), F.date_format("day", "yyyyMMdd"), F.lit(".json")).alias("file"), F.lit("model").alias("kind"), F.col("day").alias("date"), "total_mm")
-    return _scenarios(spark, sf).select("file", "kind", "date", "total_mm").unionByName(modelled, allowMissingColumns=True)
+    return rain.all_kinds(_scenarios(spark, sf).select("file", "kind", "date", "total_mm"), modelled)
 
 
 @query(f"""+ {_SUMMARY} SELECT 'rain_' || strftime(s.day, '%Y%m%d') || '_' || CAST(s.station AS VARCHAR) || '.json' AS file, s.station, s.day, total_mm, peak_mmh, n AS points, total AS series_sum

@@ -50,6 +50,12 @@ def sliding_totals(messages: DataFrame, key: str = "station", delay: str = "1 ho
     return by_hour.agg(F.sum("mm").alias("mm")).select(F.col("window.start").alias("start"), key, "mm")
 
 
+def largest_hours(messages: DataFrame, key: str = "station") -> DataFrame:
+    """key, day and most_mm: the largest total of an hour that starts on that day, every ten minutes. Batch form, of finished messages."""
+    totals = sliding_totals(messages, key)
+    return totals.groupBy(key, F.to_date("start").alias("day")).agg(F.max("mm").alias("most_mm"))
+
+
 class ZoneTank(StatefulProcessor):
     """Keeps the volume and the last time of each zone's tank; rows of a batch are taken in order of time."""
 
