@@ -6,9 +6,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riverine.functions.geo import pixel
+
 #: Pixels in one Arrow batch at most, but for a single run of pixels.
 BATCH_PIXELS = 1 << 20
 
@@ -42,6 +44,16 @@ def spans(y: np.ndarray, x: np.ndarray, sizes: np.ndarray, rows: np.ndarray, col
     return of[0::2], row[0::2], left.astype(np.int64), right.astype(np.int64)
 
 
+def in_pixels(buildings: DataFrame, tile_x0: int, tile_y0: int) -> DataFrame:
+    """buildings with rings of lon, lat turned into rings of y, x: pixels from the north-west corner of a tile."""
+
+    def corner(p: Column) -> Column:
+        x, y = pixel(p["lon"], p["lat"], F.lit(tile_x0), F.lit(tile_y0))
+        return F.struct(y.alias("y"), x.alias("x"))
+
+    return buildings.withColumn("ring", F.transform("ring", corner))
+
+
 def rasterised(buildings: DataFrame, tile: int = 256) -> DataFrame:
     """r, c, height_cm of pixels whose centre is in a ring (even-odd); of overlapping buildings the last by (file, seq) counts.
 

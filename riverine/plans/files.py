@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverine.functions import hydraulics
-from riverine.operators import rain
+from riverine.operators import footprints, rain
 from riverine.operators.drainage import scratch
 from riverine.plans.extent import _F, _frames
 from riverine.plans.rain import _SUMMARY, KEYS
 from riverine.plans.terrain import _TERRAIN, _terrain
 from riverine.plans.testdata import collection, frame
 from riverine.sources import sinks
+from riverine.sources.buildings import buildings
 from riverine.streaming.feeds import largest_hours
 
 QUERIES, ORACLE_SQL, query = collection()
@@ -76,3 +77,41 @@ def snk4_written_frames(spark: SparkSession, sf: str) -> DataFrame:
 def str5_sliding_maximum(spark: SparkSession, sf: str) -> DataFrame:
     messages = spark.read.parquet(f"{sf}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 10).alias("station"), (F.floor(F.col("value") * 10) / 10).alias("mm"))
     return largest_hours(messages).withColumn("most_mm", F.round("most_mm", 1))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(round_even((c_custkey % 90 + 3) * 100, 0) AS INTEGER) AS height_cm, CAST(4 AS BIGINT) AS corners, round(35.1 + c_custkey % 100 / 1000.0, 6) AS lat FROM customer WHERE c_custkey % 7 <> 0""")
+def src6_buildings(spark: SparkSession, sf: str) -> DataFrame:
+    """Buildings written as CityGML elements and read back; every seventh has no height."""
+    path = _folder(spark)
+    _write_city(spark.read.parquet(f"{sf}/customer.parquet"), path)
+    got = buildings(spark, path)
+    return got.select("id", "height_cm", F.size("ring").cast("bigint").alias("corners"), F.round(F.col("ring")[0]["lat"], 6).alias("lat"))
+
+
+def _write_city(customers: DataFrame, path: str) -> None:
+    """Files of 1000 buildings, each one document."""
+    bodies = customers.groupBy(F.floor(F.col("c_custkey") / 1000).alias("mesh")).agg(F.array_join(F.sort_array(F.collect_list(_building())), "").alias("body"))
+    root = '<core:CityModel xmlns:core="c" xmlns:bldg="b" xmlns:gml="g">'
+    bodies.select(F.concat(F.lit(root), "body", F.lit("</core:CityModel>")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
+def _building() -> Column:
+    lat, lon, side = F.lit(35.1) + F.col("c_custkey") % 100 / 1000, F.lit(136.8) + F.floor(F.col("c_custkey") / 100) % 100 / 1000, 0.0004
+    ring = [(0, 0), (0, side), (side, side), (side, 0)]
+    places = F.concat_ws(" ", *[F.format_string("%.6f", v + d) for y, x in ring for v, d in ((lat, y), (lon, x))])
+    height = F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit('<bldg:measuredHeight uom="m">'), (F.col("c_custkey") % 90 + 3).cast("string"), F.lit("</bldg:measuredHeight>"))).otherwise("")
+    around = "<bldg:lod0FootPrint><gml:MultiSurface><gml:surfaceMember><gml:Polygon><gml:exterior><gml:LinearRing><gml:posList>{}</gml:posList></gml:LinearRing></gml:exterior></gml:Polygon></gml:surfaceMember></gml:MultiSurface></bldg:lod0FootPrint></bldg:Building>"
+    begin, end = around.split("{}")
+    return F.concat(F.lit('<bldg:Building gml:id="'), F.col("c_custkey").cast("string"), F.lit('">'), height, F.lit(begin), places, F.lit(end)).alias("value")
+
+
+@query("""+ b AS (SELECT c_custkey AS k, 35.1 + c_custkey % 100 / 1000.0 AS y, 136.8 + floor(c_custkey / 100) % 100 / 1000.0 AS x FROM customer WHERE c_custkey % 7 <> 0),
+    p AS (SELECT k, (x + 180) / 360.0 * 32768 * 256 - 28830 * 256 AS x0, (x + 0.0004 + 180) / 360.0 * 32768 * 256 - 28830 * 256 AS x1,
+      (1 - asinh(tan(radians(y + 0.0004))) / pi()) / 2 * 32768 * 256 - 12945 * 256 AS y0, (1 - asinh(tan(radians(y))) / pi()) / 2 * 32768 * 256 - 12945 * 256 AS y1 FROM b),
+    n AS (SELECT k, CAST(ceil(y0 - 0.5) AS BIGINT) AS r0, CAST(ceil(y1 - 0.5) AS BIGINT) AS r1, CAST(ceil(x0 - 0.5) AS BIGINT) AS c0, CAST(ceil(x1 - 0.5) AS BIGINT) AS c1 FROM p)
+    SELECT r, c, CAST(max((k % 90 + 3) * 100) AS BIGINT) AS height_cm FROM (SELECT k, c0, c1, unnest(range(r0, r1)) AS r FROM n), LATERAL (SELECT unnest(range(c0, c1)) AS c) GROUP BY r, c""".replace("+ b", "WITH b"))
+def jon15_city_raster(spark: SparkSession, sf: str) -> DataFrame:
+    """The chain from CityGML to pixels. Squares don't meet, but for those of equal height in repeated places."""
+    path = _folder(spark)
+    _write_city(spark.read.parquet(f"{sf}/customer.parquet"), path)
+    return footprints.rasterised(footprints.in_pixels(buildings(spark, path), 28830, 12945))
