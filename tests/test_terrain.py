@@ -164,7 +164,9 @@ def test_city_gml(spark, tmp_path):
     square, hole = "35.0 136.0 0 35.0 136.1 0 35.1 136.1 0 35.0 136.0 0", "35.01 136.01 0 35.01 136.02 0 35.02 136.02 0"
     one = lambda h, t: f'<bldg:Building gml:id="b{h}">{f"<bldg:measuredHeight uom=" + chr(34) + "m" + chr(34) + f">{h}</bldg:measuredHeight>" if h else ""}<bldg:lod0FootPrint><gml:MultiSurface><gml:surfaceMember><gml:Polygon><gml:exterior>{ring(t)}</gml:exterior><gml:interior>{ring(hole)}</gml:interior></gml:Polygon></gml:surfaceMember></gml:MultiSurface></bldg:lod0FootPrint></bldg:Building>'
     (tmp_path / "a.gml").write_text(f'<core:CityModel xmlns:core="c" xmlns:bldg="b" xmlns:gml="g">{one("10.0", square)}{one("tall", square)}{one("999", square)}{one("", square)}</core:CityModel>')
-    got = sorted((r.height_cm, len(r.ring)) for r in buildings(spark, str(tmp_path)).collect())
+    rows = buildings(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r.id for r in rows] == ["b10.0", "b10.0", "b999", "b999"] and len({r.seq for r in rows}) == 4
+    got = sorted((r.height_cm, len(r.ring)) for r in rows)
     assert got == [(1000, 3), (1000, 4), (32000, 3), (32000, 4)]
 
 
