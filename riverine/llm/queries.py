@@ -78,7 +78,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_quality_rules, op4_warc, op5_exact_dedup, op6_quality_classifier, op7_substring_dedup, op8_language_id, op9_bpe, op10_packing)}
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverine.llm.secrets import scan_secrets
+
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverine.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_ngram_join, op3_quality_rules, op4_warc, op5_exact_dedup, op6_quality_classifier, op7_substring_dedup, op8_language_id,
+        op9_bpe, op10_packing, op11_secrets, op12_whitening,
+    )
+}
 
 #: Words as the contracts have them, and lower-casing of A-Z only.
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -86,8 +104,32 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(x, {1 + 5 * i}, 5) AS BIGINT) >> {s}) & 31) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0)
 )
+#: A quotation mark or none, within an SQL string.
+_QUOTE = "[\"'']?"
+#: Kind, expression, group that has to be long enough, and its least characters, of the rules of op 11.
+_RULES = [
+    ("assign", rf"((?i:password|passwd|secret|token|api_?key)){_QUOTE}\x20*[:=]\x20*{_QUOTE}([A-Za-z0-9+/_.=-]+)", 2, 12),
+    ("access", "(AKIA[A-Z0-9]+)", 1, 18), ("hex", "([0-9a-f]+)", 1, 16), ("github", "(gh[pousr]_[A-Za-z0-9]{36,})", 1, 0),
+    ("slack", "(xox[abprs]-[A-Za-z0-9]+-[A-Za-z0-9-]{10,})", 1, 0), ("google", "(AIza[A-Za-z0-9_-]{35})", 1, 0), ("stripe", "([rs]k_live_[A-Za-z0-9]{24,})", 1, 0),
+    ("signed", r"(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 1, 0), ("pem", "(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)", 1, 0),
+]
+_MATCHES = " UNION ALL ".join(
+    f"SELECT rid, {k} AS rule, '{kind}' AS kind, unnest(list_transform(regexp_split_to_array(t, '{p}')[:-2], lambda x: length(x))) AS gap, "
+    f"unnest(list_transform(regexp_extract_all(t, '{p}', 0), lambda x: length(x))) AS n, unnest(list_transform(regexp_extract_all(t, '{p}', {g}), lambda x: length(x))) AS m, "
+    f"{least} AS least, unnest(range(len(regexp_extract_all(t, '{p}', 0)))) AS i FROM d"
+    for k, (kind, p, g, least) in enumerate(_RULES)
+)
 
 ORACLE_SQL = {
+    "op11_secrets": f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+        x AS ({_MATCHES}),
+        p AS (SELECT *, sum(gap + n) OVER (PARTITION BY rid, rule ORDER BY i) AS stop FROM x),
+        s AS (SELECT rid, rule, stop - n AS start, kind || ':' || CAST(stop - n AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM p WHERE m >= least),
+        g AS (SELECT rid, count(*) FILTER (rule = 0) AS a, count(*) FILTER (rule = 1) AS k, count(*) FILTER (rule = 2) AS h,
+                     string_agg(span, ',' ORDER BY start, rule) FILTER (rule < 3) AS base, string_agg(span, ',' ORDER BY start, rule) AS spans FROM s GROUP BY rid)
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g ON g.rid = d.rid""",
     "op1_line_dedup": r"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, text, string_split(text, chr(10)) AS lines FROM documents),
         t AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
