@@ -90,11 +90,17 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riverine.llm.alignment import cross_tokenizer
+
+    return cross_tokenizer(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_ngram_join, op3_quality_rules, op4_warc, op5_exact_dedup, op6_quality_classifier, op7_substring_dedup, op8_language_id,
-        op9_bpe, op10_packing, op11_secrets, op12_whitening,
+        op9_bpe, op10_packing, op11_secrets, op12_whitening, op13_token_alignment,
     )
 }
 
