@@ -6,23 +6,23 @@ import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverine.llm.bpe import byte_of_char, load
+from riverine.llm.bpe import _ALNUM, _MARK, byte_of_char, load
 from riverine.llm.shared import small_batches, written
 from riverine.llm.textblocks import ragged, slices
 
-#: Fragments whose alignment a Python worker remembers; beyond it, all are forgotten.
+#: Fragments whose alignment a Python worker remembers; beyond it, those met once are forgotten.
 CACHE = 300_000
 #: Bytes of text aligned at a time, and fragments given to a library at a time.
 SLICE, BATCH = 1 << 20, 10_000
-#: The mark of a space in pieces, and what is put before a fragment so that its space isn't taken for the one that is added.
-MARK, BEFORE = "▁", "a"
+#: The mark of a space in pieces, and what is put before a fragment: no piece goes on from it, and the space that the model adds stands before it.
+MARK, BEFORE = "▁", "\n"
 
 
 @dataclass
@@ -109,14 +109,22 @@ class PieceTokens:
         self.model = SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
         self.table = TokenTable([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)])
-        inside = "".join(p.lstrip(MARK) for p in pieces)
-        #: White space that no piece has behind another character.
-        self.begins = [c for c in " \t\n\r\v\f" if (MARK if c == " " else c) not in inside]
+        plain = [p for i, p in enumerate(pieces) if not self.model.is_byte(i)]
+        inside = {p.lstrip(MARK)[i : i + 2] for p in plain for i in range(len(p) - 1)}
+        if any(BEFORE in p for p in plain):
+            raise ValueError("pieces with line ends aren't provided for")
+        #: White space that no piece has behind another character, and pairs of a letter or digit and a mark that no piece has.
+        self.begins = [c for c in " \t\n\r\v\f" if not any((MARK if c == " " else c) in p.lstrip(MARK)[1:] for p in plain)]
+        self.apart = np.zeros((256, 256), bool)
+        for a, b in product(np.flatnonzero(_ALNUM).tolist(), np.flatnonzero(_MARK).tolist()):
+            self.apart[a, b] = chr(a) + chr(b) not in inside
         self.first = self.model.encode(BEFORE)
 
     def __call__(self, fragments: list[str], data: np.ndarray, starts: np.ndarray) -> Tokens:
         found = [[x for p in t.pieces for x in (p.id, p.begin, p.end)] for t in self.model.encode([BEFORE + f for f in fragments], return_type="proto", num_threads=1)]
         skip = len(self.first)
+        if any(x[: 3 * skip : 3] != self.first for x in found):
+            raise ValueError("a piece crosses the line end before a fragment")
         counts = np.array([len(x) // 3 - skip for x in found], np.int64)
         flat = np.fromiter(chain.from_iterable(x[3 * skip :] for x in found), np.int64, 3 * int(counts.sum())).reshape(-1, 3)
         shift = np.repeat(starts, counts) - len(BEFORE.encode())
@@ -134,14 +142,15 @@ class Aligned:
 
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
+        self.met = np.zeros(0, np.int64)
         self.sizes = np.zeros((0, 4), np.int64)  # tokens of A, tokens of B, groups, and whether the bytes agree
         self.texts: list[str] = []
         self.links, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def starts_of(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Offsets of fragments: at white space behind a character that is none, where no token of either crosses.
+        """Offsets of fragments: where the splitting pattern ends a piece and no token of B crosses.
 
-        What is behind has to be printable ASCII, or a character of two or four bytes from U+00C0 on, or of three from
+        That is at a mark behind a letter or digit (ASCII), and at white space behind a character that is none. What is behind has to be printable ASCII, or a character of two or four bytes from U+00C0 on, or of three from
         U+4000 on: none of these is white space to the splitting pattern, so it ends a piece there.
         """
         n = int(offsets[-1])
@@ -153,7 +162,12 @@ class Aligned:
         two = tail1 & (b2 >= 0xC3) & (b2 < 0xE0)
         three = tail1 & tail2 & (b3 >= 0xE4) & (b3 < 0xF0)
         four = tail1 & tail2 & tail3 & (b4 >= 0xF0)
-        return np.union1d(i[printable | two | three | four], offsets[:-1][np.diff(offsets) > 0])
+        begins = np.zeros(n, bool)
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        begins[i[printable | two | three | four]] = True
+        marks = np.flatnonzero(_MARK[data[:n]])
+        begins[marks[self.b.apart[data[marks - 1], data[marks]]]] = True  # a text begins with a space, no mark
+        return np.flatnonzero(begins)
 
     def _add(self, raws: list[bytes]) -> None:
         data = np.frombuffer(b"".join(raws), np.uint8)
@@ -179,17 +193,30 @@ class Aligned:
         self.texts += [";".join(shown[p:q]) for p, q in zip([0, *stops], stops, strict=False)]
         self.starts = np.concatenate([self.starts, len(self.links) + np.cumsum(groups) - groups])
         self.sizes = np.concatenate([self.sizes, np.stack([both[0].counts, both[1].counts, groups, good], axis=1)])
+        self.met = np.concatenate([self.met, np.zeros(len(raws), np.int64)])
         self.links = np.concatenate([self.links, ids[0][i] * self.n_b + ids[1][j]])
 
+    def _forget(self) -> None:
+        least = np.partition(self.met, -CACHE // 2)[-CACHE // 2]  # half of what there is room for stays at most
+        keep = np.flatnonzero(self.met > max(1, least))
+        raws = list(self.at)
+        self.at = {raws[k]: i for i, k in enumerate(keep.tolist())}
+        self.texts = [self.texts[k] for k in keep.tolist()]
+        self.met, self.sizes = self.met[keep], self.sizes[keep]
+        self.links = self.links[ragged(self.starts[keep], self.sizes[:, 2])]
+        self.starts = np.cumsum(self.sizes[:, 2]) - self.sizes[:, 2]
+
     def look_up(self, fragments: pa.Array) -> np.ndarray:
         """Indexes into what is remembered, of distinct fragments; compared by their bytes."""
         if len(self.at) > CACHE:
-            self.clear()
+            self._forget()
         raws = fragments.to_pylist()
         new = [r for r in raws if r not in self.at]
         for k in range(0, len(new), BATCH):
             self._add(new[k : k + BATCH])
-        return np.fromiter((self.at[r] for r in raws), np.int64, len(raws))
+        at = np.fromiter((self.at[r] for r in raws), np.int64, len(raws))
+        self.met[at] += 1
+        return at
 
 
 @functools.lru_cache(maxsize=1)
