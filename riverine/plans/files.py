@@ -89,10 +89,12 @@ def src6_buildings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _write_city(customers: DataFrame, path: str) -> None:
-    """Files of 1000 buildings, each one document."""
-    bodies = customers.groupBy(F.floor(F.col("c_custkey") / 1000).alias("mesh")).agg(F.array_join(F.sort_array(F.collect_list(_building())), "").alias("body"))
+    """Folders of a mesh of 1000 buildings, each one document; their names grow with the mesh."""
+    mesh = F.format_string("%09d", F.floor(F.col("c_custkey") / 1000))
+    bodies = customers.groupBy(mesh.alias("mesh")).agg(F.array_join(F.sort_array(F.collect_list(_building())), "").alias("body"))
     root = '<core:CityModel xmlns:core="c" xmlns:bldg="b" xmlns:gml="g">'
-    bodies.select(F.concat(F.lit(root), "body", F.lit("</core:CityModel>")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    documents = bodies.select("mesh", F.concat(F.lit(root), "body", F.lit("</core:CityModel>")).alias("value"))
+    documents.repartition("mesh").write.partitionBy("mesh").text(path)
 
 
 def _building() -> Column:
@@ -109,9 +111,9 @@ def _building() -> Column:
     p AS (SELECT k, (x + 180) / 360.0 * 32768 * 256 - 28830 * 256 AS x0, (x + 0.0004 + 180) / 360.0 * 32768 * 256 - 28830 * 256 AS x1,
       (1 - asinh(tan(radians(y + 0.0004))) / pi()) / 2 * 32768 * 256 - 12945 * 256 AS y0, (1 - asinh(tan(radians(y))) / pi()) / 2 * 32768 * 256 - 12945 * 256 AS y1 FROM b),
     n AS (SELECT k, CAST(ceil(y0 - 0.5) AS BIGINT) AS r0, CAST(ceil(y1 - 0.5) AS BIGINT) AS r1, CAST(ceil(x0 - 0.5) AS BIGINT) AS c0, CAST(ceil(x1 - 0.5) AS BIGINT) AS c1 FROM p)
-    SELECT r, c, CAST(max((k % 90 + 3) * 100) AS BIGINT) AS height_cm FROM (SELECT k, c0, c1, unnest(range(r0, r1)) AS r FROM n), LATERAL (SELECT unnest(range(c0, c1)) AS c) GROUP BY r, c""".replace("+ b", "WITH b"))
+    SELECT r, c, CAST(arg_max((k % 90 + 3) * 100, k) AS BIGINT) AS height_cm FROM (SELECT k, c0, c1, unnest(range(r0, r1)) AS r FROM n), LATERAL (SELECT unnest(range(c0, c1)) AS c) GROUP BY r, c""".replace("+ b", "WITH b"))
 def jon15_city_raster(spark: SparkSession, sf: str) -> DataFrame:
-    """The chain from CityGML to pixels. Squares don't meet, but for those of equal height in repeated places."""
+    """The chain from CityGML to pixels. Places repeat every 10,000 buildings; the one in the later mesh counts."""
     path = _folder(spark)
     _write_city(spark.read.parquet(f"{sf}/customer.parquet"), path)
     return footprints.rasterised(footprints.in_pixels(buildings(spark, path), 28830, 12945))

@@ -114,14 +114,21 @@ def sca16_recent(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.recent(events, events.agg(F.max("day").alias("today"))).select("event_id")
 
 
-@query("""+ g AS (SELECT p.point, w.ward, (w.lon - p.lon) * (w.lon - p.lon) + (w.lat - p.lat) * (w.lat - p.lat) AS d FROM points p, wards w) SELECT point, arg_min(ward, (round(d, 12), ward)) AS ward FROM g GROUP BY point""", "points", "wards")
+_MICRO = lambda v: f"CAST(round(({v}) * 1000000) AS BIGINT)"
+_GAP = lambda a, b, x, y: f"({_MICRO(a)} - {x}) * ({_MICRO(a)} - {x}) + ({_MICRO(b)} - {y}) * ({_MICRO(b)} - {y})"
+
+
+@query(f"+ g AS (SELECT p.point, w.ward, {_GAP('w.lon', 'w.lat', _MICRO('p.lon'), _MICRO('p.lat'))} AS d FROM points p, wards w) SELECT point, arg_min(ward, (d, ward)) AS ward FROM g GROUP BY point", "points", "wards")
 def jon16_nearest_ward(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.nearest_ward(_points(spark, sf), frame(spark, sf, "wards"))
 
 
-_BOXES = "bx AS (SELECT point AS box, lon - 1.5 * (point % 3) AS west, lon - 1.5 * (point % 3) + 0.02 AS east, lat AS south, lat + 0.02 AS north FROM points)"
-_NEARW = """nr AS (SELECT bx.box, w.ward FROM bx, wards w WHERE sqrt(pow(greatest(west - w.lon, 0.0, w.lon - east), 2) + pow(greatest(south - w.lat, 0.0, w.lat - north), 2)) <= 0.08),
-    al AS (SELECT bx.box, arg_min(w.ward, (round(pow(w.lon - (west + east) / 2, 2) + pow(w.lat - (south + north) / 2, 2), 12), w.ward)) AS ward FROM bx, wards w WHERE bx.box NOT IN (SELECT box FROM nr) GROUP BY bx.box), pk AS (SELECT * FROM nr UNION ALL SELECT * FROM al)"""
+_BOXES = f"""bx AS (SELECT point AS box, lon - 1.5 * (point % 3) AS west, lon - 1.5 * (point % 3) + 0.02 AS east, lat AS south, lat + 0.02 AS north FROM points),
+    bm AS (SELECT box, {_MICRO('west')} AS west, {_MICRO('east')} AS east, {_MICRO('south')} AS south, {_MICRO('north')} AS north FROM bx),
+    wm AS (SELECT ward, {_MICRO('lon')} AS u, {_MICRO('lat')} AS v FROM wards)"""
+_NEARW = """nr AS (SELECT box, ward FROM (SELECT box, ward, greatest(west - u, 0, u - east) AS dx, greatest(south - v, 0, v - north) AS dy FROM bm, wm) WHERE dx * dx + dy * dy <= 80000 * 80000::BIGINT),
+    ct AS (SELECT box, CAST(floor((west + east) / 2) AS BIGINT) AS x, CAST(floor((south + north) / 2) AS BIGINT) AS y FROM bm WHERE box NOT IN (SELECT box FROM nr)),
+    al AS (SELECT box, arg_min(ward, ((u - x) * (u - x) + (v - y) * (v - y), ward)) AS ward FROM ct, wm GROUP BY box), pk AS (SELECT * FROM nr UNION ALL SELECT * FROM al)"""
 
 
 def _boxes(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,14 +20,14 @@ SCHEMA = T.StructType([
 
 
 def buildings(spark: SparkSession, path: str) -> DataFrame:
-    """file, seq, id, height_cm, ring of the position lists in the ground-level footprints of buildings with a numeric height.
+    """file (its path), seq, id, height_cm, ring of the position lists in the ground-level footprints of buildings with a numeric height.
 
     Holes are rings of their own, as every list is painted. seq grows along a file (not by one): a building's place
     is where its split begins plus its row in the task, which stays below the split's bytes; its lists follow, up to 65536.
     """
     rows = spark.read.format("xml").option("rowTag", "bldg:Building").schema(SCHEMA).load(path)
     place = F.col("_metadata.file_block_start") + F.expr("monotonically_increasing_id() & 8589934591")
-    named = rows.select(F.col("_metadata.file_name").alias("file"), place.alias("place"), F.col("`_gml:id`").alias("id"), F.expr("try_cast(`bldg:measuredHeight`._VALUE AS double)").alias("m"), F.col("`bldg:lod0FootPrint`.`gml:MultiSurface`.`gml:surfaceMember`").alias("members")).where("m IS NOT NULL")
+    named = rows.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), F.col("`_gml:id`").alias("id"), F.expr("try_cast(`bldg:measuredHeight`._VALUE AS double)").alias("m"), F.col("`bldg:lod0FootPrint`.`gml:MultiSurface`.`gml:surfaceMember`").alias("members")).where("m IS NOT NULL")
     polygons = named.select("file", "place", "id", "m", F.transform("members", lambda s: s["gml:Polygon"]).alias("ps"))
     outer = lambda p: F.array(p["gml:exterior"]["gml:LinearRing"]["gml:posList"])
     inner = lambda p: F.coalesce(F.transform(p["gml:interior"], lambda i: i["gml:LinearRing"]["gml:posList"]), F.array().cast("array<string>"))
