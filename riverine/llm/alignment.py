@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain, product
@@ -18,9 +19,9 @@ from riverine.llm.shared import small_batches, written
 from riverine.llm.textblocks import ragged, slices
 
 #: Fragments whose alignment a Python worker remembers; beyond it, those met once are forgotten.
-CACHE = 300_000
+CACHE = 150_000
 #: Bytes of text aligned at a time, and fragments given to a library at a time.
-SLICE, BATCH = 1 << 20, 10_000
+SLICE, BATCH = 1 << 20, 2500
 #: The mark of a space in pieces, and what is put before a fragment: no piece goes on from it, and the space that the model adds stands before it.
 MARK, BEFORE = "▁", "\n"
 
@@ -81,6 +82,7 @@ class ByteTokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
