@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,23 +13,42 @@ from riverine.operators.drainage import NEIGHBOURS, scratch
 
 
 def _labels(mask: np.ndarray, diagonal: bool) -> np.ndarray:
-    """Numbers from 1 of the connected groups of a mask, 0 outside."""
-    found = np.zeros(mask.shape, np.int64)
-    n = 0
-    steps = [(y, x) for x, y in NEIGHBOURS if diagonal or not (x and y)]
-    for r, c in zip(*np.nonzero(mask), strict=True):
-        if found[r, c]:
-            continue
-        n += 1
-        found[r, c], todo = n, [(r, c)]
-        while todo:
-            y, x = todo.pop()
-            for dy, dx in steps:
-                v, u = y + dy, x + dx
-                if 0 <= v < mask.shape[0] and 0 <= u < mask.shape[1] and mask[v, u] and not found[v, u]:
-                    found[v, u] = n
-                    todo.append((v, u))
-    return found
+    """At every set cell of a mask the place (row * width + column) of its connected group's first cell, -1 elsewhere.
+
+    Runs of a row are joined with the runs that they touch in the next row; groups are then found by arrays: every run
+    takes the smallest number around it, and the number of that one, until nothing changes.
+    """
+    height, width = mask.shape
+    wide = width + 2  # runs of different rows never touch in one line of places
+    flat = np.zeros(height * wide + 1, np.int8)
+    flat[:-1].reshape(height, wide)[:, 1:-1] = mask
+    turns = np.flatnonzero(np.diff(flat, prepend=0))
+    start, stop = turns[0::2], turns[1::2]
+    if not len(start):
+        return np.full(mask.shape, -1, np.int64)
+    slack = 1 if diagonal else 0
+    low = np.searchsorted(stop, start + wide - slack, "right")
+    high = np.searchsorted(start, stop + wide + slack, "left")
+    n = np.maximum(high - low, 0)
+    above = np.repeat(np.arange(len(start)), n)
+    below = low[above] + np.arange(len(above)) - np.repeat(np.cumsum(n) - n, n)
+    label = np.arange(len(start))
+    while True:
+        before = label.copy()
+        least = np.minimum(label[above], label[below])
+        np.minimum.at(label, label[above], least)
+        np.minimum.at(label, label[below], least)
+        np.minimum.at(label, above, least)
+        np.minimum.at(label, below, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    found = np.full(height * wide, -1, np.int64)
+    sizes = stop - start
+    cells = np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    first = start[label]
+    found[cells] = np.repeat(first // wide * width + first % wide - 1, sizes)
+    return found.reshape(height, wide)[:, 1:-1]
 
 
 def void_groups(cells: DataFrame, diagonal: bool = False, tile: int = 256, among: str = "elev IS NULL") -> DataFrame:
@@ -38,15 +59,14 @@ def void_groups(cells: DataFrame, diagonal: bool = False, tile: int = 256, among
     write = scratch(cells.sparkSession)
     named = cells.where(among).select("r", "c", F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"))
 
-    def label(part: pd.DataFrame) -> pd.DataFrame:
+    def label(key: tuple[int, int], part: pd.DataFrame) -> pd.DataFrame:
         r, c = part["r"].to_numpy(), part["c"].to_numpy()
+        y, x = r - key[0] * tile, c - key[1] * tile
         mask = np.zeros((tile, tile), bool)
-        mask[r % tile, c % tile] = True
-        own = _labels(mask, diagonal)[r % tile, c % tile]
-        first: dict[int, int] = {}
-        for y, x, k in zip(r.tolist(), c.tolist(), own.tolist(), strict=True):
-            first[k] = min(first.get(k, y << 31 | x), y << 31 | x)
-        return pd.DataFrame({"r": r, "c": c, "tr": part["tr"], "tc": part["tc"], "group": [first[k] for k in own.tolist()]})
+        mask[y, x] = True
+        first = _labels(mask, diagonal)[y, x]
+        group = (first // tile + key[0] * tile) << 31 | (first % tile + key[1] * tile)
+        return pd.DataFrame({"r": r, "c": c, "tr": part["tr"], "tc": part["tc"], "group": group})
 
     schema = "r bigint, c bigint, tr bigint, tc bigint, group bigint"
     labelled = write(named.groupBy("tr", "tc").applyInPandas(label, schema))
@@ -75,46 +95,118 @@ def classified(cells: DataFrame, tile: int = 256) -> DataFrame:
     return cells.join(sea, ["r", "c"], "left").withColumn("sea", F.coalesce("sea", F.lit(False)))
 
 
-def filled_holes(cells: DataFrame, tile: int = 256, rounds: int = 500) -> DataFrame:
+#: Kinds of cells in a tile whose holes are filled: none, known, hole, sea.
+NOTHING, KNOWN, HOLE, SEA = range(4)
+
+
+def _diffuse(z: np.ndarray, rounds: int) -> int:
+    """Fills cells of NaN, but for the outermost, by rounds of means over what is known in 3 x 3; returns the rounds that changed anything.
+
+    Cells beyond the raster are infinite: never known, never filled.
+    """
+    flat, wide = z.ravel(), z.shape[1]
+    inner = np.zeros(z.shape, bool)
+    inner[1:-1, 1:-1] = True
+    open_ = np.flatnonzero(np.isnan(flat) & inner.ravel())
+    steps = np.array([y * wide + x for x, y in NEIGHBOURS])
+    for k in range(rounds):
+        if not len(open_):
+            return k
+        around = flat[open_[:, None] + steps]
+        have = np.isfinite(around)
+        n = have.sum(axis=1)
+        ready = n > 0
+        if not ready.any():
+            return k
+        flat[open_[ready]] = np.where(have, around, 0.0).sum(axis=1)[ready] / n[ready]
+        open_ = open_[~ready]
+    return rounds
+
+
+def filled_holes(cells: DataFrame, tile: int = 256, rounds: int = 500, halo: int = 32) -> DataFrame:
     """r, c, elev, sea of classified cells: sea is 0 m, holes are filled by rounds of means over known cells of 3 x 3.
 
-    Holes that touch at corners are one group, filled with its ring of known cells in one task; what is left after
-    `rounds` is 0. A group is as large as its hole.
+    A tile is one row with its cells in an array. With bands of `halo` cells around it from its neighbours it runs as
+    many rounds by itself, since what is wrong beyond the bands moves one cell a round; then bands are exchanged anew.
+    Only tiles with open cells run, and only their neighbours send bands. A hole may span any number of tiles. What is
+    left after `rounds`, or can't be reached, is 0.
     """
-    known = cells.withColumn("elev", F.when(F.col("sea"), F.lit(0.0)).otherwise(F.col("elev")))
-    groups = void_groups(known, True, tile)
-    ring = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for x, y in [*NEIGHBOURS, (0, 0)]]))
-    around = groups.select("group", "r", "c", ring.alias("n")).select("group", (F.col("r") + F.col("n.y")).alias("r"), (F.col("c") + F.col("n.x")).alias("c")).distinct()
+    write = scratch(cells.sparkSession)
+    halo = min(halo, tile)
+    kind = F.when(F.col("sea"), SEA).when(F.col("elev").isNull(), HOLE).otherwise(KNOWN)
+    placed = cells.select(F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"), F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c"), F.when(F.col("sea"), F.lit(0.0)).otherwise(F.col("elev")).cast("double").alias("z"), kind.alias("kind"))
 
-    def fill(part: pd.DataFrame) -> pd.DataFrame:
-        r, c = part["r"].to_numpy(), part["c"].to_numpy()
-        z = np.full((r.max() - r.min() + 3, c.max() - c.min() + 3), np.nan)
-        hole = np.zeros(z.shape, bool)
-        y, x = r - r.min() + 1, c - c.min() + 1
-        z[y, x] = part["elev"].to_numpy(float)
-        hole[y, x] = part["elev"].isna()
-        open_ = hole.copy()
-        for _ in range(rounds):
-            if not open_.any():
-                break
-            have = ~np.isnan(z)
-            value = np.where(have, z, 0.0)
-            total, n = np.zeros(z.shape), np.zeros(z.shape)
-            for dy in (-1, 0, 1):
-                for dx in (-1, 0, 1):
-                    total += np.roll(value, (dy, dx), (0, 1))
-                    n += np.roll(have, (dy, dx), (0, 1))
-            now = open_ & (n > 0)
-            if not now.any():
-                break
-            z[now] = total[now] / n[now]
-            open_ &= ~now
-        z[open_] = 0.0
-        mine = hole[y, x]
-        return pd.DataFrame({"r": r[mine], "c": c[mine], "fill": z[y, x][mine]})
-
-    fills = around.join(known.select("r", "c", "elev"), ["r", "c"]).groupBy("group").applyInPandas(fill, "r bigint, c bigint, fill double")
-    return known.join(fills, ["r", "c"], "left").select("r", "c", F.coalesce("elev", "fill").alias("elev"), "sea")
+    def pack(key: tuple[int, int], part: pd.DataFrame) -> pd.DataFrame:
+        z, kinds = np.full((tile, tile), np.inf), np.zeros((tile, tile), np.uint8)
+        y, x = (part["r"] - key[0] * tile).to_numpy(), (part["c"] - key[1] * tile).to_numpy()
+        z[y, x], kinds[y, x] = part["z"], part["kind"]
+        return pd.DataFrame({"tr": [key[0]], "tc": [key[1]], "z": [z.tobytes()], "kind": [kinds.tobytes()], "open": [int(np.isnan(z).sum())]})
+
+    ends = {-1: slice(0, halo), 0: slice(None), 1: slice(tile - halo, tile)}
+    places = {-1: slice(1, 1 + halo), 0: slice(1 + halo, 1 + halo + tile), 1: slice(1 + halo + tile, 1 + 2 * halo + tile)}
+
+    def bands(tr: int, tc: int, z: np.ndarray) -> list[tuple]:
+        return [(tr + y, tc + x, len(NEIGHBOURS) - 1 - i, np.ascontiguousarray(z[ends[y], ends[x]]).tobytes()) for i, (x, y) in enumerate(NEIGHBOURS)]
+
+    def send(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.itertuples():
+                yield pd.DataFrame(bands(row.tr, row.tc, np.frombuffer(row.z).reshape(tile, tile)), columns=["tr", "tc", "side", "band"])
+
+    def run(many: int) -> Callable:
+        def fill(key: tuple[int, int], tiles: pd.DataFrame, mail: pd.DataFrame) -> pd.DataFrame:
+            names = ["tr", "tc", "side", "band", "z", "kind", "open", "moved"]
+            if tiles.empty:
+                return pd.DataFrame([], columns=names)
+            wide = np.full((tile + 2 * halo + 2,) * 2, np.inf)
+            wide[places[0], places[0]] = np.frombuffer(tiles["z"].iloc[0]).reshape(tile, tile)
+            for side, band in zip(mail["side"].tolist(), mail["band"], strict=True):
+                x, y = NEIGHBOURS[side]
+                block = wide[places[y], places[x]]
+                block[:] = np.frombuffer(band).reshape(block.shape)
+            before = int(tiles["open"].iloc[0])
+            _diffuse(wide, many)
+            z = wide[places[0], places[0]]
+            left = int(np.isnan(z).sum())
+            rows = [(*key, None, None, z.tobytes(), tiles["kind"].iloc[0], left, left < before)]
+            return pd.DataFrame(rows + [(*b, None, None, None, None) for b in bands(*key, z)], columns=names)
+
+        return fill
+
+    def unpack(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.itertuples():
+                kinds = np.frombuffer(row.kind, np.uint8).reshape(tile, tile)
+                y, x = np.nonzero(kinds)
+                z = np.frombuffer(row.z).reshape(tile, tile)[y, x]
+                yield pd.DataFrame({"r": y + row.tr * tile, "c": x + row.tc * tile, "elev": np.where(np.isnan(z), 0.0, z), "sea": kinds[y, x] == SEA})
+
+    letter = "tr bigint, tc bigint, side int, band binary"
+    packed = write(placed.groupBy("tr", "tc").applyInPandas(pack, "tr bigint, tc bigint, z binary, kind binary, open bigint"))
+    finished, active = [packed.where("open = 0")], packed.where("open > 0")
+    sides = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in NEIGHBOURS])).alias("s")
+    near = active.select("tr", "tc", sides).select((F.col("tr") + F.col("s.y")).alias("tr"), (F.col("tc") + F.col("s.x")).alias("tc")).distinct()
+    sent = [packed.join(near, ["tr", "tc"], "left_semi").select("tr", "tc", "z").mapInPandas(send, letter).withColumn("round", F.lit(0))]
+    done = 0
+    while done < rounds and not active.isEmpty():
+        many = min(halo, rounds - done)
+        letters = sent[0]
+        for more in sent[1:]:
+            letters = letters.unionByName(more)
+        last = letters.join(active.select("tr", "tc"), ["tr", "tc"], "left_semi").groupBy("tr", "tc", "side").agg(F.max_by("band", "round").alias("band"))
+        out = f"{letter}, z binary, kind binary, open bigint, moved boolean"
+        after = write(active.groupBy("tr", "tc").cogroup(last.groupBy("tr", "tc")).applyInPandas(run(many), out))
+        done += many
+        sent.append(after.where("side IS NOT NULL").select("tr", "tc", "side", "band").withColumn("round", F.lit(done)))
+        tiles = after.where("side IS NULL")
+        if tiles.where("moved").isEmpty():  # what is open has nothing known around it
+            done = rounds
+        finished.append(tiles.where("open = 0").select(*packed.columns))
+        active = tiles.where("open > 0").select(*packed.columns)
+    out = active
+    for more in finished:
+        out = out.unionByName(more)
+    return out.mapInPandas(unpack, "r bigint, c bigint, elev double, sea boolean")
 
 
 #: Kinds of cells in a packed tile: none, to be filled, at the border, missing at the border.

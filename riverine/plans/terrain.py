@@ -204,9 +204,18 @@ def grf1_sea(spark: SparkSession, sf: str) -> DataFrame:
 ORACLE_SQL["grf1_sea"] = _RECURSIVE(ORACLE_SQL["grf1_sea"])
 
 
-@query(None)
+@query("""+ v AS (SELECT r, c FROM cells WHERE elev IS NULL), rc AS (SELECT r, c FROM v WHERE r = 0 OR c = 0 OR r = (SELECT max(r) FROM cells) OR c = (SELECT max(c) FROM cells)
+      UNION SELECT v.r, v.c FROM rc JOIN v ON abs(v.r - rc.r) + abs(v.c - rc.c) = 1),
+    kn AS (SELECT cells.r, cells.c, rc.r IS NOT NULL AS sea, CASE WHEN rc.r IS NOT NULL THEN 0.0 ELSE elev END AS z FROM cells LEFT JOIN rc ON rc.r = cells.r AND rc.c = cells.c),
+    fi AS (SELECT 0 AS i, r, c, z FROM kn UNION ALL
+      SELECT i, r, c, coalesce(z, CASE WHEN n > 0 THEN s / n END) FROM (SELECT a.i + 1 AS i, a.r, a.c, a.z, count(b.z) AS n, sum(b.z) AS s FROM fi a LEFT JOIN fi b ON a.z IS NULL AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1
+        WHERE a.i < 500 AND EXISTS (SELECT 1 FROM fi WHERE z IS NULL) GROUP BY ALL))
+    SELECT kn.r, kn.c, kn.sea, round(coalesce(fi.z, 0.0), 6) AS elev FROM kn JOIN fi ON fi.r = kn.r AND fi.c = kn.c AND fi.i = (SELECT max(i) FROM fi)""", "cells")
 def grf2_filled_holes(spark: SparkSession, sf: str) -> DataFrame:
-    return voids.filled_holes(voids.classified(frame(spark, sf, "cells"), tile=16), tile=16).withColumn("elev", F.round("elev", 6))
+    return voids.filled_holes(voids.classified(frame(spark, sf, "cells"), tile=16), tile=16, halo=4).withColumn("elev", F.round("elev", 6))
+
+
+ORACLE_SQL["grf2_filled_holes"] = _RECURSIVE(ORACLE_SQL["grf2_filled_holes"])
 
 
 @query(None)

@@ -91,14 +91,65 @@ def test_filling_is_idempotent_and_never_lowers(spark, cells):
     assert (once[ok] >= dem[ok]).all() and np.array_equal(once, flooded(dem), equal_nan=True)
 
 
-def test_sea_and_holes(spark):
-    dem = np.full((6, 6), 5.0)
-    dem[0, 2] = np.nan
-    dem[2:4, 2:4] = np.nan
-    got = voids.classified(table(spark, dem, "elev"), tile=3)
-    assert [tuple(r) for r in got.where("sea").select("r", "c").collect()] == [(0, 2)]
-    filled = grid_of(voids.filled_holes(got, tile=3), dem.shape, "elev")
-    assert filled[0, 2] == 0.0 and (filled[2:4, 2:4] == 5.0).all() and not np.isnan(filled).any()
+def plain_fill(z, hole, rounds=500):
+    """Rounds of 3 x 3 means over the whole grid at once; z has NaN in holes."""
+    z = np.pad(z, 1, constant_values=np.nan)
+    for _ in range(rounds):
+        open_ = [(y, x) for y, x in np.argwhere(hole) if np.isnan(z[y + 1, x + 1])]
+        new = {}
+        for y, x in open_:
+            around = z[y : y + 3, x : x + 3]
+            if not np.isnan(around).all():
+                new[y + 1, x + 1] = np.nanmean(around)
+        if not new:
+            break
+        for at, v in new.items():
+            z[at] = v
+    z = z[1:-1, 1:-1]
+    return np.where(hole & np.isnan(z), 0.0, z)
+
+
+@pytest.mark.parametrize(("seed", "tile", "halo", "rounds"), [(0, 4, 2, 500), (1, 5, 5, 500), (2, 8, 3, 4), (3, 32, 8, 500)])
+def test_holes_over_many_tiles(spark, seed, tile, halo, rounds):
+    """A hole that spans several tiles, small ones, and sea, against the plain fill of the whole grid."""
+    rng = np.random.default_rng(seed)
+    dem = rng.normal(20, 5, (19, 23))
+    dem[4:15, 3:20] = np.nan
+    dem[9, 10] = 3.0
+    dem[rng.random(dem.shape) < 0.1] = np.nan
+    dem[0:2, 5:8] = np.nan
+    got = voids.classified(table(spark, dem, "elev"), tile=tile)
+    sea = np.zeros(dem.shape, bool)
+    for r in got.where("sea").collect():
+        sea[r.r, r.c] = True
+    assert sea[0, 6] and np.isnan(dem[sea]).all()
+    want = plain_fill(np.where(sea, 0.0, dem), np.isnan(dem) & ~sea, rounds)
+    filled = voids.filled_holes(got, tile=tile, rounds=rounds, halo=halo)
+    assert np.allclose(grid_of(filled, dem.shape, "elev"), want, atol=1e-9)
+    assert filled.where("sea").count() == sea.sum()
+
+
+def test_hole_without_anything_known(spark):
+    cells = table(spark, np.full((5, 5), np.nan), "elev").selectExpr("r", "c", "elev", "false AS sea")
+    assert {r.elev for r in voids.filled_holes(cells, tile=2, halo=1).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("diagonal", [False, True])
+@pytest.mark.parametrize("seed", range(6))
+def test_labels(seed, diagonal):
+    mask = np.random.default_rng(seed).random((13, 17)) < 0.25 + 0.1 * seed
+    got = voids._labels(mask, diagonal)
+    seen = np.full(mask.shape, -1)
+    for y, x in np.argwhere(mask):
+        if seen[y, x] < 0:
+            todo = [(y, x)]
+            while todo:
+                v, u = todo.pop()
+                if 0 <= v < 13 and 0 <= u < 17 and mask[v, u] and seen[v, u] < 0:
+                    seen[v, u] = y * 17 + x
+                    todo += [(v + a, u + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if diagonal or not (a and b)]
+    assert (got == seen).all()
+    assert (voids._labels(np.zeros((4, 4), bool), diagonal) == -1).all()
 
 
 def test_sea_group_across_tiles(spark):
