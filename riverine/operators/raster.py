@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riverine.functions.geo import tile_lat, tile_lon
+
 
 def _blocks(cells: DataFrame, k: int) -> DataFrame:
     """cells with br, bc; those of cut-off blocks at the far edges are left out."""
@@ -92,3 +94,17 @@ def box_ground(rects: DataFrame, cells: DataFrame) -> DataFrame:
 
 def clipped(elev: Column, low: float = -3.0, high: float = 3000.0) -> Column:
     return F.least(F.greatest(elev, F.lit(low)), F.lit(high))
+
+
+def dataset_row(cells: DataFrame, tile: int, cell_area_m2: float, tile_x0: int, tile_y0: int) -> DataFrame:
+    """One row on a raster (r, c, elev, height_cm) whose first cell begins tile tile_x0, tile_y0: tile range, size, land area, whether
+    there are buildings, the degrees that its tiles span, and how tiles are coded."""
+    number = lambda k: F.floor(F.col(k) / tile)
+    row = cells.agg(
+        F.min(number("r")).alias("y0"), F.max(number("r")).alias("y1"), F.min(number("c")).alias("x0"), F.max(number("c")).alias("x1"), (F.max("c") + 1).alias("width"), (F.max("r") + 1).alias("height"),
+        (F.count_if(F.col("elev") > 0.5) * cell_area_m2 / 1e6).alias("land_km2"), (F.count_if(F.col("height_cm") > 0) > 0).alias("buildings"),
+    )
+    return row.select(
+        "*", tile_lon(tile_x0 + F.col("x0")).alias("lon_min"), tile_lat(tile_y0 + F.col("y1") + 1).alias("lat_min"), tile_lon(tile_x0 + F.col("x1") + 1).alias("lon_max"),
+        tile_lat(tile_y0 + F.col("y0")).alias("lat_max"), F.lit("r*65536+g*256+b").alias("elevation_encoding"), F.lit("r*256+g").alias("building_encoding"),
+    )

@@ -132,8 +132,11 @@ def sca17_clock(spark: SparkSession, sf: str) -> DataFrame:
 _NEAR = """ne AS (SELECT region, CAST(round_even(y, 0) AS BIGINT) AS r, CAST(round_even(x, 0) AS BIGINT) AS c, arg_max(value, pixel) AS value, max(pixel) AS pixel FROM pixels
     WHERE value IS NOT NULL AND round_even(x, 0) BETWEEN 0 AND 29 AND round_even(y, 0) BETWEEN 0 AND 19 GROUP BY 1, 2, 3)"""
 _MX = f"{_F}, mx AS (SELECT region, r, c, max(h) AS h_max FROM fr GROUP BY region, r, c)"
-_BOTH = f"{_MX}, {_NEAR}, bo AS (SELECT coalesce(mx.region, ne.region) AS region, coalesce(mx.r, ne.r) AS r, coalesce(mx.c, ne.c) AS c, coalesce(h_max >= 0.1, false) AS m, coalesce(value >= 0.5, false) AS s, value FROM mx FULL JOIN ne ON ne.region = mx.region AND ne.r = mx.r AND ne.c = mx.c)"
-_CONF = "co AS (SELECT region, count(*) FILTER (m AND s) AS tp, count(*) FILTER (m AND NOT s) AS fp, count(*) FILTER (NOT m AND s) AS fn, count(*) FILTER (NOT m AND NOT s) AS tn, count(*) FILTER (m) AS model_cells, count(*) FILTER (s) AS sat_cells FROM bo GROUP BY region)"
+_GRID = "gr AS (SELECT region, unnest(range(0, 20)) AS r FROM (SELECT region FROM frames UNION SELECT region FROM pixels)), gc AS (SELECT region, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c FROM gr, (SELECT unnest(range(0, 30)) AS c))"
+_BOTH = f"""{_MX}, {_NEAR}, {_GRID}, bo AS (SELECT gc.region, gc.r, gc.c, coalesce(h_max >= 0.1, false) AS m, coalesce(value >= 0.5, false) AS s, value FROM gc
+    LEFT JOIN mx ON mx.region = gc.region AND mx.r = gc.r AND mx.c = gc.c LEFT JOIN ne ON ne.region = gc.region AND ne.r = gc.r AND ne.c = gc.c)"""
+_CONF = """co AS (SELECT region, count(*) FILTER (m AND s) AS tp, count(*) FILTER (m AND NOT s) AS fp, count(*) FILTER (NOT m AND s) AS fn, count(*) FILTER (NOT m AND NOT s) AS tn,
+    count(*) FILTER (m) AS model_cells, count(*) FILTER (s) AS sat_cells FROM bo GROUP BY region)"""
 _SCORE = "round(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 6) AS precision, round(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 6) AS recall, round(CASE WHEN tp > 0 THEN 2 * CAST(tp AS DOUBLE) / (2 * tp + fp + fn) END, 6) AS f1"
 
 
@@ -146,7 +149,13 @@ def _near(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, sf: str) -> DataFrame:
-    return extent.compared(_maxima(spark, sf), _near(spark, sf), CELL)
+    return extent.compared(_maxima(spark, sf), _near(spark, sf), ["region"])
+
+
+def _grids(spark: SparkSession, sf: str) -> DataFrame:
+    """Every region's grid of 20 x 30."""
+    regions = _frames(spark, sf).select("region").union(frame(spark, sf, "pixels").select("region")).distinct()
+    return regions.select("region", F.lit(20).cast("bigint").alias("height"), F.lit(30).cast("bigint").alias("width"))
 
 
 @query(f"+ {_NEAR} SELECT region, r, c, value FROM ne", "pixels")
@@ -162,17 +171,17 @@ def jon8_cell_pixels(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"+ {_BOTH} SELECT region, r, c, m, s, CASE WHEN m AND s THEN 'both' WHEN s THEN 'satellite' WHEN m THEN 'model' ELSE 'neither' END AS kind FROM bo", "frames", "pixels")
 def jon22_overlay(spark: SparkSession, sf: str) -> DataFrame:
     """JON22 and SCA19."""
-    return extent.overlay(_both(spark, sf))
+    return extent.overlay(_both(spark, sf), _grids(spark, sf), ["region"])
 
 
 @query(f"+ {_BOTH}, {_CONF} SELECT * FROM co", "frames", "pixels")
 def agg10_confusion(spark: SparkSession, sf: str) -> DataFrame:
-    return extent.confusion(_both(spark, sf), ["region"])
+    return extent.confusion(_both(spark, sf), _grids(spark, sf), ["region"])
 
 
 @query(f"+ {_BOTH}, {_CONF} SELECT *, {_SCORE} FROM co", "frames", "pixels")
 def agg11_scores(spark: SparkSession, sf: str) -> DataFrame:
-    got = extent.scores(extent.confusion(_both(spark, sf), ["region"]))
+    got = extent.scores(extent.confusion(_both(spark, sf), _grids(spark, sf), ["region"]))
     return got.select("region", "tp", "fp", "fn", "tn", "model_cells", "sat_cells", *[F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")])
 
 
@@ -180,7 +189,7 @@ def agg11_scores(spark: SparkSession, sf: str) -> DataFrame:
     count(*) FILTER (NOT m AND NOT coalesce(value >= t, false)) AS tn, count(*) FILTER (m) AS model_cells, count(*) FILTER (coalesce(value >= t, false)) AS sat_cells FROM bo, (SELECT unnest([0.3, 0.5, 0.7]::DOUBLE[]) AS t) GROUP BY region, t)
     SELECT *, {_SCORE} FROM sw""", "frames", "pixels")
 def agg12_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    got = extent.sweep(_maxima(spark, sf), _near(spark, sf), CELL, ["region"])
+    got = extent.sweep(_maxima(spark, sf), _near(spark, sf), _grids(spark, sf), ["region"])
     return got.select("region", "threshold", "tp", "fp", "fn", "tn", "model_cells", "sat_cells", *[F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")])
 
 
@@ -230,7 +239,7 @@ def set2_new_water(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"+ {_MX}, {_NEAR} SELECT region, r, c FROM mx WHERE h_max >= 0.1 INTERSECT SELECT region, r, c FROM ne WHERE value >= 0.5", "frames", "pixels")
 def set3_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    return extent.agreement(_maxima(spark, sf).where("h_max >= 0.1"), _near(spark, sf).where("value >= 0.5"), CELL)
+    return extent.agreement(_both(spark, sf), ["region"])
 
 
 @query("SELECT product, region, pixel, CASE WHEN abs(v) > 1e30 THEN NULL ELSE v END AS value FROM (SELECT product, region, pixel, CASE WHEN pixel % 31 = 0 THEN CAST(9.96921e36 AS DOUBLE) ELSE value END AS v FROM pixels)", "pixels")

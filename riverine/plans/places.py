@@ -174,11 +174,12 @@ def src1_gauge_pages(spark: SparkSession, sf: str) -> DataFrame:
     return landing.gauge_pages(html, ["station", "day"])[0].select("station", "day", "hour", "mm")
 
 
-@query("SELECT day, hour, lat, lon, mm_h FROM model WHERE day > (SELECT min(day) FROM model)", "model")
+@query("SELECT day, hour, lat, lon, mm_h FROM model", "model")
 def src2_model_grids(spark: SparkSession, sf: str) -> DataFrame:
-    """Responses are written from the model's cells as JSON and parsed; the first day lacks its last hour and is set aside."""
+    """Responses are written from the model's cells as JSON and parsed; of every day a copy a century before lacks its last hour and is set aside."""
     model = frame(spark, sf, "model")
-    model = model.join(F.broadcast(model.agg(F.min("day").alias("first"))), F.lit(True)).where("NOT (day = first AND hour = 24)")
+    damaged = model.where("hour < 24").withColumn("day", F.date_sub("day", 36500))
+    model = model.unionByName(damaged)
     values = F.transform(F.sort_array(F.collect_list(F.struct("hour", "mm_h"))), lambda x: x["mm_h"])
     entry = F.struct(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.struct(F.col("v").alias("precipitation")).alias("hourly"))
     body = model.groupBy("day", "lat", "lon").agg(values.alias("v")).groupBy("day").agg(F.to_json(F.collect_list(entry)).alias("body"))
@@ -192,15 +193,16 @@ def src3_mesh_master(spark: SparkSession, sf: str) -> DataFrame:
     return landing.mesh_master(s.groupBy("s_nationkey").agg(F.to_json(F.struct(F.collect_list(entry).alias("areaInfo"))).alias("body")))
 
 
-@query("+ n AS (SELECT CAST(floor(r / 10.0) AS INTEGER) AS tile_y, count(*) AS k FROM cells GROUP BY 1) SELECT CAST(28800 AS INTEGER) AS tile_x, n.tile_y, CAST(r % 10 AS INTEGER) AS r, CAST(c AS INTEGER) AS c, elev FROM cells JOIN n ON n.tile_y = floor(r / 10.0) WHERE c < 10 AND k = 500", "cells")
+@query("""+ n AS (SELECT CAST(floor(r / 10.0) AS INTEGER) AS tile_y, CAST(floor(c / 10.0) AS INTEGER) AS k, count(*) AS n FROM cells GROUP BY 1, 2)
+    SELECT CAST(28800 + k AS INTEGER) AS tile_x, n.tile_y, CAST(r % 10 AS INTEGER) AS r, CAST(c % 10 AS INTEGER) AS c, elev FROM cells JOIN n ON n.tile_y = floor(r / 10.0) AND n.k = floor(c / 10.0) WHERE n = 100""", "cells")
 def src5_elevation_tiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Tiles of 10 x 10 are written as text (50 values a row, of which the first 10 count) and parsed; incomplete ones are set aside."""
-    cells = frame(spark, sf, "cells")
-    text = lambda c: F.coalesce(c.cast("string"), F.lit("e"))
+    """All cells as text tiles of 10 x 10, parsed; rows of odd tiles have an eleventh value, which doesn't count; incomplete tiles are set aside."""
+    cells = frame(spark, sf, "cells").withColumns({"x": F.floor(F.col("c") / 10), "y": F.floor(F.col("r") / 10)})
     joined = lambda c, sep: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["t"]), sep)
-    rows = cells.groupBy("r").agg(joined(F.struct("c", text(F.col("elev")).alias("t")), ",").alias("t"))
-    files = rows.groupBy(F.floor(F.col("r") / 10).alias("y")).agg(joined(F.struct("r", "t"), "\n").alias("value")).select(F.concat(F.lit("/dem/28800_"), F.col("y").cast("string"), F.lit(".txt")).alias("path"), "value")
-    return landing.elevation_tiles(files, 10)[0]
+    text = F.coalesce(F.col("elev").cast("string"), F.lit("e"))
+    rows = cells.groupBy("x", "y", "r").agg(joined(F.struct("c", text.alias("t")), ",").alias("t")).withColumn("t", F.when(F.col("x") % 2 == 1, F.concat("t", F.lit(",0"))).otherwise(F.col("t")))
+    name = F.concat(F.lit("/dem/"), (28800 + F.col("x")).cast("string"), F.lit("_"), F.col("y").cast("string"), F.lit(".txt"))
+    return landing.elevation_tiles(rows.groupBy("x", "y").agg(joined(F.struct("r", "t"), "\n").alias("value")).select(name.alias("path"), "value"), 10)[0]
 
 
 @query("SELECT CAST(c_nationkey AS BIGINT) AS response, c_name AS id, CAST(c_custkey AS BIGINT) AS size, kind FROM customer, (VALUES ('nested'), ('feed')) v(kind) WHERE c_custkey % 7 <> 0")
@@ -222,6 +224,20 @@ def src9_replay_documents(spark: SparkSession, sf: str) -> DataFrame:
     return landing.replay_series(bodies)
 
 
+@query("""+ d AS (SELECT 'r' || CAST(station AS VARCHAR) || '-' || CAST(day AS VARCHAR) AS dir, station, count(*) AS n_times, max(t_s) AS last_s FROM series GROUP BY station, day)
+    SELECT dir, 'rain' AS scenario, CAST(60 AS DOUBLE) AS interval_s, CAST(30 + station AS INTEGER) AS w, CAST(20 AS INTEGER) AS h, CAST(7.5 AS DOUBLE) AS dx, CAST(station * 10 AS INTEGER) AS left_px, CAST(5 AS INTEGER) AS top_px,
+      CAST((30 + station) * 2 AS INTEGER) AS width_px, CAST(40 AS INTEGER) AS height_px, CAST(136.9 AS DOUBLE) AS lon0, CAST(35 AS DOUBLE) + station / CAST(8 AS DOUBLE) AS lat0, CAST(2 AS DOUBLE) AS downsample, CAST(n_times AS INTEGER) AS n_times, last_s FROM d""", "series")
+def src9_replay_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Grid, bounds, origin and times of replay documents."""
+    series, k = frame(spark, sf, "series"), F.col("station").cast("int")
+    name = F.concat(F.lit("r"), F.col("station").cast("string"), F.lit("-"), F.col("day").cast("string"))
+    box = F.struct((k * 10).alias("left"), F.lit(5).alias("top"), ((30 + k) * 2).alias("w"), F.lit(40).alias("h"))
+    parts = [F.lit("rain").alias("scenario"), F.lit(60.0).alias("interval"), F.struct((30 + k).alias("w"), F.lit(20).alias("h"), F.lit(7.5).alias("dx")).alias("grid"), box.alias("bounds_px"), F.struct(F.lit(136.9).alias("lon"), (35 + F.col("station") / 8).alias("lat")).alias("origin")]
+    bodies = series.groupBy(name.alias("dir"), "station").agg(F.sort_array(F.collect_list("t_s")).alias("times")).select("dir", F.to_json(F.struct(*parts, "times")).alias("body"))
+    meta = landing.replay_metadata(bodies)
+    return meta.select(*[c for c in meta.columns if c != "times"], F.size("times").alias("n_times"), F.array_max("times").alias("last_s"))
+
+
 _RING = "CAST(35 AS DOUBLE) + c_custkey % 97 / CAST(1000 AS DOUBLE)"
 
 

@@ -71,16 +71,6 @@ def snk3_height_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return _terrain(spark, sf).select("r", "c", hydraulics.height_bytes(F.col("height_cm") * 20).alias("x")).select("r", "c", F.col("x.r").alias("r8"), F.col("x.g").alias("g8"))
 
 
-@query(f"""+ {_TERRAIN} SELECT CAST(min(floor(r / 16.0)) AS BIGINT) AS y0, CAST(max(floor(r / 16.0)) AS BIGINT) AS y1, CAST(min(floor(c / 16.0)) AS BIGINT) AS x0, CAST(max(floor(c / 16.0)) AS BIGINT) AS x1, max(c) + 1 AS width, max(r) + 1 AS height,
-    round(count(*) FILTER (elev > 0.5) * 15.358561 / 1e6, 6) AS land_km2, 'r*65536+g*256+b' AS elevation_encoding FROM te""", "cells", "heights")
-def snk9_dataset_row(spark: SparkSession, sf: str) -> DataFrame:
-    tile = lambda c: F.floor(F.col(c) / 16)
-    return _terrain(spark, sf).agg(
-        F.min(tile("r")).alias("y0"), F.max(tile("r")).alias("y1"), F.min(tile("c")).alias("x0"), F.max(tile("c")).alias("x1"), (F.max("c") + 1).alias("width"), (F.max("r") + 1).alias("height"),
-        F.round(F.count_if(F.col("elev") > 0.5) * 15.358561 / 1e6, 6).alias("land_km2"), F.lit("r*65536+g*256+b").alias("elevation_encoding"),
-    )
-
-
 _RECTS = f"""{_TERRAIN}, g1 AS (SELECT *, r - row_number() OVER (PARTITION BY c, height_cm ORDER BY r) AS g FROM te WHERE height_cm > 0), g2 AS (SELECT c, height_cm, min(r) AS r, count(*) AS h FROM g1 GROUP BY c, height_cm, g),
     g3 AS (SELECT *, c - row_number() OVER (PARTITION BY r, h, height_cm ORDER BY c) AS k FROM g2), rects AS (SELECT r, min(c) AS c, count(*) AS w, h, height_cm, count(*) * h AS area FROM g3 GROUP BY r, h, height_cm, k HAVING count(*) >= {{0}} AND h >= {{0}})"""
 

@@ -67,6 +67,16 @@ def replay_series(documents: DataFrame) -> DataFrame:
     return parsed.select("dir", F.explode("m.series").alias("p")).select("dir", F.col("p")[0].alias("t_s"), F.col("p")[1].alias("mm_h"))
 
 
+def replay_metadata(documents: DataFrame) -> DataFrame:
+    """A row a replay document (dir, body): scenario, interval, the grid's size and cell, its box and the pixels a cell has, where it begins, and the times."""
+    m = documents.select("dir", F.from_json("body", REPLAY).alias("m"))
+    return m.select(
+        "dir", "m.scenario", F.col("m.interval").alias("interval_s"), "m.grid.w", "m.grid.h", "m.grid.dx", F.col("m.bounds_px.left").alias("left_px"), F.col("m.bounds_px.top").alias("top_px"),
+        F.col("m.bounds_px.w").alias("width_px"), F.col("m.bounds_px.h").alias("height_px"), F.col("m.origin.lon").alias("lon0"), F.col("m.origin.lat").alias("lat0"),
+        F.try_divide(F.col("m.bounds_px.w").cast("double"), F.col("m.grid.w")).alias("downsample"), "m.times",
+    )
+
+
 def without_fill(pixels: DataFrame, value: str, most: float = 1e30) -> DataFrame:
     """Fill values, larger than `most` either way, become NULL."""
     return pixels.withColumn(value, F.when(F.abs(F.col(value)) <= most, F.col(value)))

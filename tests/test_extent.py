@@ -48,12 +48,39 @@ def test_change(spark):
     assert {r.cell: r.darkened for r in extent.change(pairs).collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
 
 
-def test_confusion(spark):
-    cells = spark.createDataFrame([("p", True, True), ("p", True, False), ("p", False, True), ("p", False, False)], "product string, m boolean, s boolean")
-    got = one(extent.scores(extent.confusion(cells, ["product"])))
-    assert (got["tp"], got["fp"], got["fn"], got["tn"], got["precision"], got["recall"], got["f1"]) == (1, 1, 1, 1, 0.5, 0.5, 0.5)
-    none = one(extent.scores(extent.confusion(cells.withColumn("m", F.lit(False)), ["product"])))
-    assert none["precision"] is None and none["recall"] == 0.0 and none["f1"] is None
+def test_confusion_over_the_grid(spark):
+    """Masks on grids wider than a word, one of them without any water, against sets."""
+    import random
+
+    rng = random.Random(4)
+    sizes = {"p": (7, 150), "q": (3, 64), "dry": (2, 5)}
+    grids = spark.createDataFrame([(k, h, w) for k, (h, w) in sizes.items()], "product string, height bigint, width bigint")
+    place = lambda k: (rng.randrange(sizes[k][0]), rng.randrange(sizes[k][1]))
+    model = {(k, *place(k)): rng.choice([0.0, 0.05, 0.1, 2.0]) for k in ("p", "q") for _ in range(200)}
+    water = {(k, *place(k)): rng.choice([0.2, 0.4, 0.5, 0.9]) for k in ("p", "q") for _ in range(150)}
+    make = lambda d, name: spark.createDataFrame([(*k, v) for k, v in d.items()], f"product string, r bigint, c bigint, {name} double")
+    masks = extent.compared(make(model, "h_max"), make(water, "value"), ["product"])
+    got = {r["product"]: r for r in extent.confusion(masks, grids, ["product"]).collect()}
+    swept = {(r["product"], r["threshold"]): r for r in extent.sweep(make(model, "h_max"), make(water, "value"), grids, ["product"]).collect()}
+    cells = {(r["product"], r.r, r.c): r.kind for r in extent.overlay(masks, grids, ["product"]).collect()}
+    agreed = {tuple(r) for r in extent.agreement(masks, ["product"]).collect()}
+    assert len(cells) == sum(h * w for h, w in sizes.values()) and len(swept) == 9
+    for k, (h, w) in sizes.items():
+        m = {x for x, v in model.items() if v >= 0.1 and x[0] == k}
+        for t in (0.3, 0.5, 0.7):
+            s = {x for x, v in water.items() if v >= t and x[0] == k}
+            want = (len(m & s), len(m - s), len(s - m), h * w - len(m | s), len(m), len(s))
+            assert tuple(swept[k, t][n] for n in ("tp", "fp", "fn", "tn", "model_cells", "sat_cells")) == want
+        s = {x for x, v in water.items() if v >= 0.5 and x[0] == k}
+        assert tuple(got[k][n] for n in ("tp", "fp", "fn", "tn")) == (len(m & s), len(m - s), len(s - m), h * w - len(m | s))
+        assert {x for x in agreed if x[0] == k} == m & s
+        for kind, own in (("both", m & s), ("model", m - s), ("satellite", s - m)):
+            assert {x for x, v in cells.items() if v == kind and x[0] == k} == own
+
+
+def test_scores(spark):
+    counts = spark.createDataFrame([(3, 1, 2), (0, 0, 4), (0, 2, 0)], "tp bigint, fp bigint, fn bigint")
+    assert sorted(((r.tp, r.precision, r.recall, r.f1 and round(r.f1, 6)) for r in extent.scores(counts).collect()), key=repr) == sorted([(3, 0.75, 0.6, round(2 / 3, 6)), (0, None, 0.0, None), (0, 0.0, None, None)], key=repr)
 
 
 def test_nearest_cells(spark):
