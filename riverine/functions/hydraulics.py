@@ -88,7 +88,11 @@ def clock(seconds: Column) -> Column:
     return F.format_string("+%d:%02d", F.floor(seconds / 3600).cast("int"), F.floor(F.pmod(seconds, F.lit(3600.0)) / 60).cast("int"))
 
 
+#: The minutes from a slot at which its stamp is looked for, in order.
+SLOT_OFFSETS = (0, 1, 2, -1, -2, 3, -3)
+
+
 def slot_stamps(minute: Column) -> Column:
     """HHMM stamps to try for a slot, in order; those before midnight are left out."""
-    tried = F.filter(F.transform(F.array(*map(F.lit, (0, 1, 2, -1, -2, 3, -3))), lambda d: (minute + d).cast("int")), lambda m: m >= 0)
+    tried = F.filter(F.transform(F.array(*map(F.lit, SLOT_OFFSETS)), lambda d: (minute + d).cast("int")), lambda m: m >= 0)
     return F.transform(tried, lambda m: F.format_string("%02d%02d", F.floor(m / 60).cast("int"), (m % 60).cast("int")))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+import re
+import tempfile
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,27 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverine.functions.hydraulics import LEAST_SLOPE, channel_depth, channel_width, overflow_depth, path_velocity
+from riverine.operators.lookups import between_points, sorted_points
 
 #: Neighbours (columns east, rows south) in the order of the direction flags 1, 2, 4, ... 128.
 NEIGHBOURS = [(-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
 DIAGONAL = 1.4142135623730951
 
 
-def scratch(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Writes a round's rows to the folder in spark.checkpoint.dir and reads them again, so that lineage ends there."""
-    import re
-    import tempfile
-    import uuid
+@functools.lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="riverine-")
+
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; unset on a single machine, one of this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="riverine-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or _own_folder()).rstrip("/")
+
+
+def scratch(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Writes a round's rows to the shared folder and reads them again, so that lineage ends there."""
+    folder = shared_folder(spark)
 
     def write(df: DataFrame) -> DataFrame:
-        path = f"{folder.rstrip('/')}/riverine/round-{uuid.uuid4().hex}"
+        path = f"{folder}/riverine/round-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
@@ -51,15 +60,17 @@ def directions(cells: DataFrame, dx: float, tile: int = 256) -> DataFrame:
     reach = lambda k: F.explode(F.sequence(F.floor((F.col(k) - 1) / tile), F.floor((F.col(k) + 1) / tile)))
     placed = cells.select(F.col("r").cast("bigint").alias("r"), F.col("c").cast("bigint").alias("c"), F.col("z").cast("double").alias("z")).withColumn("tr", reach("r")).withColumn("tc", reach("c"))
 
+    lengths = np.array([dx * (DIAGONAL if a and b else 1.0) for a, b in NEIGHBOURS])[:, None, None]
+
     def steepest(key: tuple[int, int], part: pd.DataFrame) -> pd.DataFrame:
         y, x = (part["r"] - key[0] * tile).to_numpy(), (part["c"] - key[1] * tile).to_numpy()
         z = np.full((tile + 2, tile + 2), np.nan)
         z[y + 1, x + 1] = part["z"]
-        slope, toward = np.zeros((tile, tile)), np.full((tile, tile), -1)
-        for i, (east, south) in enumerate(NEIGHBOURS):
-            falls = (z[1:-1, 1:-1] - z[1 + south : 1 + south + tile, 1 + east : 1 + east + tile]) / (dx * (DIAGONAL if east and south else 1.0))
-            steeper = falls > slope
-            slope[steeper], toward[steeper] = falls[steeper], i
+        around = np.stack([z[1 + dy : 1 + dy + tile, 1 + dx_ : 1 + dx_ + tile] for dx_, dy in NEIGHBOURS])
+        slopes = np.nan_to_num((z[1:-1, 1:-1] - around) / lengths, nan=-np.inf)
+        toward = slopes.argmax(axis=0)  # the first of equals
+        slope = np.take_along_axis(slopes, toward[None], axis=0)[0]
+        toward[slope <= 0] = -1
         own = (y >= 0) & (y < tile) & (x >= 0) & (x < tile)
         out = part.loc[own, ["r", "c", "z"]]
         k, s = toward[y[own], x[own]], slope[y[own], x[own]]
@@ -72,20 +83,131 @@ def directions(cells: DataFrame, dx: float, tile: int = 256) -> DataFrame:
     return placed.groupBy("tr", "tc").applyInPandas(steepest, "r bigint, c bigint, z double, flag smallint, to_r bigint, to_c bigint, slope double")
 
 
-def routed(flow: DataFrame, dx: float) -> DataFrame:
+#: Paths are added up in whole billionths of a cell, so that equal paths are equal whatever the order.
+UNIT = 1_000_000_000
+_STRAIGHT, _SLANTED = UNIT, round(DIAGONAL * UNIT)
+
+
+class _Tile:
+    """Flow within one tile: cells by place (row * tile + column), the place each points at (-1 out of the tile, -2 nowhere)."""
+
+    def __init__(self, to: np.ndarray, steps: np.ndarray, here: np.ndarray):
+        self.to, self.steps = to, steps
+        waiting = np.bincount(to[to >= 0], minlength=len(to))
+        front = np.flatnonzero(here & (waiting == 0))
+        self.fronts = []  # every cell comes after all that point at it
+        while len(front):
+            self.fronts.append(front)
+            ahead = to[front]
+            ahead = ahead[ahead >= 0]
+            np.subtract.at(waiting, ahead, 1)
+            ahead = np.unique(ahead)
+            front = ahead[waiting[ahead] == 0]
+
+    def gather(self, acc: np.ndarray, path: np.ndarray, head: np.ndarray) -> None:
+        """Hands on what cells have gathered: sums, and the longest path with its head, the higher of equals."""
+        for front in self.fronts:
+            front = front[self.to[front] >= 0]
+            ahead = self.to[front]
+            np.add.at(acc, ahead, acc[front])
+            raise_best(path, head, ahead, path[front] + self.steps[front], head[front])
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """The last cell of this tile on every cell's way, and how far it is."""
+        last, far = np.arange(len(self.to)), np.zeros(len(self.to), np.int64)
+        for front in reversed(self.fronts):
+            front = front[self.to[front] >= 0]
+            last[front], far[front] = last[self.to[front]], far[self.to[front]] + self.steps[front]
+        return last, far
+
+
+def raise_best(path: np.ndarray, head: np.ndarray, at: np.ndarray, new_path: np.ndarray, new_head: np.ndarray) -> None:
+    """Puts the largest (path, head) of what is there and what is new."""
+    order = np.lexsort((new_head, new_path, at))
+    at, new_path, new_head = at[order], new_path[order], new_head[order]
+    top = np.append(at[1:] != at[:-1], True)[: len(at)]
+    at, new_path, new_head = at[top], new_path[top], new_head[top]
+    better = (new_path > path[at]) | ((new_path == path[at]) & (new_head > head[at]))
+    path[at[better]], head[at[better]] = new_path[better], new_head[better]
+
+
+def routed(flow: DataFrame, dx: float, tile: int = 256) -> DataFrame:
     """r, c, acc (cells that drain through, itself included), path_m (longest upstream path) and head_z (where that begins, the higher of equals).
 
-    Pointer doubling: in every round each cell hands what it has gathered to the cell that it points at, then points
-    where that one points; the number of rounds is the logarithm of the longest path. Gatherings are summed before the
-    exchange, cells that point nowhere leave the join, and each round is written.
+    A tile is one row, routed by itself. What crosses tiles is a graph of the cells at which flow leaves them: each one
+    points at the cell at which its water leaves the next tile. There pointers double: in every round each such cell
+    hands what it has gathered to the one that it points at, then points where that one points, so that the rounds are
+    the logarithm of the tiles that the longest path crosses. At last the totals enter the tiles, which are routed again.
     """
     write = scratch(flow.sparkSession)
-    step = dx * F.when((F.col("to_r") != F.col("r")) & (F.col("to_c") != F.col("c")), F.lit(DIAGONAL)).otherwise(F.lit(1.0))
-    state = write(flow.select("r", "c", F.col("to_r").alias("jr"), F.col("to_c").alias("jc"), F.lit(1).cast("bigint").alias("acc"), F.when(F.col("to_r").isNotNull(), step).alias("dist"), F.struct(F.lit(0.0).alias("path"), F.col("z").alias("head")).alias("best")))
+    number = lambda k: F.floor(F.col(k) / tile)
+    named = flow.select(number("r").alias("tr"), number("c").alias("tc"), *[F.col(k).cast("bigint").alias(k) for k in ("r", "c", "to_r", "to_c")], F.col("z").cast("double").alias("z"))
+
+    def pack(key: tuple[int, int], part: pd.DataFrame) -> pd.DataFrame:
+        y, x = (part["r"] - key[0] * tile).to_numpy(), (part["c"] - key[1] * tile).to_numpy()
+        at = y * tile + x
+        flows = part["to_r"].notna().to_numpy()
+        v, u = part["to_r"].fillna(0).to_numpy(np.int64) - key[0] * tile, part["to_c"].fillna(0).to_numpy(np.int64) - key[1] * tile
+        inside = flows & (v >= 0) & (v < tile) & (u >= 0) & (u < tile)
+        to, way, z = np.full(tile * tile, -3, np.int64), np.zeros((tile * tile, 2), np.int8), np.full(tile * tile, np.nan)
+        to[at] = np.where(inside, v * tile + u, np.where(flows, -1, -2))
+        way[at[flows]] = np.stack([v - y, u - x], axis=1)[flows]
+        z[at] = part["z"]
+        return pd.DataFrame({"tr": [key[0]], "tc": [key[1]], "to": [to.tobytes()], "way": [way.tobytes()], "z": [z.tobytes()]})
+
+    def opened(row: pd.Series) -> tuple[_Tile, np.ndarray, np.ndarray, np.ndarray]:
+        to, way, z = np.frombuffer(row.to, np.int64), np.frombuffer(row.way, np.int8).reshape(-1, 2), np.frombuffer(row.z).copy()
+        steps = np.where(way.all(axis=1), _SLANTED, _STRAIGHT)
+        return _Tile(to, steps, to > -3), way, steps, z
+
+    def edges(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        line = np.arange(tile * tile)
+        rim = (line // tile % (tile - 1) == 0) | (line % tile % (tile - 1) == 0) if tile > 1 else line >= 0
+        for part in parts:
+            for row in part.itertuples():
+                one, way, steps, z = opened(row)
+                acc, path, head = (one.to > -3).astype(np.int64), np.zeros(tile * tile, np.int64), z
+                one.gather(acc, path, head)
+                last, far = one.ends()
+                k = np.flatnonzero(rim & (one.to > -3))
+                r, c = row.tr * tile + k // tile, row.tc * tile + k % tile
+                leaves, through = one.to[k] == -1, one.to[last[k]] == -1
+                yield pd.DataFrame({
+                    "r": r, "c": c, "leaves": leaves, "to_r": r + way[k, 0], "to_c": c + way[k, 1], "step": steps[k], "through": through,
+                    "end_r": row.tr * tile + last[k] // tile, "end_c": row.tc * tile + last[k] % tile, "far": far[k], "acc": acc[k], "path": path[k], "head": head[k],
+                })
+
+    def finish(key: tuple[int, int], tiles: pd.DataFrame, mail: pd.DataFrame) -> pd.DataFrame:
+        if tiles.empty:
+            return pd.DataFrame({k: [] for k in ("r", "c", "acc", "path_m", "head_z")})
+        one, _, _, z = opened(next(tiles.itertuples()))
+        acc, path, head = (one.to > -3).astype(np.int64), np.zeros(tile * tile, np.int64), z
+        at = ((mail["r"] - key[0] * tile) * tile + mail["c"] - key[1] * tile).to_numpy(np.int64)
+        acc[at] += mail["acc"].to_numpy(np.int64)
+        raise_best(path, head, at, mail["path"].to_numpy(np.int64), mail["head"].to_numpy())
+        one.gather(acc, path, head)
+        k = np.flatnonzero(one.to > -3)
+        return pd.DataFrame({"r": key[0] * tile + k // tile, "c": key[1] * tile + k % tile, "acc": acc[k], "path_m": path[k] / UNIT * dx, "head_z": head[k]})
+
+    packed = write(named.groupBy("tr", "tc").applyInPandas(pack, "tr bigint, tc bigint, to binary, way binary, z binary"))
+    rim = write(packed.mapInPandas(edges, "r bigint, c bigint, leaves boolean, to_r bigint, to_c bigint, step bigint, through boolean, end_r bigint, end_c bigint, far bigint, acc bigint, path bigint, head double"))
+    there = rim.select(F.col("r").alias("to_r"), F.col("c").alias("to_c"), F.col("through").alias("on"), F.col("end_r").alias("jr"), F.col("end_c").alias("jc"), F.col("far").alias("beyond"))
+    out = rim.where("leaves").join(there, ["to_r", "to_c"], "left")
+    ends = lambda k: F.when(F.col("on"), F.col(k)).alias(k)
+    state = write(out.select("r", "c", ends("jr"), ends("jc"), "acc", F.when(F.col("on"), F.col("step") + F.col("beyond")).alias("dist"), F.struct("path", "head").alias("best")))
+    totals = _doubled(state, write)
+    mail = rim.where("leaves").select("r", "c", "to_r", "to_c", "step").join(totals.select("r", "c", "acc", "best"), ["r", "c"])
+    entering = mail.groupBy(F.col("to_r").alias("r"), F.col("to_c").alias("c")).agg(F.sum("acc").alias("acc"), F.max(F.struct((F.col("best.path") + F.col("step")).alias("path"), F.col("best.head").alias("head"))).alias("b"))
+    placed = entering.select(number("r").alias("tr"), number("c").alias("tc"), "r", "c", "acc", "b.path", "b.head")
+    return packed.groupBy("tr", "tc").cogroup(placed.groupBy("tr", "tc")).applyInPandas(finish, "r bigint, c bigint, acc bigint, path_m double, head_z double")
+
+
+def _doubled(state: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Totals of nodes (r, c, acc, best) that point at jr, jc, dist away. Gatherings are summed before the exchange, nodes that point nowhere leave the join, and each round is written."""
     while True:  # paths descend, so they end
         moving = state.where("jr IS NOT NULL")
         if moving.isEmpty():
-            break
+            return state
         given = moving.groupBy(F.col("jr").alias("r"), F.col("jc").alias("c")).agg(F.sum("acc").alias("more"), F.max(F.struct((F.col("best.path") + F.col("dist")).alias("path"), F.col("best.head").alias("head"))).alias("longer"))
         ahead = state.select(F.col("r").alias("jr"), F.col("c").alias("jc"), F.col("jr").alias("kr"), F.col("jc").alias("kc"), F.col("dist").alias("far"))
         jumped = moving.select("r", "c", "jr", "jc", "dist").join(ahead, ["jr", "jc"]).select("r", "c", F.col("kr"), F.col("kc"), (F.col("dist") + F.col("far")).alias("far"))
@@ -93,7 +215,6 @@ def routed(flow: DataFrame, dx: float) -> DataFrame:
             state.join(given, ["r", "c"], "left").join(jumped, ["r", "c"], "left")
             .select("r", "c", F.col("kr").alias("jr"), F.col("kc").alias("jc"), (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"), F.col("far").alias("dist"), F.greatest("best", F.coalesce("longer", "best")).alias("best"))
         )
-    return state.select("r", "c", "acc", F.col("best.path").alias("path_m"), F.col("best.head").alias("head_z"))
 
 
 def streams(acc: DataFrame, sea: DataFrame, threshold: float) -> DataFrame:
@@ -120,16 +241,27 @@ def channels(cells: DataFrame, dx: float, threshold: float = 200.0) -> DataFrame
     )
 
 
+#: Weights, and lags before a time, of the rates that a channel sees.
+TAPS = [(0.25, 0.5), (0.5, 1.0), (0.25, 1.5)]
+#: Bytes of times and series up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
 def lagged_rates(channel: DataFrame, times: DataFrame, series: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """keys, r, c, t_s, rate: a quarter, a half and a quarter of the rates at 0.5, 1 and 1.5 lags before t. times: keys, t_s; series: keys, t_s, mm_h."""
-    from riverine.operators.rain import rate_at
-
-    keys = keys or []
-    taps = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for w, k in ((0.25, 0.5), (0.5, 1.0), (0.25, 1.5))])
-    asked = channel.select("r", "c", "lag_s").crossJoin(counted(times)).select(*keys, "r", "c", "t_s", F.explode(taps).alias("tap"), "lag_s")
-    at = asked.select(*keys, "r", "c", "t_s", F.col("tap.w").alias("w"), (F.col("t_s") - F.col("tap.k") * F.col("lag_s")).alias("__at"), F.lit(0).alias("__one"))
-    found = rate_at(at, series.select(*keys, F.lit(0).alias("__one"), "t_s", "mm_h"), [*keys, "__one"], "__at")
-    return found.groupBy(*keys, "r", "c", "t_s").agg(F.sum(F.col("w") * F.col("rate")).alias("rate"))
+    """keys, r, c, t_s, rate: a quarter, a half and a quarter of the rates at 0.5, 1 and 1.5 lags before t. times: keys, t_s; series: keys, t_s, mm_h.
+
+    Times and series travel to the channel as one row of arrays a key, broadcast if their counted points are few; rates
+    are looked up by halving, so channel cells are neither exchanged nor multiplied before their result, which is written.
+    """
+    keys, write = keys or [], scratch(channel.sparkSession)
+    asked = times.groupBy(*keys).agg(F.collect_list(F.col("t_s").cast("double")).alias("__times"))
+    points = sorted_points(series, keys, "mm_h")
+    both = write(asked.join(points, keys, "left") if keys else asked.crossJoin(points))  # one row each without keys
+    n = both.agg(F.sum(F.size("__times") + F.coalesce(F.size("__points"), F.lit(0)))).first()[0] or 0
+    pairs = channel.select("r", "c", "lag_s").crossJoin(F.broadcast(both) if n * 16 <= BROADCAST_BYTES else both)
+    rate = lambda t: sum(w * between_points(F.col("__points"), t - k * F.col("lag_s")) for w, k in TAPS)
+    found = F.explode(F.transform("__times", lambda t: F.struct(t.alias("t_s"), rate(t).alias("rate"))))
+    return write(pairs.select(*keys, "r", "c", found.alias("x")).select(*keys, "r", "c", "x.t_s", "x.rate"))
 
 
 def overflow(channel: DataFrame, rates: DataFrame, keys: list[str] | None = None) -> DataFrame:

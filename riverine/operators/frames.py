@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverine.functions.hydraulics import depth_byte, flux_byte
+from riverine.operators.lookups import last_before
 
 CELL = ["region", "r", "c"]
 
@@ -56,11 +57,12 @@ def key_frames(stats: DataFrame, every: int) -> DataFrame:
 
 
 def nearest_frame(at: DataFrame, times: DataFrame, t: str = "t_s") -> DataFrame:
-    """at (region, t) with frame: the nearest in time, the later one of a tie."""
-    by = Window.partitionBy("region").orderBy("t_s")
-    middle = (F.col("t_s") + F.lead("t_s").over(by)) / 2
-    parts = times.withColumn("__mid", middle).select("region", "frame", F.coalesce(F.lag("__mid").over(by), F.lit(float("-inf"))).alias("__lo"), F.coalesce("__mid", F.lit(float("inf"))).alias("__hi")).alias("p")
-    return at.alias("a").join(parts, (F.col("a.region") == F.col("p.region")) & (F.col(f"a.{t}") >= F.col("p.__lo")) & (F.col(f"a.{t}") < F.col("p.__hi"))).select("a.*", "p.frame")
+    """at (region, t) with frame: the nearest in time, the later one of a tie. Regions without frames are left out."""
+    before = Window.partitionBy("region").orderBy("t_s")
+    starts = times.select("region", "frame", ((F.col("t_s") + F.lag("t_s").over(before)) / 2).alias(t))  # halfway from the frame before
+    first = times.groupBy("region").agg(F.min_by("frame", "t_s").alias("__first"))
+    found = last_before(at, starts, ["region"], ["frame"], t).join(first, "region")
+    return found.select(*at.columns, F.coalesce(F.col("__last.frame"), F.col("__first")).alias("frame"))
 
 
 def covering_frame(at: DataFrame, counts: DataFrame, step_s: float, t: str = "t_s") -> DataFrame:

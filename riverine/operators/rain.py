@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverine.functions.hydraulics import rain_count
+from riverine.operators.lookups import last_before
 
 #: Display name and place of each kind of scenario.
 KINDS = {"observed-rain": ("AMeDAS実測", None), "xrain": ("XRAINレーダー", "名古屋"), "msm": ("MSM較正", "名古屋"), "msm-afternoon": ("MSM較正 11時〜", "名古屋")}
@@ -83,11 +84,8 @@ def uniform_bins(series: DataFrame, keys: list[str], step_s: float = 60.0) -> Da
 
 def last_sample(at: DataFrame, samples: DataFrame, keys: list[str], value: str, t: str = "t_s") -> DataFrame:
     """at with the value of the last sample at or before t, 0 before the first."""
-    by = Window.partitionBy(*keys).orderBy(t)
-    parts = samples.select(*keys, F.col(t).alias("__lo"), F.coalesce(F.lead(t).over(by), F.lit(float("inf"))).alias("__hi"), F.col(value).alias("__v")).alias("p")
-    on = [F.col(f"a.{k}") == F.col(f"p.{k}") for k in keys]
-    inside = (F.col(f"a.{t}") >= F.col("p.__lo")) & (F.col(f"a.{t}") < F.col("p.__hi"))
-    return at.alias("a").join(parts, [*on, inside], "left").select("a.*", F.coalesce(F.col("p.__v"), F.lit(0.0)).alias(value))
+    found = last_before(at, samples, keys, [value], t)
+    return found.select(*at.columns, F.coalesce(F.col("__last")[value], F.lit(0.0)).alias(value))
 
 
 def frame_series(rain: DataFrame, keys: list[str], step_s: int) -> DataFrame:

@@ -287,7 +287,7 @@ def agg17_depth_map(spark: SparkSession, sf: str) -> DataFrame:
     """Half the mean depth as a tank's volume, spread over the zone's cells."""
     z, f = frame(spark, sf, "zones"), _frames(spark, sf)
     means = zones.zone_means(f, z, DX).select("zone", "region", "frame", "t_s", (F.col("mean_h") / 2).alias("depth"), "cells")
-    cells = f.join(z, F.expr("r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1")).select("zone", "region", "frame", "r", "c")
+    cells = zones.hits(f, z).select("zone", "region", "frame", "r", "c")
     spread = cells.join(means, ["zone", "region", "frame"]).groupBy("zone", "region", "frame").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("cells"))
     return spread.withColumn("depth", F.round("depth", 6))
 

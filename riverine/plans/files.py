@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riverine.functions import hydraulics
 from riverine.operators import footprints, rain
-from riverine.operators.drainage import scratch
+from riverine.operators.drainage import shared_folder
 from riverine.plans.extent import _F, _frames
 from riverine.plans.rain import _SUMMARY, KEYS
 from riverine.plans.terrain import _TERRAIN, _terrain
@@ -22,8 +22,7 @@ QUERIES, ORACLE_SQL, query = collection()
 
 
 def _folder(spark: SparkSession) -> str:
-    scratch(spark)  # names the folder where it is unset
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/riverine/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/riverine/files-{uuid.uuid4().hex}"
 
 
 @query("SELECT station, day, t_s, CAST(least(greatest(round_even(mm_h / 0.5, 0), 0), 255) AS INTEGER) AS count FROM series", "series")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverine.operators import zones
-from riverine.operators.drainage import scratch
+from riverine.operators.drainage import counted, scratch, shared_folder
 from riverine.plans.extent import DX, _frames
 from riverine.plans.testdata import collection, frame
 from riverine.streaming import feeds
@@ -18,8 +18,7 @@ QUERIES, ORACLE_SQL, query = collection()
 
 def run_stream(spark: SparkSession, made: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what there is and returns the rows of its sink, both in the shared folder."""
-    scratch(spark)  # names the folder where it is unset
-    base = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/riverine/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/riverine/stream-{uuid.uuid4().hex}"
     if mode == "append":
         made.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(made.schema).parquet(f"{base}/rows")
@@ -56,6 +55,23 @@ def str1_radar_slots(spark: SparkSession, sf: str) -> DataFrame:
     return got.select(F.col("slot").cast("timestamp_ntz").alias("slot"), "pixel", F.round("mm_h", 6).alias("mm_h"), "n")
 
 
+_SLOTS = """m AS (SELECT CAST(ts AS DATE) AS day, date_trunc('minute', ts) AS stamp, user_id AS pixel, value, CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS mi FROM events),
+    t AS (SELECT day, stamp, mi - o AS slot, place FROM (SELECT DISTINCT day, stamp, mi FROM m), (VALUES (0, 0), (1, 1), (2, 2), (-1, 3), (-2, 4), (3, 5), (-3, 6)) v(o, place) WHERE (mi - o) % 5 = 0 AND mi - o BETWEEN 0 AND 1435),
+    a AS (SELECT day, slot, arg_min(stamp, place) AS stamp FROM t GROUP BY day, slot)"""
+
+
+@query(f"""+ {_SLOTS} SELECT CAST(a.day AS TIMESTAMP) + slot * INTERVAL '1 minute' AS slot, a.stamp, pixel, count(*) AS n, round(sum(value), 4) AS mm_h FROM a JOIN m ON m.stamp = a.stamp GROUP BY ALL""".replace("+ m AS", "WITH m AS"))
+def str1_accepted_stamps(spark: SparkSession, sf: str) -> DataFrame:
+    """STR1 with timers: of the minutes that a slot tries, the first that has messages. A last message, of a time at which every slot is over, closes them."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("bigint").alias("pixel"), F.col("value").cast("double").alias("mm_h"))
+    path = f"{shared_folder(spark)}/riverine/messages-{uuid.uuid4().hex}"
+    events.write.parquet(path)
+    events.agg((F.max("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts")).select("ts", F.lit(-1).cast("bigint").alias("pixel"), F.lit(0.0).alias("mm_h")).write.mode("append").parquet(path)
+    with feeds.keyed_state(spark):
+        got = run_stream(spark, feeds.accepted_stamps(spark.readStream.schema(events.schema).parquet(path)), "append")
+    return got.groupBy("slot", "stamp", "pixel").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("mm_h"), 4).alias("mm_h")).withColumns({k: F.col(k).cast("timestamp_ntz") for k in ("slot", "stamp")})
+
+
 @query("SELECT CAST(month(l_shipdate) AS BIGINT) AS region, CAST(floor((l_partkey % 600) / CAST(30 AS DOUBLE)) AS BIGINT) AS r, CAST(l_partkey % 30 AS BIGINT) AS c, max(l_quantity / 100) AS h_max, count(*) AS frames FROM lineitem GROUP BY 1, 2, 3")
 def str3_running_depth(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{sf}/lineitem.parquet"
@@ -67,11 +83,10 @@ def str3_running_depth(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def str4_zone_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The zone means as a stream through transformWithState; equal to str4_zone_storage (tests/test_registry.py)."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     z = frame(spark, sf, "zones")
-    means = zones.zone_means(_frames(spark, sf), z, DX).join(F.broadcast(z.select("zone", "floor_depth_m", "threshold_m", "coupling_s")), "zone")
-    write = scratch(spark)
-    kept = write(means)
+    means = zones.zone_means(_frames(spark, sf), z, DX).join(counted(z.select("zone", "floor_depth_m", "threshold_m", "coupling_s")), "zone")
+    kept = scratch(spark)(means)
     rows = spark.readStream.schema(kept.schema).parquet(kept.inputFiles()[0].rpartition("/")[0])
-    got = run_stream(spark, feeds.zone_tanks(rows), "append")
+    with feeds.keyed_state(spark):
+        got = run_stream(spark, feeds.zone_tanks(rows), "append")
     return got.select("zone", "region", "t_s", F.round("volume", 4).alias("volume"), F.round("depth", 6).alias("depth"))

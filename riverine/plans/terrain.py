@@ -175,7 +175,7 @@ _SERIES = "se AS (SELECT day, t_s, sum(mm_h) AS mm_h FROM series GROUP BY day, t
     FROM lr JOIN ch ON ch.r = lr.r AND ch.c = lr.c""", "cells", "series")
 def grf10_overflow(spark: SparkSession, sf: str) -> DataFrame:
     """WIN8 and GRF10: lagged rates and what they make channels overflow by, at every time of every day's series."""
-    channel = drainage.channels(_elevations(spark, sf), DX, 6)
+    channel = drainage.scratch(spark)(drainage.channels(_elevations(spark, sf), DX, 6))
     series = frame(spark, sf, "series").groupBy("day", "t_s").agg(F.sum("mm_h").alias("mm_h"))
     rates = drainage.lagged_rates(channel, series.select("day", "t_s"), series, ["day"])
     return drainage.overflow(channel, rates, ["day"]).join(rates, ["day", "r", "c", "t_s"]).select("day", "r", "c", "t_s", F.round("rate", 9).alias("rate"), F.round("excess_m", 5).alias("excess_m"))

@@ -12,10 +12,13 @@ def gauge_pages(pages: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
     A row counts if its first cell is a number of 1 to 24 once white space is stripped; the fourth cell holds the
     value, NULL if it isn't a number; the last row of an hour wins.
     """
-    rows = pages.select(*keys, F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"))).alias("pos", "row"))
-    cells = rows.select(*keys, "pos", F.regexp_extract_all("row", F.lit(r"(?s)<td[^>]*>(.*?)</td>")).alias("cells")).where("size(cells) > 3")
-    hours = cells.where(F.trim(F.col("cells")[0]).rlike(r"^\s*[0-9]+\s*$")).withColumn("hour", F.expr(r"try_cast(regexp_replace(cells[0], '\\s', '') AS int)")).where("hour BETWEEN 1 AND 24")
-    value = F.expr(r"try_cast(trim(regexp_replace(cells[3], '<[^>]+>', '')) AS double)")
+    rows = pages.select(*keys, F.posexplode(F.split("html", "</tr>")).alias("pos", "row"))
+    texts = F.transform(F.split("row", "</td>"), lambda c: F.regexp_replace(c, "(?s)^.*<td[^>]*>", ""))
+    cells = rows.select(*keys, "pos", F.slice(texts, 1, F.size(texts) - 1).alias("cells")).where("size(cells) > 3")  # what follows the last cell is none
+    first = F.regexp_replace(F.col("cells")[0], r"\s", "")
+    hours = cells.where(first.rlike("^[0-9]+$")).withColumn("hour", first.try_cast("int")).where("hour BETWEEN 1 AND 24")
+    bare = F.array_join(F.transform(F.split(F.col("cells")[3], "<"), lambda x: F.substring_index(x, ">", -1)), "")  # without tags
+    value = F.trim(bare).try_cast("double")
     last = hours.groupBy(*keys, "hour").agg(F.max_by(F.struct(value.alias("v")), "pos")["v"].alias("mm"))
     full = last.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n = 24").drop("n")
     return last.join(full, keys).select(*keys, "hour", "mm"), pages.select(*keys).join(full, keys, "left_anti")

@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from riverine.functions.hydraulics import SLOT_OFFSETS
 from riverine.operators.zones import SERIES, step
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """A session whose streams keep the state that transformWithState needs, until the block ends."""
+    key, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, kind)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def slotted(messages: DataFrame, ts: str = "ts", minutes: int = 5, reach: int = 3) -> DataFrame:
     """messages with slot: the nearest slot whose candidates (3 minutes either way) hold the stamp; earlier slots of a tie win."""
     seconds = F.unix_timestamp(F.date_trunc("minute", ts))
@@ -33,6 +47,67 @@ def radar_slots(messages: DataFrame, key: str = "pixel", retention: str = "8 day
     return means.select((F.col("window.start") + F.make_interval(mins=F.lit(minutes // 2))).alias("slot"), key, "mm_h", "n")
 
 
+def candidate_slots(messages: DataFrame, ts: str = "ts", minutes: int = 5) -> DataFrame:
+    """messages with slot, place and stamp: a row for every slot of their day that tries their minute, and the place of that trial."""
+    stamp = F.date_trunc("minute", ts)
+    tried = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(o).alias("offset")) for i, o in enumerate(SLOT_OFFSETS)])
+    rows = messages.withColumn("stamp", stamp).withColumn("__s", F.explode(tried))
+    slot = F.timestamp_seconds(F.unix_timestamp("stamp") - 60 * F.col("__s.offset"))
+    due = (F.unix_timestamp(slot) % (60 * minutes) == 0) & (F.to_date(slot) == F.to_date("stamp"))
+    return rows.withColumn("slot", slot).where(due).withColumn("place", F.col("__s.place")).drop("__s")
+
+
+ACCEPTED = "slot timestamp, stamp timestamp, pixel bigint, mm_h double"
+_SECONDS = ACCEPTED.replace("timestamp", "bigint")  # inside the processor, whatever the session's time zone
+
+
+class SlotChoice(StatefulProcessor):
+    """Keeps a slot's messages of the best stamp so far; a timer gives them out when no better one can come."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", T.StructType([T.StructField("place", T.IntegerType())]))
+        self.rows = handle.getListState("rows", T.StructType([T.StructField("stamp", T.LongType()), T.StructField("pixel", T.LongType()), T.StructField("mm_h", T.DoubleType())]))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        best = self.best.get()[0] if self.best.exists() else len(SLOT_OFFSETS)
+        for part in rows:
+            place = int(part["place"].min())
+            if place < best:
+                best = place
+                self.best.update((best,))
+                self.rows.clear()
+            mine = part[part["place"] == best]
+            if len(mine):
+                self.rows.appendList([(int(t), int(p), float(v)) for t, p, v in zip(mine["stamp"], mine["pixel"], mine["mm_h"], strict=True)])
+        self.handle.registerTimer(1000 * (int(key[0]) + 60 * (max(SLOT_OFFSETS) + 1)))  # the end of the last minute that it tries
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        kept = [(key[0], *row) for row in self.rows.get()]
+        self.best.clear()
+        self.rows.clear()
+        yield pd.DataFrame(kept, columns=["slot", "stamp", "pixel", "mm_h"])
+
+    def close(self) -> None:
+        pass
+
+
+def accepted_stamps(messages: DataFrame, retention: str = "8 days") -> DataFrame:
+    """slot, stamp, pixel, mm_h of the messages (ts, pixel, mm_h) of each slot's accepted stamp: of the minutes that it tries, the first in
+    order that has messages. Slots come once the watermark has passed their last minute; what is older than the retention is
+    rejected (`rejected_rows` counts it). Needs keyed_state; state is what a slot of seven minutes has."""
+    seconds = [F.unix_timestamp(k).alias(k) for k in ("slot", "stamp")]
+    tried = candidate_slots(messages.withWatermark("ts", retention)).select("ts", *seconds, "place", "pixel", "mm_h")
+    found = tried.groupBy("slot").transformWithStateInPandas(SlotChoice(), _SECONDS, "Append", "EventTime")
+    return found.select(*[F.timestamp_seconds(k).alias(k) for k in ("slot", "stamp")], "pixel", "mm_h")
+
+
+def rejected_rows(query: Any) -> int:
+    """Rows that a stream's stateful steps have dropped as too late, in the batches that its progress still has."""
+    return sum(int(o["numRowsDroppedByWatermark"]) for p in query.recentProgress for o in p["stateOperators"])
+
+
 def running_depth(frames: DataFrame) -> DataFrame:
     """Largest depth of every cell so far (update or complete mode); the state is one row a cell."""
     return frames.groupBy("region", "r", "c").agg(F.max("h").alias("h_max"), F.count(F.lit(1)).alias("frames"))

@@ -71,13 +71,13 @@ def test_window_bins_and_last_sample(spark, series):
 
 
 def test_frames(spark):
-    cells = spark.createDataFrame([("d", 0, 1.0), ("d", 0, 3.0), ("d", 3600, 6.0), ("d", 3600, None)], "k string, t_s bigint, mm_h double")
-    s = rain.frame_series(cells, ["k"], 3600)
-    assert rows(s, "t_s", "mm_h") == [(0, 2.0), (3600, 6.0), (7200, 0.0)]
-    got = rain.spatial_summary(s, ["k"], 3600).first()
-    assert (got.total_mm, got.peak_mmh) == (8.0, 6.0)
-    q = spark.createDataFrame([(0.0,), (0.4,), (2.7,), (500.0,)], "mm_h double")
-    assert [r.decoded for r in rain.quantised(q).orderBy("mm_h").collect()] == [0.0, 0.5, 2.5, 127.5]
+    cells = spark.createDataFrame([("d", 0, 0.5), ("d", 0, 4.5), ("d", 1800, None), ("d", 1800, 9.0)], "k string, t_s bigint, mm_h double")
+    s = rain.frame_series(cells, ["k"], 1800)
+    assert rows(s, "t_s", "mm_h") == [(0, 2.5), (1800, 9.0), (3600, 0.0)]
+    got = rain.spatial_summary(s, ["k"], 1800).first()
+    assert (got.total_mm, got.peak_mmh) == (5.8, 9.0)
+    q = spark.createDataFrame([(0.2,), (0.3,), (1.1,), (3.3,), (130.0,)], "mm_h double")
+    assert [r.decoded for r in rain.quantised(q).orderBy("mm_h").collect()] == [0.0, 0.5, 1.0, 3.5, 127.5]
 
 
 def model(spark, hours):
@@ -112,11 +112,11 @@ def test_model_grids(spark):
 
 
 def test_radar(spark):
-    mesh = spark.createDataFrame([(1, 5236, 5236), (2, 4840, 4841)], "seq int, mesh_from int, mesh_to int")
+    mesh = spark.createDataFrame([(1, 5437, 5437), (2, 5538, 5539)], "seq int, mesh_from int, mesh_to int")
     tiles = radar.with_bounds(mesh)
     first = tiles.where("seq = 1").first()
-    assert [round(first[c], 4) for c in ("lat_min", "lat_max", "lon_min", "lon_max")] == [34.6667, 35.3333, 136.0, 137.0]
-    boxes = spark.createDataFrame([(0, 34.97, 35.305, 136.74, 137.09)], "box int, lat_min double, lat_max double, lon_min double, lon_max double")
+    assert [round(first[c], 4) for c in ("lat_min", "lat_max", "lon_min", "lon_max")] == [36.0, 36.6667, 137.0, 138.0]
+    boxes = spark.createDataFrame([(0, 36.1, 36.4, 137.2, 137.6)], "box int, lat_min double, lat_max double, lon_min double, lon_max double")
     assert rows(radar.overlapping(tiles, boxes)) == [(0, 1)]
     colours = spark.createDataFrame([("99ffff",), ("0038ff",), ("9a0079",), ("c8c8cb",), ("123456",)], "rgb string")
     assert {r.rgb: r.mm_h for r in radar.rates(colours).collect()} == {"99ffff": 3.0, "0038ff": 25.0, "9a0079": 110.0, "c8c8cb": None, "123456": 0.0}
