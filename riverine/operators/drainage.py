@@ -27,19 +27,25 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; unset on a single machine, one of this process."""
+    """A run's own folder within spark.checkpoint.dir, which driver and executors share; unset on a single machine, in one of this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (folder or _own_folder()).rstrip("/")
+    return f"{(folder or _own_folder()).rstrip('/')}/riverine/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Deletes what this run has written to its folder; whatever still reads from there is lost. To call when results are stored, or after a failure."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Writes a round's rows to the shared folder and reads them again, so that lineage ends there."""
+    """Writes a round's rows to the run's folder and reads them again, so that lineage ends there."""
     folder = shared_folder(spark)
 
     def write(df: DataFrame) -> DataFrame:
-        path = f"{folder}/riverine/round-{uuid.uuid4().hex}"
+        path = f"{folder}/round-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 

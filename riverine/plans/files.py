@@ -22,7 +22,7 @@ QUERIES, ORACLE_SQL, query = collection()
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/riverine/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 @query("SELECT station, day, t_s, CAST(least(greatest(round_even(mm_h / 0.5, 0), 0), 255) AS INTEGER) AS count FROM series", "series")

@@ -18,7 +18,7 @@ QUERIES, ORACLE_SQL, query = collection()
 
 def run_stream(spark: SparkSession, made: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what there is and returns the rows of its sink, both in the shared folder."""
-    base = f"{shared_folder(spark)}/riverine/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         made.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(made.schema).parquet(f"{base}/rows")
@@ -55,6 +55,18 @@ def str1_radar_slots(spark: SparkSession, sf: str) -> DataFrame:
     return got.select(F.col("slot").cast("timestamp_ntz").alias("slot"), "pixel", F.round("mm_h", 6).alias("mm_h"), "n")
 
 
+@query("""SELECT station, CAST(start AS DATE) AS day, max(mm) AS most_mm FROM (SELECT start, station, sum(tenths) / 10.0 AS mm FROM
+    (SELECT CAST(user_id % 10 AS BIGINT) AS station, CAST(floor(value * 10) AS BIGINT) AS tenths, time_bucket(INTERVAL '10 minutes', ts) - INTERVAL '10 minutes' * k AS start FROM events, (SELECT unnest(range(0, 6)) AS k)) GROUP BY ALL) GROUP BY ALL""".replace("/ 10.0", "/ CAST(10 AS DOUBLE)"))
+def str5_sliding_maximum_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The sliding maximum as a stream in append mode. A last message, of a time at which every day is over, closes them."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 10).cast("bigint").alias("station"), (F.floor(F.col("value") * 10) / 10).alias("mm"))
+    path = f"{shared_folder(spark)}/messages-{uuid.uuid4().hex}"
+    events.write.parquet(path)
+    events.agg((F.max("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts")).select("ts", F.lit(-1).cast("bigint").alias("station"), F.lit(0.0).alias("mm")).write.mode("append").parquet(path)
+    got = run_stream(spark, feeds.largest_hours_stream(spark.readStream.schema(events.schema).parquet(path)), "append")
+    return got.where("station >= 0").select("station", "day", F.round("most_mm", 1).alias("most_mm"))
+
+
 _SLOTS = """m AS (SELECT CAST(ts AS DATE) AS day, date_trunc('minute', ts) AS stamp, user_id AS pixel, value, CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS mi FROM events),
     t AS (SELECT day, stamp, mi - o AS slot, place FROM (SELECT DISTINCT day, stamp, mi FROM m), (VALUES (0, 0), (1, 1), (2, 2), (-1, 3), (-2, 4), (3, 5), (-3, 6)) v(o, place) WHERE (mi - o) % 5 = 0 AND mi - o BETWEEN 0 AND 1435),
     a AS (SELECT day, slot, arg_min(stamp, place) AS stamp FROM t GROUP BY day, slot)"""
@@ -64,7 +76,7 @@ _SLOTS = """m AS (SELECT CAST(ts AS DATE) AS day, date_trunc('minute', ts) AS st
 def str1_accepted_stamps(spark: SparkSession, sf: str) -> DataFrame:
     """STR1 with timers: of the minutes that a slot tries, the first that has messages. A last message, of a time at which every slot is over, closes them."""
     events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("bigint").alias("pixel"), F.col("value").cast("double").alias("mm_h"))
-    path = f"{shared_folder(spark)}/riverine/messages-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/messages-{uuid.uuid4().hex}"
     events.write.parquet(path)
     events.agg((F.max("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts")).select("ts", F.lit(-1).cast("bigint").alias("pixel"), F.lit(0.0).alias("mm_h")).write.mode("append").parquet(path)
     with feeds.keyed_state(spark):

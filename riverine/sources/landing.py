@@ -15,9 +15,9 @@ def gauge_pages(pages: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
     rows = pages.select(*keys, F.posexplode(F.split("html", "</tr>")).alias("pos", "row"))
     texts = F.transform(F.split("row", "</td>"), lambda c: F.regexp_replace(c, "(?s)^.*<td[^>]*>", ""))
     cells = rows.select(*keys, "pos", F.slice(texts, 1, F.size(texts) - 1).alias("cells")).where("size(cells) > 3")  # what follows the last cell is none
-    first = F.regexp_replace(F.col("cells")[0], r"\s", "")
+    first = F.regexp_replace(F.get("cells", 0), r"\s", "")
     hours = cells.where(first.rlike("^[0-9]+$")).withColumn("hour", first.try_cast("int")).where("hour BETWEEN 1 AND 24")
-    bare = F.array_join(F.transform(F.split(F.col("cells")[3], "<"), lambda x: F.substring_index(x, ">", -1)), "")  # without tags
+    bare = F.array_join(F.transform(F.split(F.get("cells", 3), "<"), lambda x: F.substring_index(x, ">", -1)), "")  # without tags
     value = F.trim(bare).try_cast("double")
     last = hours.groupBy(*keys, "hour").agg(F.max_by(F.struct(value.alias("v")), "pos")["v"].alias("mm"))
     full = last.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n = 24").drop("n")

@@ -24,12 +24,12 @@ def write_documents(documents: DataFrame, path: str, day: str = "day") -> None:
     write_partitions(documents.select(day, "file", "document"), path, [day])
 
 
-def _versions(spark: SparkSession, path: str) -> dict[int, str]:
-    """Complete versions of an index by number; a version counts once its writer has marked it."""
+def _versions(spark: SparkSession, path: str, begun: bool = False) -> dict[int, str]:
+    """Complete versions of an index by number, or all that were begun; a version counts once its writer has marked it."""
     files = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = files.getFileSystem(spark._jsc.hadoopConfiguration())
-    marks = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")) or []
-    found = [m.getPath().getParent().toString() for m in marks]
+    marks = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*" + ("" if begun else "/_SUCCESS"))) or []
+    found = [(m.getPath() if begun else m.getPath().getParent()).toString() for m in marks]
     return {int(f.rpartition("=")[2]): f for f in found}
 
 
@@ -40,8 +40,12 @@ def read_index(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def replace_index(new: DataFrame, path: str, key: str) -> None:
-    """Writes the index with `new` in place of rows of the same keys as its next version, so that a failed run leaves the last one."""
+    """Writes the index with `new` in place of rows of the same keys as its next version, so that a failed run leaves the last one.
+
+    A number that another writer has begun is never written again: the next is taken, or, if both take it at once, the
+    later one fails.
+    """
     spark = new.sparkSession
     before = read_index(spark, path)
     after = new if before is None else upsert(before, new, key)
-    after.write.mode("overwrite").parquet(f"{path}/version={max(_versions(spark, path), default=0) + 1}")
+    after.write.mode("error").parquet(f"{path}/version={max(_versions(spark, path, begun=True), default=0) + 1}")

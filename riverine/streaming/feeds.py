@@ -95,8 +95,8 @@ class SlotChoice(StatefulProcessor):
 
 def accepted_stamps(messages: DataFrame, retention: str = "8 days") -> DataFrame:
     """slot, stamp, pixel, mm_h of the messages (ts, pixel, mm_h) of each slot's accepted stamp: of the minutes that it tries, the first in
-    order that has messages. Slots come once the watermark has passed their last minute; what is older than the retention is
-    rejected (`rejected_rows` counts it). Needs keyed_state; state is what a slot of seven minutes has."""
+    order that has messages. Slots come once the watermark has passed their last minute; what is older than the retention, by the
+    watermark of the batch before, is rejected (`rejected_rows` counts it). Needs keyed_state; state is what a slot of seven minutes has."""
     seconds = [F.unix_timestamp(k).alias(k) for k in ("slot", "stamp")]
     tried = candidate_slots(messages.withWatermark("ts", retention)).select("ts", *seconds, "place", "pixel", "mm_h")
     found = tried.groupBy("slot").transformWithStateInPandas(SlotChoice(), _SECONDS, "Append", "EventTime")
@@ -131,6 +131,17 @@ def largest_hours(messages: DataFrame, key: str = "station") -> DataFrame:
     return totals.groupBy(key, F.to_date("start").alias("day")).agg(F.max("mm").alias("most_mm"))
 
 
+def largest_hours_stream(messages: DataFrame, key: str = "station", delay: str = "1 hour") -> DataFrame:
+    """The same as a stream in append mode: windows of an hour, every ten minutes, within windows of a day, which hold them by their start.
+
+    A day comes once the watermark has passed the last hour that starts on it.
+    """
+    by_hour = messages.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour", "10 minutes").alias("hour"), key).agg(F.sum("mm").alias("mm"))
+    # hours that start on a day have their last moments from 00:59:59 on, and before 00:50 of the next day
+    by_day = by_hour.groupBy(F.window("hour", "1 day", "1 day", "50 minutes").alias("day"), key).agg(F.max("mm").alias("most_mm"))
+    return by_day.select(key, F.to_date("day.start").alias("day"), "most_mm")
+
+
 class ZoneTank(StatefulProcessor):
     """Keeps the volume and the last time of each zone's tank; rows of a batch are taken in order of time."""
 
