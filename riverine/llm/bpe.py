@@ -166,7 +166,8 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     `path` is a byte-level BPE vocabulary of the tokenizers library, on every worker. Texts are cut at forced
     boundaries, each distinct fragment is encoded and decoded once, and the ids are laid end to end; they equal the
-    library's own over the whole text. A null text counts as empty (0 tokens); a text without a certain cut is one
+    library's own over the whole text. Fragments are told apart by 64-bit hashes: among the CACHE that a worker remembers, the chance
+    that a new one is taken for another is 1e-14. A null text counts as empty (0 tokens); a text without a certain cut is one
     fragment; repeated rows are encoded each; an empty table gives no rows; other columns aren't read.
     """
 

@@ -127,7 +127,8 @@ def importance_resample(
     weight that best parts labels 1 and 0, of which at most a share `lose` of label 1 may fall short; without both
     labels, everything is kept. Null or empty texts have weight 0; the noise is a function of doc_id, so repeated
     rows share their fate, and rows that tie with the k-th are kept as well. An empty table gives no rows. `keep` names
-    further columns to return, not those of the result; others aren't read. Labels of unknown ids do nothing.
+    further columns to return, not those of the result; others aren't read. Labels of unknown ids do nothing. Texts of any
+    length are read whole in their row.
     """
     small_batches(docs.sparkSession)
     labelled = labelled_sample(labels, max_labels)

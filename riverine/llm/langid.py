@@ -144,7 +144,8 @@ def language_id(docs: DataFrame, folds: int = 5, **parameters: int) -> DataFrame
 
     Documents whose crc32 of the id's text is divisible by `folds` are held out: nothing is learnt from them, nor
     from rows without a language or a text. Of an empty table, or without training rows, predictions are `und` and
-    no row is lost. A null id is not held out. Repeated rows get a row each; other columns aren't read.
+    no row is lost. A null id is not held out. Repeated rows get a row each; other columns aren't read. Texts of any length
+    are read whole in their row; of languages that tie, the first in order of their names is predicted.
     """
     small_batches(docs.sparkSession)
     marked = docs.select("doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False)).alias("held_out"))

@@ -218,8 +218,8 @@ def warc_round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Writes archives and reads them back, one row per row of pages: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A revisit takes the size from the response it refers to. Equal rows of one page_id are responses alike; pages
-    without an id read back with a null id; an empty table gives no rows; other columns aren't written. Damage in the
-    archives is an error: its gaps are in a quarantine table beside them.
+    without an id read back with a null id; an empty table gives no rows; other columns aren't written. A payload of any
+    length is one record of one row. Damage in the archives is an error: its gaps are in a quarantine table beside them.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
