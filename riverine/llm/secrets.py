@@ -63,9 +63,9 @@ def _of_strings(strings: set[str]) -> Query:
     return _least({frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings})
 
 
-def _walk(tokens, exact: set[str]) -> tuple[Query, set[str]]:
-    """The query of what precedes, and the strings that the last fixed part can be."""
-    query = ANY
+def _walk(tokens, exact: set[str]) -> tuple[Query, set[str], bool]:
+    """The query of what precedes, the strings that the last fixed part can be, and whether that part is the whole."""
+    query, whole = ANY, True
     for op, arg in tokens:
         name = str(op)
         strings: set[str] | None = None
@@ -74,35 +74,33 @@ def _walk(tokens, exact: set[str]) -> tuple[Query, set[str]]:
             strings = {chr(arg).translate(str.maketrans(UPPER, LOWER))}
         elif name == "IN":
             strings = _of_class(arg)
+        elif name == "AT":
+            strings = {""}
         elif name == "SUBPATTERN":
-            part, ends = _walk(arg[3], {""})
-            if part == ANY:
-                strings = ends
-            else:
-                inner = _both(part, _of_strings(ends))
+            part, ends, fixed = _walk(arg[3], {""})
+            strings = ends if fixed else None
+            inner = ANY if fixed else _both(part, _of_strings(ends))
         elif name == "BRANCH":
             parts = [_walk(branch, {""}) for branch in arg[1]]
-            if all(q == ANY for q, _ in parts):
-                strings = set().union(*(ends for _, ends in parts))
+            if all(fixed for *_, fixed in parts):
+                strings = set().union(*(ends for _, ends, _ in parts))
             else:
-                inner = _least(set().union(*(_both(q, _of_strings(ends)) for q, ends in parts)))
+                inner = _least(set().union(*(_both(q, _of_strings(ends)) for q, ends, _ in parts)))
         elif name in ("MAX_REPEAT", "MIN_REPEAT"):
             least, most, body = arg
-            part, ends = _walk(body, {""})
-            if part == ANY and most <= 3:
-                strings = {"".join(p) for k in range(least, most + 1) for p in product(ends, repeat=k)} if len(ends) ** most <= STRINGS else None
-            elif part == ANY and 3 <= least <= 8 and len(ends) == 1:
+            part, ends, fixed = _walk(body, {""})
+            if fixed and most <= 3 and len(ends) ** most <= STRINGS:
+                strings = {"".join(p) for k in range(least, most + 1) for p in product(ends, repeat=k)}
+            elif fixed and 3 <= least <= 8 and len(ends) == 1:
                 inner = _of_strings({next(iter(ends)) * least})
             elif least:
                 inner = _both(part, _of_strings(ends))
-        elif name == "AT":
-            strings = {""}
         if strings is not None and len(joined := {a + b for a in exact for b in strings}) <= STRINGS:
             exact = joined
         else:
-            query = _both(_both(query, _of_strings(exact)), inner)
+            query, whole = _both(_both(query, _of_strings(exact)), inner), False
             exact = strings if strings is not None and len(strings) <= STRINGS else {""}
-    return query, exact
+    return query, exact, whole
 
 
 def _of_class(items) -> set[str] | None:
@@ -123,7 +121,7 @@ def trigram_query(pattern: str) -> Query:
     Fixed strings, small classes, alternatives and short repeats give strings, whose trigrams are mandatory; other parts
     of an expression ask for nothing. A query with the empty set is no condition: such a rule has no mandatory trigrams.
     """
-    query, ends = _walk(re._parser.parse(pattern), {""})
+    query, ends, _ = _walk(re._parser.parse(pattern), {""})
     return _both(query, _of_strings(ends))
 
 
