@@ -80,6 +80,40 @@ def test_wards_near(spark):
     assert not any(n in plan(got) for n in NESTED)
 
 
+def joined_rows(spark, after=-1):
+    """Rows that joins gave out in the executions after one, and the number of the last one."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, total, last = spark._jsparkSession.sharedState().statusStore(), 0, after
+    every = store.executionsList()
+    for i in range(every.size()):
+        number = every.apply(i).executionId()
+        last = max(last, number)
+        if number <= after:
+            continue
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for k in range(nodes.size()):
+            node = nodes.apply(k)
+            for m in range(node.metrics().size()):
+                metric = node.metrics().apply(m)
+                if "Join" in node.name() and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    total += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return total, last
+
+
+def test_nearest_ward_meets_few(spark):
+    """Places among the centres, far from all of them, and a crowd of centres within one cell of the first grid."""
+    rng = random.Random(6)
+    wards = [(i, 136 + rng.randint(0, 4000) / 1e6, 35 + rng.randint(0, 4000) / 1e6) for i in range(3000)] + [(5000, 137.5, 36.0)]
+    points = [(i, 136 + rng.randint(0, 4000) / 1e6, 35 + rng.randint(0, 4000) / 1e6) for i in range(100)] + [(i, 134.5 + rng.randint(0, 9) / 1000, 35 + rng.randint(0, 9) / 1000) for i in range(100, 200)]
+    w, p = spark.createDataFrame(wards, "ward long, lon double, lat double"), spark.createDataFrame(points, "point long, lon double, lat double")
+    m = lambda v: round(v * 1_000_000)
+    want = {i: min(((m(x) - m(a)) ** 2 + (m(y) - m(b)) ** 2, k) for k, a, b in wards)[1] for i, x, y in points}
+    before = joined_rows(spark)[1]
+    assert {r.point: r.ward for r in catalog.nearest_ward(p, w).collect()} == want
+    met = joined_rows(spark, before)[0]
+    assert 0 < met < len(points) * len(wards) / 5
+
+
 def test_boxes_meet_once(spark):
     rng = random.Random(4)
     made = lambda n, k: [(i, y, y + rng.random(), x, x + rng.random()) for i, (x, y) in enumerate((rng.random() * k, rng.random() * k) for _ in range(n))]
