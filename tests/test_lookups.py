@@ -100,6 +100,24 @@ def joined_rows(spark, after=-1):
     return total, last
 
 
+def recorded(monkeypatch, module):
+    """Numbers of rows that a module's scratch writes."""
+    rows, original = [], module.scratch
+
+    def noting(session):
+        write = original(session)
+
+        def noted(df):
+            kept = write(df)
+            rows.append(kept.count())
+            return kept
+
+        return noted
+
+    monkeypatch.setattr(module, "scratch", noting)
+    return rows
+
+
 def test_nearest_ward_meets_few(spark):
     """Places among the centres, far from all of them, and a crowd of centres within one cell of the first grid."""
     rng = random.Random(6)
@@ -114,6 +132,16 @@ def test_nearest_ward_meets_few(spark):
     assert 0 < met < len(points) * len(wards) / 5
 
 
+def test_near_pairs_are_not_stored(spark, monkeypatch):
+    """Equal boxes and equal centres meet once, and what is written by the way is no longer than the tables."""
+    boxes = [(i, x, 0.0, x + 0.02, 0.02) for i, x in enumerate(k % 7 / 1000 for k in range(210))]
+    wards = [(i, i % 11 / 1000, 0.01) for i in range(330)]
+    rows, before = recorded(monkeypatch, catalog), joined_rows(spark)[1]
+    got = catalog.wards_near(spark.createDataFrame(boxes, "box long, west double, south double, east double, north double"), spark.createDataFrame(wards, "ward long, lon double, lat double"))
+    assert got.distinct().count() == got.count() == 210 * 330
+    assert max(rows) <= 330 and joined_rows(spark, before)[0] < 210 * 330 / 10
+
+
 def test_boxes_meet_once(spark):
     rng = random.Random(4)
     made = lambda n, k: [(i, y, y + rng.random(), x, x + rng.random()) for i, (x, y) in enumerate((rng.random() * k, rng.random() * k) for _ in range(n))]
