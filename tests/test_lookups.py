@@ -142,6 +142,21 @@ def test_near_pairs_are_not_stored(spark, monkeypatch):
     assert max(rows) <= 330 and joined_rows(spark, before)[0] < 210 * 330 / 10
 
 
+def test_picks_near_is_meeting_picks_of_wards_near(spark, monkeypatch):
+    rng = random.Random(7)
+    wards = []
+    for i in range(80):
+        x, y = rng.randint(0, 300) / 1000, rng.randint(0, 90) / 1000
+        wards.append((i, x, y, *((None,) * 4 if i % 9 == 0 and x < 0.2 else (x, y, x + 0.01, y + 0.01))))
+    boxes = [(i, x, y, x + 0.02, y + 0.02) for i, (x, y) in enumerate((rng.choice([-1.0, 0.0, 0.11, 0.25]) + rng.randint(0, 5) / 100, rng.randint(0, 9) / 100) for _ in range(60))]
+    b = spark.createDataFrame(boxes, "box long, west double, south double, east double, north double")
+    w = spark.createDataFrame(wards, "ward long, lon double, lat double, west double, south double, east double, north double")
+    want = catalog.meeting_picks(catalog.wards_near(b, w).join(w.drop("lon", "lat"), "ward"), b)
+    rows = recorded(monkeypatch, catalog)
+    got = catalog.picks_near(b, w)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and max(rows) < catalog.wards_near(b, w).count()
+
+
 def test_boxes_meet_once(spark):
     rng = random.Random(4)
     made = lambda n, k: [(i, y, y + rng.random(), x, x + rng.random()) for i, (x, y) in enumerate((rng.random() * k, rng.random() * k) for _ in range(n))]
