@@ -80,8 +80,8 @@ def test_wards_near(spark):
     assert not any(n in plan(got) for n in NESTED)
 
 
-def joined_rows(spark, after=-1):
-    """Rows that joins gave out in the executions after one, and the number of the last one."""
+def joined_rows(spark, after=-1, kind="Join"):
+    """Rows that joins, or other nodes, gave out in the executions after one, and the number of the last one."""
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     store, total, last = spark._jsparkSession.sharedState().statusStore(), 0, after
     every = store.executionsList()
@@ -95,7 +95,7 @@ def joined_rows(spark, after=-1):
             node = nodes.apply(k)
             for m in range(node.metrics().size()):
                 metric = node.metrics().apply(m)
-                if "Join" in node.name() and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                if kind in node.name() and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
                     total += int(values.apply(metric.accumulatorId()).replace(",", ""))
     return total, last
 
@@ -170,6 +170,16 @@ def test_boxes_meet_once(spark):
     assert not any(n in plan(got) for n in NESTED)
 
 
+def test_equal_tiles_and_boxes_meet_once(spark):
+    names = "lat_min double, lat_max double, lon_min double, lon_max double"
+    tiles = spark.createDataFrame([(i, i % 3 / 1.5, (i % 3 + 1) / 1.5, 0.0, 1.0) for i in range(300)], f"seq int, {names}")
+    boxes = spark.createDataFrame([(i, i % 7 / 10, i % 7 / 10 + 0.1, 0.5, 0.7) for i in range(140)], f"box int, {names}")
+    before, got = joined_rows(spark)[1], radar.overlapping(tiles, boxes)
+    rows = [tuple(r) for r in got.collect()]
+    want = [(b, t) for b in range(140) for t in range(300) if t % 3 / 1.5 < b % 7 / 10 + 0.1 and (t % 3 + 1) / 1.5 > b % 7 / 10]
+    assert sorted(rows) == sorted(want) and 0 < joined_rows(spark, before)[0] < len(want) / 10
+
+
 def test_plans_without_nested_loops(spark):
     cells = spark.range(100).selectExpr("1L AS region", "0 AS frame", "0D AS t_s", "id AS r", "id AS c", "1D AS h")
     zone = spark.createDataFrame([(1, 5, 40, 3, 20)], "zone long, r0 long, r1 long, c0 long, c1 long")
