@@ -180,6 +180,25 @@ def test_equal_tiles_and_boxes_meet_once(spark):
     assert sorted(rows) == sorted(want) and 0 < joined_rows(spark, before)[0] < len(want) / 10
 
 
+def test_points_meet_different_bounds(spark):
+    """Many tiles of equal bounds, few of which have pixels; of these the last counts, slot by slot."""
+    names = "lat_min double, lat_max double, lon_min double, lon_max double"
+    tiles = spark.createDataFrame([(i, float(i % 2), i % 2 + 1.0, 0.0, 1.0) for i in range(400)], f"seq int, {names}")
+    points = spark.createDataFrame([(i, i % 9 / 4, i % 5 / 4) for i in range(90)], "point int, lat double, lon double")
+    rng = random.Random(8)
+    pixels = [(s, i, r, c, rng.choice([None, 1.0, 2.0, 3.0])) for s in (0, 1) for i in range(40) for r in (0, 1) for c in (0, 1) if rng.random() < 0.4]
+    want = {}
+    for s, i, r, c, mm in pixels:
+        for p in range(90):
+            y, x, low = p % 9 / 4, p % 5 / 4, i % 2
+            if low <= y <= low + 1 and 0 <= x <= 1 and (min(max(int((low + 1 - y) * 2), 0), 1), min(max(int(x * 2), 0), 1)) == (r, c):
+                want[p, s] = max(want.get((p, s), (-1, None)), (i, mm), key=lambda v: v[0])
+    before = joined_rows(spark)[1]
+    got = radar.sampled(points, tiles, spark.createDataFrame(pixels, "slot int, seq int, row bigint, col bigint, mm_h double"), 2, 2).collect()
+    assert {(r.point, r.slot): r.mm_h for r in got} == {k: mm for k, (_, mm) in want.items()} and len(got) == len(want)
+    assert 0 < joined_rows(spark, before)[0] < 90 * 400 / 10
+
+
 def test_plans_without_nested_loops(spark):
     cells = spark.range(100).selectExpr("1L AS region", "0 AS frame", "0D AS t_s", "id AS r", "id AS c", "1D AS h")
     zone = spark.createDataFrame([(1, 5, 40, 3, 20)], "zone long, r0 long, r1 long, c0 long, c1 long")
