@@ -13,6 +13,8 @@ from riverine.functions.geo import pixel
 
 #: Pixels in one Arrow batch at most, but for a single run of pixels.
 BATCH_PIXELS = 1 << 20
+#: Rings (once a tile) in one partition, about.
+RINGS = 50_000
 
 
 def _runs(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +61,7 @@ def rasterised(buildings: DataFrame, tile: int = 256) -> DataFrame:
 
     buildings: file, seq, height_cm, ring (array of struct y, x in pixels). A ring goes to every tile that its box
     touches, so that one ring gives a bounded number of pixels a row; all rings of an Arrow batch are painted at once.
+    Rings are laid out by tile and order in partitions of RINGS, and of the pixels painted at once the last of each goes on.
     """
     ys, xs = F.transform("ring", lambda p: p["y"]), F.transform("ring", lambda p: p["x"])
     floor = lambda v: F.floor(v / tile)
@@ -79,10 +82,17 @@ def rasterised(buildings: DataFrame, tile: int = 256) -> DataFrame:
             while begin < len(ends):
                 stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + BATCH_PIXELS, "right")))
                 run, col = _runs(left[begin:stop], right[begin:stop])
-                of = pa.array(ring[begin:stop][run])
-                kept = [part.column(k).take(of) for k in ("file", "seq", "height_cm")]
-                yield pa.RecordBatch.from_arrays([pa.array(row[begin:stop][run]), pa.array(col), *kept], ["r", "c", "file", "seq", "height_cm"])
+                of, line = ring[begin:stop][run], row[begin:stop][run]
+                order = np.lexsort((of, col, line))  # rings come in order, so that the last of a pixel's counts
+                of, line, col = of[order], line[order], col[order]
+                last = np.ones(len(of), bool)
+                last[:-1] = (line[1:] != line[:-1]) | (col[1:] != col[:-1])
+                kept = [part.column(k).take(pa.array(of[last])) for k in ("file", "seq", "height_cm")]
+                yield pa.RecordBatch.from_arrays([pa.array(line[last]), pa.array(col[last]), *kept], ["r", "c", "file", "seq", "height_cm"])
                 begin = stop
 
-    pixels = tiles.selectExpr("tr", "tc", "file", "CAST(seq AS BIGINT) AS seq", "CAST(height_cm AS BIGINT) AS height_cm", "y", "x").mapInArrow(paint, "r bigint, c bigint, file string, seq bigint, height_cm bigint")
+    rings = tiles.selectExpr("tr", "tc", "file", "CAST(seq AS BIGINT) AS seq", "CAST(height_cm AS BIGINT) AS height_cm", "y", "x")
+    order = ["tr", "tc", "file", "seq"]
+    n = max(buildings.sparkSession.sparkContext.defaultParallelism, tiles.count() // RINGS + 1)
+    pixels = rings.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(paint, "r bigint, c bigint, file string, seq bigint, height_cm bigint")
     return pixels.groupBy("r", "c").agg(F.max_by("height_cm", F.struct("file", "seq")).alias("height_cm"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riverine.operators import catalog, footprints, rain, zones
 from riverine.sources import sinks
+from test_lookups import joined_rows
 
 
 def test_index_keeps_the_last_complete_version(spark, tmp_path):
@@ -46,6 +47,19 @@ def test_rings_of_any_shape(spark, tile):
     assert {(r.r, r.c): r.height_cm for r in got.collect()} == want
 
 
+def test_pixels_of_many_rings_are_thinned_where_they_are_painted(spark):
+    """Rings over the same places, in no order and over a tile's edge: of each pixel few go on to the aggregation."""
+    square = lambda y, x: [{"y": y + a, "x": x + b} for a, b in ((0.0, 0.0), (0.0, 6.0), (6.0, 6.0), (6.0, 0.0))]
+    rows = [(f"f{i % 2}", i, i, square(float(i % 5), float(i % 3))) for i in np.random.default_rng(9).permutation(3000).tolist()]
+    before = joined_rows(spark)[1]
+    got = footprints.rasterised(spark.createDataFrame(rows, "file string, seq bigint, height_cm bigint, ring array<struct<y:double,x:double>>"), 8).collect()
+    want = {}
+    for _, i, _, _ in sorted(rows, key=lambda b: b[:2]):
+        want |= {(i % 5 + a, i % 3 + b): i for a in range(6) for b in range(6)}
+    assert {(r.r, r.c): r.height_cm for r in got} == want
+    assert 0 < joined_rows(spark, before, "MapInArrow")[0] < len(rows) * 36 / 20
+
+
 def test_no_buildings(spark):
     none = spark.createDataFrame([], "file string, seq bigint, height_cm bigint, ring array<struct<y:double,x:double>>")
     assert footprints.rasterised(none).count() == 0
