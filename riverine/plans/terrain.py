@@ -178,7 +178,7 @@ def grf10_overflow(spark: SparkSession, sf: str) -> DataFrame:
     channel = drainage.scratch(spark)(drainage.channels(_elevations(spark, sf), DX, 6))
     series = frame(spark, sf, "series").groupBy("day", "t_s").agg(F.sum("mm_h").alias("mm_h"))
     rates = drainage.lagged_rates(channel, series.select("day", "t_s"), series, ["day"])
-    return drainage.overflow(channel, rates, ["day"]).join(rates, ["day", "r", "c", "t_s"]).select("day", "r", "c", "t_s", F.round("rate", 9).alias("rate"), F.round("excess_m", 5).alias("excess_m"))
+    return drainage.overflow(rates, ["day"]).select("day", "r", "c", "t_s", F.round("rate", 9).alias("rate"), F.round("excess_m", 5).alias("excess_m"))
 
 
 for _name in ("grf5_accumulation", "grf8_longest_path", "grf6_streams", "sca18_stream_intensity", "grf9_channels_unfilled", "grf10_overflow"):

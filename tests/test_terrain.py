@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from riverine.operators import drainage, footprints, raster, voids
 from riverine.operators.drainage import NEIGHBOURS
 from riverine.sources import landing
+from test_lookups import recorded
 
 
 def table(spark, grid, name="z"):
@@ -185,6 +186,31 @@ def test_channels_and_lag(spark):
     assert all(abs(r.rate - 50.0) < 1e-9 for r in drainage.lagged_rates(got, times, steady).collect())
 
 
+def test_lagged_rates_are_not_stored(spark, monkeypatch):
+    """Against plain interpolation, with a key that has no series; rates are neither written nor joined on the way to overflow."""
+    rng = np.random.default_rng(4)
+    series = {k: sorted((float(t), float(rng.integers(0, 90))) for t in rng.choice(4000, n, replace=False)) for k, n in (("a", 1), ("b", 2), ("c", 25))}
+    lags = [(i, i + 1, float(rng.integers(0, 3000)) / 2, 25.0 * i, 1.0, 0.01, 0.1) for i in range(40)]
+    channel = spark.createDataFrame(lags, "r long, c long, lag_s double, area_m2 double, width_m double, slope double, depth_m double")
+    times = spark.createDataFrame([(k, float(t)) for k in ("a", "b", "c", "none") for t in range(0, 6000, 250)], "day string, t_s double")
+    rows = recorded(monkeypatch, drainage)
+    rates = drainage.lagged_rates(channel, times, spark.createDataFrame([(k, t, v) for k, p in series.items() for t, v in p], "day string, t_s double, mm_h double"), ["day"])
+
+    def at(points, q):
+        i = sum(t < q for t, _ in points)
+        if not points or i == len(points):
+            return 0.0
+        (a, u), (b, v) = points[max(i - 1, 0)], points[i]
+        return v if i == 0 else u + (v - u) * (q - a) / (b - a)
+
+    lag = {r: x for r, _, x, *_ in lags}
+    got = drainage.overflow(rates, ["day"]).collect()
+    assert len(got) == 40 * 4 * 24 and max(rows) <= 4
+    for g in got:
+        want = sum(w * at(series.get(g.day, []), g.t_s - k * lag[g.r]) for w, k in drainage.TAPS)
+        assert abs(g.rate - want) < 1e-9 and g.excess_m >= 0
+
+
 def test_footprints(spark):
     ring = [(1.0, 1.0), (1.0, 4.0), (4.0, 4.0), (4.0, 1.0)]
     rows = [("a", 1, 1000, [{"y": y, "x": x} for y, x in ring]), ("a", 2, 500, [{"y": y + 2, "x": x} for y, x in ring])]
