@@ -180,6 +180,27 @@ def test_equal_tiles_and_boxes_meet_once(spark):
     assert sorted(rows) == sorted(want) and 0 < joined_rows(spark, before)[0] < len(want) / 10
 
 
+def spread(df):
+    """Rows of each task."""
+    return sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+@pytest.mark.parametrize("most", [0, lookups.BROADCAST_BYTES])
+def test_overlapping_in_even_tasks(spark, monkeypatch, most):
+    """Few cells and bounds, so that tasks by cell would be uneven; of equal boxes few are written out from one row."""
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", most)
+    names = "lat_min double, lat_max double, lon_min double, lon_max double"
+    tiles = spark.createDataFrame([(i, 0.1, 0.9, 0.1, 0.9) for i in range(50)] + [(i, 1.1, 1.9, 0.1, 0.9) for i in range(50, 90)], f"seq int, {names}")
+    boxes = spark.createDataFrame([(i, 0.2 + i % 900 / 2000, 0.3 + i % 900 / 2000, 0.2, 0.3) for i in range(1800)] + [(i, 1.5, 1.6, 0.5, 0.6) for i in range(2000, 2400)], f"box int, {names}")
+    before, got = joined_rows(spark)[1], radar.overlapping(tiles, boxes)
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows) == [(b, t) for b in range(1800) for t in range(50)] + [(b, t) for b in range(2000, 2400) for t in range(50, 90)]
+    assert joined_rows(spark, before)[0] == 900 + 400 / lookups.FEW and not any(n in plan(got) for n in NESTED)
+    if most:
+        counts = spread(got)
+        assert len(counts) == lookups.tasks(boxes) and counts[-1] < 2 * sum(counts) / len(counts)
+
+
 def test_points_meet_different_bounds(spark):
     """Many tiles of equal bounds, few of which have pixels; of these the last counts, slot by slot."""
     names = "lat_min double, lat_max double, lon_min double, lon_max double"
