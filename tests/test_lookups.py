@@ -100,6 +100,11 @@ def joined_rows(spark, after=-1, kind="Join"):
     return total, last
 
 
+def spread(df):
+    """Rows of each task."""
+    return sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
 def recorded(monkeypatch, module):
     """Numbers of rows that a module's scratch writes."""
     rows, original = [], module.scratch
@@ -142,6 +147,23 @@ def test_near_pairs_are_not_stored(spark, monkeypatch):
     assert max(rows) <= 330 and joined_rows(spark, before)[0] < 210 * 330 / 10
 
 
+@pytest.mark.parametrize("most", [0, lookups.BROADCAST_BYTES])
+def test_wards_near_in_even_tasks(spark, monkeypatch, most):
+    """Few cells, so that tasks by cell would be uneven; of equal boxes few are written out from one row."""
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", most)
+    boxes = [(i, x, 0.0, x + 0.001, 0.001) for i, x in enumerate(k % 900 / 1e5 + 0.02 for k in range(1800))] + [(i, 0.05, 0.01, 0.051, 0.011) for i in range(2000, 2400)]
+    wards = [(i, 0.03, 0.04) for i in range(40)] + [(99, 5.0, 5.0)]
+    b, w = spark.createDataFrame(boxes, "box long, west double, south double, east double, north double"), spark.createDataFrame(wards, "ward long, lon double, lat double")
+    before, got = joined_rows(spark)[1], catalog.wards_near(b, w)
+    built = joined_rows(spark, before)[1]
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows) == [(x[0], k) for x in boxes for k in range(40)] and not any(n in plan(got) for n in NESTED)
+    assert joined_rows(spark, built)[0] == 900 + 400 / lookups.FEW
+    if most:
+        counts = spread(got)
+        assert len(counts) == lookups.tasks(b) and counts[-1] < 2 * sum(counts) / len(counts)
+
+
 def test_picks_near_is_meeting_picks_of_wards_near(spark, monkeypatch):
     rng = random.Random(7)
     wards = []
@@ -180,11 +202,6 @@ def test_equal_tiles_and_boxes_meet_once(spark):
     assert sorted(rows) == sorted(want) and 0 < joined_rows(spark, before)[0] < len(want) / 10
 
 
-def spread(df):
-    """Rows of each task."""
-    return sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
-
-
 @pytest.mark.parametrize("most", [0, lookups.BROADCAST_BYTES])
 def test_overlapping_in_even_tasks(spark, monkeypatch, most):
     """Few cells and bounds, so that tasks by cell would be uneven; of equal boxes few are written out from one row."""
